@@ -62,12 +62,11 @@ def count_children(jobs: DataFrame) -> DataFrame:
 def descendants(jobs: DataFrame, roots: DataFrame) -> DataFrame:
     """Every descendant of the given jobs with its depth: (scope, root, id, depth).
 
-    Edges are laid out once by the join key, so each level shuffles only its frontier. The frontier
-    is cut through the checkpoint folder, and a node already on its own path is dropped, so cycles end.
+    Edges are derived once; the frontier of each level is cut through the checkpoint folder. A node
+    already on its own path is dropped, so cycles end.
     """
     edges = cut(
         jobs.where("parent is not null").select(*SCOPE, F.col("parent").alias("_at"), F.col("id").alias("_to"))
-        .repartition(*SCOPE, "_at")
     )
     level = roots.select(*SCOPE, F.col("id").alias("root"), F.col("id").alias("_at"), F.array("id").alias("_path"))
     found, depth = None, 0
@@ -90,8 +89,7 @@ def descendants(jobs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def tree_paths(jobs: DataFrame, sort_key: Column) -> DataFrame:
     """Jobs reachable from a root with depth and a sort path, so one range sort gives report order."""
-    rows = jobs.withColumn("_key", sort_key)
-    nodes = cut(rows.select(*SCOPE, "parent", "id", "_key").repartition(*SCOPE, "parent"))
+    nodes = cut(jobs.withColumn("_key", sort_key))
     edges = nodes.where("parent is not null").select(
         *SCOPE, F.col("parent").alias("_at"), F.col("id").alias("_to"), F.col("_key").alias("_k")
     )
@@ -114,7 +112,7 @@ def tree_paths(jobs: DataFrame, sort_key: Column) -> DataFrame:
         if level.isEmpty():
             break
         found = found.unionByName(level)
-    return rows.drop("_key").join(found.drop("_seen"), [*SCOPE, "id"])
+    return nodes.drop("_key").join(found.drop("_seen"), [*SCOPE, "id"])
 
 
 def report_order(jobs: DataFrame) -> DataFrame:

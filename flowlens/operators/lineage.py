@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's `spark.checkpoint.dir`; only a local master may fall back to a scratch one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; only a local master may fall back to a scratch folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="flowlens-checkpoint-")
-    sc.setCheckpointDir(shared)
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the checkpoint folder and read it back.
+
+    Unlike `checkpoint()`, which computes its input twice, this computes it once, keeps the rows
+    columnar and gives the next plan the table's size; a lost executor only re-reads files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
