@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The shape of an image reference that has a slash, and of a digest.
@@ -14,45 +14,47 @@ IMAGE_PATTERN = (
 DIGEST_PATTERN = r"^([a-zA-Z0-9_+.-]+):([a-zA-Z0-9]+)"
 
 
-def _group(image: Column, n: int) -> Column:
-    return F.nullif(F.regexp_extract(image, IMAGE_PATTERN, n), F.lit(""))
+def parse(df: DataFrame, source: str) -> DataFrame:
+    """Add `valid, host, repository, image, tag, digest` of an image reference; an invalid text gives nulls.
 
+    Staged projections: each stage names what the next one uses more than once, so expressions stay small.
+    """
+    src = F.col(source)
 
-def parse(image: Column) -> Column:
-    """Struct `valid, host, repository, image, tag, digest`; an invalid text gives nulls."""
-    slashed = image.contains("/")
-    at = image.contains("@")
-    pieces = F.when(at, F.split(image, "@")).otherwise(F.split(image, ":"))
-    second = F.get(pieces, F.lit(1))
-    second_is_digest = at & second.rlike(DIGEST_PATTERN)
+    def group(n: int) -> Column:
+        return F.nullif(F.regexp_extract(src, IMAGE_PATTERN, n), F.lit(""))
 
-    name = F.when(slashed, _group(image, 1)).otherwise(F.get(pieces, F.lit(0)))
-    raw_tag = F.when(slashed, _group(image, 2)).otherwise(F.when(~second_is_digest, second))
-    digest = F.when(slashed, _group(image, 3)).otherwise(F.when(second_is_digest, second))
-    valid = F.coalesce(
-        F.when(slashed, name.isNotNull() & (digest.isNull() | digest.rlike(DIGEST_PATTERN))).otherwise(
-            F.size(pieces) <= 2
-        ),
-        F.lit(False),
+    keep = [F.col(c) for c in df.columns]
+    split = df.select(
+        *keep, src.contains("/").alias("_slashed"), src.contains("@").alias("_at"),
+        F.when(src.contains("@"), F.split(src, "@")).otherwise(F.split(src, ":")).alias("_pieces"),
+        group(1).alias("_g1"), group(2).alias("_g2"), group(3).alias("_g3"),
     )
-
-    parts = F.split(name, "/")
-    n = F.size(parts)
-    first = F.get(parts, F.lit(0))
+    second = F.get("_pieces", F.lit(1))
+    by_digest = F.col("_at") & second.rlike(DIGEST_PATTERN)
+    named = split.select(
+        *keep, "_slashed", "_pieces",
+        F.when(F.col("_slashed"), F.col("_g1")).otherwise(F.get("_pieces", F.lit(0))).alias("_name"),
+        F.when(F.col("_slashed"), F.col("_g2")).otherwise(F.when(~by_digest, second)).alias("_tag"),
+        F.when(F.col("_slashed"), F.col("_g3")).otherwise(F.when(by_digest, second)).alias("_digest"),
+    )
+    valid = F.when(
+        F.col("_slashed"),
+        F.col("_name").isNotNull() & (F.col("_digest").isNull() | F.col("_digest").rlike(DIGEST_PATTERN)),
+    ).otherwise(F.size("_pieces") <= 2)
+    parted = named.select(
+        *keep, F.coalesce(valid, F.lit(False)).alias("valid"), F.split("_name", "/").alias("_parts"), "_tag", "_digest"
+    )
+    first, n = F.get("_parts", F.lit(0)), F.size("_parts")
     hosted = (n > 1) & (first.contains(".") | F.lower(first).startswith("localhost"))
-    skip = F.when(hosted, 1).otherwise(0)
-    repo = F.array_join(F.slice(parts, skip + 1, F.greatest(n - 1 - skip, F.lit(0))), "/")
-
-    def checked(c: Column) -> Column:
-        return F.when(valid, c)
-
-    return F.struct(
-        valid.alias("valid"),
-        checked(F.when(hosted, first)).alias("host"),
-        checked(F.nullif(repo, F.lit(""))).alias("repository"),
-        checked(F.get(parts, n - 1)).alias("image"),
-        checked(F.when(digest.isNull(), F.coalesce(raw_tag, F.lit("latest")))).alias("tag"),
-        checked(digest).alias("digest"),
+    placed = parted.select("*", F.when(hosted, 1).otherwise(0).alias("_skip"))
+    ok, skip = F.col("valid"), F.col("_skip")
+    middle = F.array_join(F.slice("_parts", skip + 1, F.greatest(n - 1 - skip, F.lit(0))), "/")
+    return placed.select(
+        *keep, "valid", F.when(ok & (skip == 1), first).alias("host"), F.when(ok, F.nullif(middle, F.lit(""))).alias("repository"),
+        F.when(ok, F.get("_parts", n - 1)).alias("image"),
+        F.when(ok & F.col("_digest").isNull(), F.coalesce("_tag", F.lit("latest"))).alias("tag"),
+        F.when(ok, F.col("_digest")).alias("digest"),
     )
 
 

@@ -43,8 +43,8 @@ def parse_json(text: Column) -> Column:
     makes anything that follows it an error.
     """
     boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(listed.isNotNull(), F.variant_get(boxed, "$.v", "variant"))
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(alone, F.variant_get(boxed, "$.v", "variant"))
 
 
 def decode_json(text: Column) -> Column:

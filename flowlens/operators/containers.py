@@ -11,7 +11,7 @@ from flowlens.operators import ordered
 
 def inventory(rows: DataFrame, image: str) -> DataFrame:
     """Parsed distinct images with registry class, rebuilt reference and a file-safe name."""
-    p = rows.select(image).distinct().withColumn("_p", images.parse(F.col(image))).select(image, "_p.*")
+    p = images.parse(rows.select(image).distinct(), image)
     ref = images.rebuild(*[F.col(c) for c in ("host", "repository", "image", "tag", "digest")])
     return p.select(
         image, "valid", "host", "repository", "image", "tag", "digest",
