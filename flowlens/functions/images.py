@@ -33,10 +33,19 @@ def parse(df: DataFrame, source: str) -> DataFrame:
     second = F.get("_pieces", F.lit(1))
     by_digest = F.col("_at") & second.rlike(DIGEST_PATTERN)
     named = split.select(
-        *keep, "_slashed", "_pieces",
-        F.when(F.col("_slashed"), F.col("_g1")).otherwise(F.get("_pieces", F.lit(0))).alias("_name"),
-        F.when(F.col("_slashed"), F.col("_g2")).otherwise(F.when(~by_digest, second)).alias("_tag"),
-        F.when(F.col("_slashed"), F.col("_g3")).otherwise(F.when(by_digest, second)).alias("_digest"),
+        *keep,
+        # One struct through `inline`: later filters stay above it instead of being rewritten over
+        # the whole expression, which would outgrow a generated method.
+        F.inline(
+            F.array(
+                F.struct(
+                    F.col("_slashed"), F.col("_pieces"),
+                    F.when(F.col("_slashed"), F.col("_g1")).otherwise(F.get("_pieces", F.lit(0))).alias("_name"),
+                    F.when(F.col("_slashed"), F.col("_g2")).otherwise(F.when(~by_digest, second)).alias("_tag"),
+                    F.when(F.col("_slashed"), F.col("_g3")).otherwise(F.when(by_digest, second)).alias("_digest"),
+                )
+            )
+        ),
     )
     valid = F.when(
         F.col("_slashed"),

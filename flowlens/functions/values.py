@@ -36,15 +36,23 @@ def encode_json(value: Column) -> Column:
     return F.when(value.isNotNull(), F.substring(boxed, F.lit(2), F.length(boxed) - 2))
 
 
+#: Marks the end of a text inside a list; a text that contains it takes the slower test.
+END_MARK = "flowlens:end"
+
+
 def parse_json(text: Column) -> Column:
     """JSON text to VARIANT, null when it is not exactly one JSON value.
 
-    The built-in parser stops after the first value; boxing the text in an object and in a list
-    makes anything that follows it an error.
+    The built-in parser stops after the first value and ignores what follows. In `[text, mark]` the
+    mark is the second and last element only when the text is one whole value.
     """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+    whole = (F.try_variant_get(listed, "$[1]", "string") == END_MARK) & F.variant_get(listed, "$[2]", "variant").isNull()
     boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.when(alone, F.variant_get(boxed, "$.v", "variant"))
+    return F.when(text.contains(END_MARK), F.when(alone, F.variant_get(boxed, "$.v", "variant"))).when(
+        whole, F.variant_get(listed, "$[0]", "variant")
+    )
 
 
 def decode_json(text: Column) -> Column:

@@ -108,25 +108,35 @@ def last_known(
     return _join_carry(seen, carry, keys).withColumn(name, F.coalesce(name, CARRY)).select(*df.columns, name)
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order_by: list[str], slice_by: Column, value: str, name: str
-) -> DataFrame:
-    """Sum of `value` up to and including the row."""
+def _running(df, keys, order_by, slice_by, value, name, agg, join) -> DataFrame:
     rows = df.withColumn(SLICE, slice_by)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*keys, SLICE).agg(F.sum(value).alias("_sum"))
-        .select(*keys, SLICE, F.sum("_sum").over(before).alias(CARRY))
+        rows.groupBy(*keys, SLICE).agg(agg(value).alias("_a"))
+        .select(*keys, SLICE, agg("_a").over(before).alias(CARRY))
     )
     upto = _within(keys, order_by).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn(name, F.sum(value).over(upto))
-    return (
-        _join_carry(seen, carry, keys)
-        .withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce(CARRY, F.lit(0)))
-        .select(*df.columns, name)
+    seen = rows.withColumn(name, agg(value).over(upto))
+    return _join_carry(seen, carry, keys).withColumn(name, join(F.col(name), F.col(CARRY))).select(*df.columns, name)
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], order_by: list[str], slice_by: Column, value: str, name: str
+) -> DataFrame:
+    """Sum of `value` up to and including the row."""
+    zero = F.lit(0)
+    return _running(
+        df, keys, order_by, slice_by, value, name, F.sum, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero)
     )
 
 
+def running_min(
+    df: DataFrame, keys: list[str], order_by: list[str], slice_by: Column, value: str, name: str
+) -> DataFrame:
+    """Least `value` up to and including the row."""
+    return _running(df, keys, order_by, slice_by, value, name, F.min, F.least)
+
+
 def hash_part(identity: Column, parts: Column) -> Column:
     """Part number of a row by its identity: stable across engines and retries."""
     return F.pmod(F.conv(F.substring(F.md5(identity), 1, 8), 16, 10).cast("bigint"), parts)

@@ -345,6 +345,53 @@ def step_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def step_scopes(lines: DataFrame, slice_size: int = 1_000_000) -> DataFrame:
+    """Step events of logs with their nested workflow scope: run_id, line_no, id, parent, name, status.
+
+    A workflow start pushes its name, a workflow completion pops the last one (and is an event of its
+    own under what is left). No stack is replayed: the depth of a line is a running sum of pushes and
+    pops less its running minimum, the enclosing workflow is the latest push one level up, and full
+    scope texts are found by pointer doubling over the pushes - log(depth) joins.
+    """
+    key, order = ["run_id"], ["line_no"]
+    cut_at = ordered.number_slice(F.col("line_no"), slice_size)
+    wf, done = F.col("component") == "workflow", F.col("action") == "completed success"
+    named = F.coalesce(F.col("step"), F.lit("")) != ""
+    push = wf & (F.col("action") == "start") & named
+    hits = step_lines(lines).where(F.col("component").isin("workflow", "step")).where(done | (F.col("action") == "start"))
+    moved = hits.select(
+        "run_id", "line_no", "step", F.when(done, "completed").otherwise("running").alias("status"),
+        push.alias("push"), (named & ~(wf & ~done)).alias("emits"),
+        F.when(push, 1).when(wf & done, -1).otherwise(0).alias("_d"),
+    )
+    summed = ordered.running_sum(moved, key, order, cut_at, "_d", "_s")
+    depth = (F.col("_s") - F.least(F.lit(0), F.col("_m"))).cast("int")
+    levelled = cut(ordered.running_min(summed, key, order, cut_at, "_s", "_m").withColumn("depth", depth).drop("_d", "_s", "_m"))
+
+    pushes = levelled.where("push")
+    givers = pushes.select("run_id", F.col("depth").alias("level"), "line_no", F.col("line_no").alias("_push"))
+    seekers = levelled.where("push or emits").select(
+        "run_id", F.when(F.col("push"), F.col("depth") - 1).otherwise(F.col("depth")).alias("level"), "line_no",
+        F.lit(None).cast("bigint").alias("_push"),
+    ).where("level > 0")
+    known = ordered.last_known(givers.unionByName(seekers), ["run_id", "level"], order, cut_at, "_push", "_at")
+    above = known.where("_push is null").select("run_id", "line_no", F.col("_at").alias("up"))
+
+    scopes = cut(pushes.join(above, ["run_id", "line_no"], "left").select("run_id", "line_no", "up", F.col("step").alias("scope")))
+    while not scopes.where("up is not null").isEmpty():
+        over = scopes.select("run_id", F.col("line_no").alias("up"), F.col("up").alias("_up"), F.col("scope").alias("_scope"))
+        scopes = cut(
+            scopes.join(over, ["run_id", "up"], "left").select(
+                "run_id", "line_no", F.col("_up").alias("up"), F.concat_ws("_", "_scope", "scope").alias("scope")
+            )
+        )
+    parents = scopes.select("run_id", F.col("line_no").alias("up"), F.col("scope").alias("parent"))
+    events = levelled.where("emits").join(above, ["run_id", "line_no"], "left").join(parents, ["run_id", "up"], "left")
+    return events.select(
+        "run_id", "line_no", F.concat_ws("_", "parent", "step").alias("id"), "parent", F.col("step").alias("name"), "status"
+    )
+
+
 def tail(lines: DataFrame, n: int) -> DataFrame:
     """Last n lines per log. Spark keeps at most n candidates per log before the shuffle."""
     from pyspark.sql import Window

@@ -11,7 +11,10 @@ from flowlens.operators import ordered, report, status as sta
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import query
 
-AS_OF = F.expr("timestamp_ntz'2002-01-01 00:00:00'")
+def as_of():
+    return F.expr("timestamp_ntz'2002-01-01 00:00:00'")
+
+
 AS_OF_SQL = "timestamp '2002-01-01'"
 
 
@@ -96,7 +99,7 @@ def _(t):
     case when ago > 2 then concat({duration_sql('ago')}, ' ago') else 'Just now' end updated from d""")
 def _(t):
     runs = report.run_bounds(t.raw_jobs).withColumn("last_updated", F.col("start"))
-    return report.roll_up(runs, AS_OF)
+    return report.roll_up(runs, as_of())
 
 
 @query("d4_submission_texts", "runs", """with e as (select submission_id, concat('e', id) text from v_runs where status <> 'queued'),
@@ -199,7 +202,7 @@ REPORT_EXTRA = """*, shard = 0 cached, concat('b', run_id) batchid, case when sh
       else '' end details from s""")
 def _(t):
     jobs = t.spark.sql(f"select {REPORT_EXTRA.format(s='string')} from {{j}}", j=t.jobs)
-    out = report.status_report(jobs, AS_OF, brief=True)
+    out = report.status_report(jobs, as_of(), brief=True)
     return out.drop("path").withColumn("details", F.array_join("details", "; "))
 
 
@@ -207,7 +210,7 @@ def _(t):
   (select id, (epoch_us({AS_OF_SQL}) - epoch_us(start + (cast(id as bigint) % 90000) * interval '1' second)) // 1000000 ago from v_runs)""")
 def _(t):
     at = F.expr("start + make_dt_interval(0, 0, 0, cast(id as bigint) % 90000)")
-    return t.runs.select("id", timing.age_text(at, AS_OF).alias("age"))
+    return t.runs.select("id", timing.age_text(at, as_of()).alias("age"))
 
 
 @query("s3_status_changes", "runstatus", """select run_id, seq, date, status, previous, status <> 'processing' notifies from

@@ -256,3 +256,14 @@ def _(t):
 def _(t):
     lines = t.contigs.selectExpr("case when cast(input as bigint) % 2 = 0 then concat(contig, ' \t', input, '\t100') else concat('\t', input) end value")
     return contig_files.interval_contigs(t.spark, _export(lines, t)).select("contig").distinct()
+
+
+@query("s1_step_scopes", "event_lines", """with recursive n as (select run_id, line_no, line, row_number() over (partition by run_id order by line_no) rn from v_event_lines where line like 'INFO%'),
+   r as (select run_id, 0::bigint rn, 0::bigint line_no, '' line, cast([] as varchar[]) scope from n group by run_id
+     union all select n.run_id, n.rn, n.line_no, n.line,
+       case when n.line like 'INFO [workflow w%' then list_append(r.scope, n.line[16:17]) when n.line like 'INFO [workflow ]%' then r.scope[1:greatest(len(r.scope) - 1, 0)] else r.scope end
+     from r join n on n.run_id = r.run_id and n.rn = r.rn + 1)
+  select run_id, line_no, concat_ws('_', nullif(array_to_string(scope, '_'), ''), line[12:13]) id, nullif(array_to_string(scope, '_'), '') parent, line[12:13] as name,
+    case when line like '%start' then 'running' else 'completed' end status from r where line like 'INFO [step%'""")
+def _(t):
+    return tel.step_scopes(t.event_lines)
