@@ -46,7 +46,11 @@ def _place(folders: Column, names: Column, at: Column, sizes: Column) -> Column:
     At each level of n elements: the first folder list of length n gives its own element and saves a
     shard number, and so does a list of several names when n > 1.
     """
-    start = F.struct(folders.alias("folders"), names.alias("names"), F.array().cast("array<int>").alias("shard"))
+    # The casts make every field nullable, as the fold's result may hold nulls its start does not.
+    start = F.struct(
+        folders.cast("array<struct<text:string,list:array<string>>>").alias("folders"),
+        names.cast("array<string>").alias("names"), F.array().cast("array<int>").alias("shard"),
+    )
 
     def step(acc: Column, k: Column) -> Column:
         n, i = F.get(sizes, k), F.get(at, k)

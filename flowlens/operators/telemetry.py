@@ -258,11 +258,11 @@ def webhook_jobs(events: DataFrame, keys: list[str], at: Column, final_step: str
 def cached_jobs(events: DataFrame, keys: list[str], at: Column) -> DataFrame:
     """One job row per cached process of a completion or error event."""
     ended = events.where(F.col("event").isin("completed", "error"))
-    each = ended.select(*keys, at.alias("_at"), F.explode("metadata.workflow.workflowStats.processes").alias("p")).where("p.cached = 1")
+    each = ended.select(*keys, at.alias("_when"), F.explode("metadata.workflow.workflowStats.processes").alias("p")).where("p.cached = 1")
     status = st.cached_process_status(F.col("p.errored"))
     return each.select(
         *keys, F.col("p.name").alias("id"), F.col("p.name").alias("name"), status.alias("status"),
-        F.lit(None).cast("timestamp").alias("start"), F.when(status == "completed", F.col("_at")).alias("finish"), F.lit(True).alias("cached"),
+        F.lit(None).cast("timestamp").alias("start"), F.when(status == "completed", F.col("_when")).alias("finish"), F.lit(True).alias("cached"),
     )
 
 

@@ -303,7 +303,7 @@ def _(t):
     fields = t.orders.selectExpr("concat('w', o_orderkey % 60) workflow", "concat('o', o_custkey % 6) field", "'Vcf' wanted_type")
     outs = t.part.selectExpr("concat('w', p_partkey % 60) workflow", "concat('o', p_size % 5) name", "case p_partkey % 3 when 0 then 'Vcf' when 1 then 'VcfGz' else 'Bam' end type")
     outs = outs.groupBy("workflow", "name").agg(F.min("type").alias("type"))
-    return mf.undeclared_outputs(fields, outs, t.spark.sql("select 'VcfGz' sub, 'Vcf' super"))
+    return mf.undeclared_outputs(fields, outs, t.spark.sql("select * from values ('VcfGz', 'Vcf'), ('Bam', 'Sam') as t(sub, super)"))
 
 
 @query("c14_conversion_paths", "", """with recursive e as (select distinct concat('T', s_nationkey) f, concat('T', (s_nationkey * 3 + s_suppkey % 2) % 25) t from supplier),
