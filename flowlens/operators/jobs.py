@@ -62,12 +62,10 @@ def count_children(jobs: DataFrame) -> DataFrame:
 def descendants(jobs: DataFrame, roots: DataFrame) -> DataFrame:
     """Every descendant of the given jobs with its depth: (scope, root, id, depth).
 
-    Edges are derived once; the frontier of each level is cut through the checkpoint folder. A node
-    already on its own path is dropped, so cycles end.
+    `jobs` is read at every level: pass a stored table. The frontier of each level is cut through the
+    checkpoint folder. A node already on its own path is dropped, so cycles end.
     """
-    edges = cut(
-        jobs.where("parent is not null").select(*SCOPE, F.col("parent").alias("_at"), F.col("id").alias("_to"))
-    )
+    edges = jobs.where("parent is not null").select(*SCOPE, F.col("parent").alias("_at"), F.col("id").alias("_to"))
     level = roots.select(*SCOPE, F.col("id").alias("root"), F.col("id").alias("_at"), F.array("id").alias("_path"))
     found, depth = None, 0
     while True:
@@ -88,8 +86,11 @@ def descendants(jobs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def tree_paths(jobs: DataFrame, sort_key: Column) -> DataFrame:
-    """Jobs reachable from a root with depth and a sort path, so one range sort gives report order."""
-    nodes = cut(jobs.withColumn("_key", sort_key))
+    """Jobs reachable from a root with depth and a sort path, so one range sort gives report order.
+
+    `jobs` is read at every level: pass a stored table rather than a long derivation.
+    """
+    nodes = jobs.withColumn("_key", sort_key)
     edges = nodes.where("parent is not null").select(
         *SCOPE, F.col("parent").alias("_at"), F.col("id").alias("_to"), F.col("_key").alias("_k")
     )

@@ -78,13 +78,18 @@ def undeclared_outputs(fields: DataFrame, outputs: DataFrame, compatible: DataFr
 def stack_batches(layers: DataFrame, fields: list[str]) -> DataFrame:
     """Group fields are concatenated over layers, others last-wins; as rows `name, pos, value`.
 
-    `layers`: manifest_id, layer, name, value (ARRAY; a value too shallow comes as `scalar` and counts
-    as a list of one).
+    `layers`: manifest_id, layer, name (unique together), value (ARRAY; a value too shallow comes as
+    `scalar` and counts as a list of one).
     """
     listed = F.coalesce("value", F.when(F.col("scalar").isNotNull(), F.array("scalar")))
-    rows = layers.where(F.col("name").isin(fields)).select(ID, "layer", "name", F.posexplode(listed).alias("_i", "value"))
-    stacked = ordered.position(rows, [ID, "name"], ["layer", "_i"], F.col("layer"), "pos")
-    stacked = stacked.select(ID, "name", (F.col("pos") - 1).alias("pos"), "value")
+    grouped = layers.where(F.col("name").isin(fields)).select(ID, "layer", "name", listed.alias("_l")).where("_l is not null")
+    # Offsets come from the list lengths of the layers, so no element is ever numbered by a window.
+    offset = ordered.running_sum(
+        grouped.withColumn("_n", F.size("_l")), [ID, "name"], ["layer"], ordered.number_slice(F.col("layer"), 1000), "_n", "_end"
+    )
+    stacked = offset.select(ID, "name", (F.col("_end") - F.col("_n")).alias("_start"), F.posexplode("_l").alias("_i", "value")).select(
+        ID, "name", (F.col("_start") + F.col("_i")).alias("pos"), "value"
+    )
     rest = layers.where(~F.col("name").isin(fields)).groupBy(ID, "name").agg(
         F.max_by(F.struct("value", "scalar"), F.col("layer")).alias("_v")
     )

@@ -20,7 +20,10 @@ CARRY = "_carry"
 
 
 def time_slice(col: Column, unit: str = "DAY") -> Column:
-    return F.date_trunc(unit, col)
+    """Slice by calendar unit (a plain date for a day or more). Use HOUR where one day of one key is too much."""
+    if unit == "DAY":
+        return col.cast("date")
+    return F.date_trunc(unit, col) if unit in ("HOUR", "MINUTE") else F.trunc(col.cast("date"), unit)
 
 
 def number_slice(col: Column, size: int = 1_000_000) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.engine import tune
 from flowlens.operators import ordered
+from flowlens.operators.lineage import cut
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -40,9 +41,12 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+            return spread(self.read(name))
         raise AttributeError(name)
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     @cached_property
     def submissions(self) -> DataFrame:
         return self.customer.selectExpr(
@@ -66,7 +70,7 @@ class Tables:
             "l_tax", "l_returnflag", "l_linestatus",
         ]
         return ordered.position(
-            self.lineitem, ["l_orderkey", "l_linenumber"], order,
+            self.read("lineitem"), ["l_orderkey", "l_linenumber"], order,
             ordered.time_slice(F.col("l_shipdate"), "MONTH"), "attempt",
         )
 
@@ -80,6 +84,11 @@ class Tables:
             "name", "shard", "cast(attempt as int) attempt", "status", "start", "finish", "container",
         )
 
+    @cached_property
+    def stored_jobs(self) -> DataFrame:
+        """Jobs written once as a table, for operators that read them several times."""
+        return cut(self.jobs)
+
     @cached_property
     def raw_jobs(self) -> DataFrame:
         """The un-keyed job log: the same rows, but an id may repeat inside a run."""

@@ -40,7 +40,7 @@ def duration_sql(secs: str) -> str:
     case when j.parent is null then 'root' when p.id is not null then 'child' else 'orphan' end place
   from v_jobs j left join v_jobs p on p.submission_id = j.submission_id and p.run_id = j.run_id and p.id = j.parent""")
 def _(t: Tables):
-    return jb.attach_parents(t.jobs).select("submission_id", "run_id", "id", "parent", "parent_status", "place")
+    return jb.attach_parents(t.stored_jobs).select("submission_id", "run_id", "id", "parent", "parent_status", "place")
 
 
 @query("c3_descendants", "jobs", """with recursive d as (select submission_id, run_id, id root, id, 0 depth from v_jobs where parent is null
@@ -48,7 +48,7 @@ def _(t: Tables):
       on j.submission_id = d.submission_id and j.run_id = d.run_id and j.parent = d.id)
   select * from d where depth > 0""")
 def _(t):
-    return jb.descendants(t.jobs, t.jobs.where("parent is null"))
+    return jb.descendants(t.stored_jobs, t.stored_jobs.where("parent is null"))
 
 
 LABELS = """select cast(o_custkey as {s}) submission_id, cast(o_orderkey as {s}) run_id, 'step1' job_id,
@@ -61,7 +61,7 @@ LABELS = """select cast(o_custkey as {s}) submission_id, cast(o_orderkey as {s})
     on l.submission_id = j.submission_id and l.run_id = j.run_id and l.job_id = j.parent""")
 def _(t):
     labels = t.spark.sql(LABELS.format(s="string", a="array(", b=")", o="{o}"), o=t.orders)
-    return jb.label_shards(t.jobs, labels).select("submission_id", "run_id", "id", "name")
+    return jb.label_shards(t.stored_jobs, labels).select("submission_id", "run_id", "id", "name")
 
 
 @query("d1_shard_roll_up", "raw_jobs", f"""select submission_id, run_id, name, min(start) as start,
@@ -153,10 +153,10 @@ TREE_SQL = """tree as (select submission_id, run_id, id, 0 depth, id path from v
 @query("e3_report_order", "jobs", f"""with recursive {TREE_SQL.replace("id path from", "id path, [row(0, start is null, start, id)] k from").replace("j.id) from", "j.id), list_append(t.k, row(coalesce(j.shard, 0), j.start is null, j.start, j.id)) from")}
   select submission_id, run_id, id, depth, path, row_number() over (partition by submission_id, run_id order by k) place from tree""")
 def _(t):
-    tree = jb.report_order(t.jobs).select(
+    tree = jb.report_order(t.stored_jobs).select(
         "submission_id", "run_id", "id", "depth", F.array_join("path.id", "/").alias("path"), F.col("path").alias("k"))
     at = ordered.position(
-        tree.withColumn("_root", F.col("k")[0]), ["submission_id", "run_id"], ["k"], F.col("_root"), "place")
+        tree, ["submission_id", "run_id"], ["k"], F.slice("k", 1, 2), "place")
     return at.select("submission_id", "run_id", "id", "depth", "path", F.col("place").cast("bigint").alias("place"))
 
 
@@ -201,7 +201,7 @@ REPORT_EXTRA = """*, shard = 0 cached, concat('b', run_id) batchid, case when sh
       when status = 'failed' then concat_ws('; ', case when returncode <> '0' then concat('rc: ', returncode) end, 'stderr: ' || stderr, 'error: ' || error)
       else '' end details from s""")
 def _(t):
-    jobs = t.spark.sql(f"select {REPORT_EXTRA.format(s='string')} from {{j}}", j=t.jobs)
+    jobs = t.spark.sql(f"select {REPORT_EXTRA.format(s='string')} from {{j}}", j=t.stored_jobs)
     out = report.status_report(jobs, as_of(), brief=True)
     return out.drop("path").withColumn("details", F.array_join("details", "; "))
 

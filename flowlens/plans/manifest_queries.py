@@ -201,10 +201,12 @@ def _(t):
     return files.guess_types(_files(t), _types(t), _inventory(t))
 
 
-@query("g11_companions", "", f"""select page_id, type, {_COMP_SQL.format(c='c', p='path')} companion from (select page_id, {FILE_PATH} path, type, unnest(companions) c from pages, {_TYPES_SQL})""")
+@query("g11_companions", "", f"""select page_id, type, {_COMP_SQL.format(c='c', p='path')} companion from
+   (select page_id, path, f.type, unnest(companions) c from (select page_id, {FILE_PATH} path, case when page_id % 3 = 0 then 'BamBai' else 'VcfIdx' end type from pages) f join {_TYPES_SQL} on t.type = f.type)""")
 def _(t):
-    each = _types(t).select("type", F.explode("companions").alias("c"))
-    return _files(t).join(F.broadcast(each), F.lit(True)).select("page_id", "type", paths.companion(F.col("path"), F.col("c")).alias("companion"))
+    typed = _files(t).withColumn("type", F.expr("case when page_id % 3 = 0 then 'BamBai' else 'VcfIdx' end"))
+    each = typed.join(_types(t), "type").select("page_id", "type", "path", F.explode("companions").alias("c"))
+    return each.select("page_id", "type", paths.companion(F.col("path"), F.col("c")).alias("companion"))
 
 
 @query("g18_odd_extensions", "", f"""select page_id, path, type from (select page_id, {FILE_PATH} path, case when page_id % 4 = 0 then 'Gz' else 'BamBai' end type from pages)

@@ -373,8 +373,8 @@ def _(t):
     union all select submission_id, run_id, id, parent, status, start, finish, 'plain' from v_jobs where attempt = 1)""")
 def _(t):
     cols = ["submission_id", "run_id", "id", "parent", "status", "start", "finish"]
-    shards = t.jobs.where("attempt > 1").select(*cols)
-    plain = t.jobs.where("attempt = 1").select(*cols)
+    shards = t.stored_jobs.where("attempt > 1").select(*cols)
+    plain = t.stored_jobs.where("attempt = 1").select(*cols)
     return jb.with_parents(shards, plain, F.col("id")).select(*cols, "kind")
 
 
