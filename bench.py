@@ -23,7 +23,7 @@ HEADLINE = [
     "a1_table_scan", "a4_log_lines", "a9_kv_pivot", "b1_query_runs", "b7_stuck_jobs", "c1_assemble", "c2_attach_parents",
     "c3_descendants", "c5_pin_images", "c7_missing_contigs", "c9_e5_guess_types", "d1_shard_roll_up", "d3_run_timeline",
     "d4_submission_roll_up", "d16_error_texts", "e4_tail", "e6_latest_rows", "f1_upsert", "f3_change_capture", "g1_cascade",
-    "g5_batch_fan_out", "g12_plan_outputs", "h7_h8_h9_image_inventory", "h11_status_report", "s1_step_scopes",
+    "g5_batch_fan_out", "g12_plan_outputs", "h7_h8_h9_image_inventory", "s1_step_scopes",
     "s3_status_changes", "s8_error_streaks", "t1_run_rows", "t2_job_rows", "x3_union_parents",
 ]
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from flowlens.functions import timing
+from flowlens.operators import store
 from flowlens.operators import telemetry as tel
 from flowlens.operators.lineage import checkpoint_dir
 from flowlens.plans.adapter import Tables
@@ -267,3 +268,32 @@ def _(t):
     case when line like '%start' then 'running' else 'completed' end status from r where line like 'INFO [step%'""")
 def _(t):
     return tel.step_scopes(t.event_lines)
+
+
+@query("a10_webhook_intake", "", """select event, name, status, processes, count(*) n from (select
+    case when event_type = 'error' then 'completed' when event_type = 'signup' then 'started' else concat('process_', event_type) end event,
+    case when event_type not in ('error', 'signup') then concat('p', event_id % 5) end as name,
+    case event_type when 'view' then 'RUNNING' when 'click' then 'SUBMITTED' when 'purchase' then 'COMPLETED' end status,
+    case when event_type = 'error' then 2 end processes from events) group by all""")
+def _(t):
+    events = docs.webhook_events(t.events.select(F.expr(HOOK).alias("value")))
+    stats = F.col("metadata.workflow.workflowStats.processes")
+    return events.groupBy(
+        "event", F.col("trace.name").alias("name"), F.col("trace.status").alias("status"), F.when(stats.isNotNull(), F.size(stats)).alias("processes")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s2_webhook_upserts", "", """with j as (select cast(user_id as varchar) run_id, concat('p', event_id % 5) id, ts, event_id,
+     case event_type when 'view' then 'running' when 'click' then 'queued' else 'completed' end status, case when event_type = 'view' then ts end as start,
+     case when event_type = 'purchase' then ts end finish, concat('/w/', user_id) workdir, false cached from events where event_type not in ('error', 'signup') and event_id % 9 <> 0
+   union all select cast(user_id as varchar), concat('c', event_id), ts, event_id, case when event_id % 2 = 0 then 'failed' else 'completed' end, null, case when event_id % 2 = 1 then ts end, null, true
+     from events where event_type = 'error')
+  select run_id, id, arg_max(status, row(ts, event_id)) status, arg_max(start, row(ts, event_id)) filter (start is not null) as start,
+    arg_max(finish, row(ts, event_id)) filter (finish is not null) finish, arg_max(workdir, row(ts, event_id)) filter (workdir is not null) workdir, bool_or(cached) cached from j group by 1, 2""")
+def _(t):
+    events = _hooks(t).withColumn("run_id", F.col("user_id").cast("string")).withColumn("seq", F.struct("ts", "event_id"))
+    started = tel.webhook_jobs(events, ["run_id", "seq"], F.col("ts"), final_step="final")
+    cached = tel.cached_jobs(events, ["run_id", "seq"], F.col("ts"))
+    rows = started.unionByName(cached, allowMissingColumns=True)
+    jobs = store.reduce_delta(rows.select("run_id", "id", "seq", "status", "start", "finish", "workdir", "cached"), ("run_id", "id"), "seq")
+    return jobs.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("finish", F.col("finish").cast("timestamp_ntz"))
