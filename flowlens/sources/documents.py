@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +52,11 @@ def save_documents(docs: DataFrame, progress: DataFrame, path: str) -> DataFrame
 
 def read_layers(spark: SparkSession, files: list[str]) -> DataFrame:
     """Input documents in order: `layer, name, value` (VARIANT). Later files have higher layers."""
-    spec = ", ".join(f"({i}, '{f}')" for i, f in enumerate(files))
-    order = spark.sql(f"select * from values {spec} as t(layer, file)")
-    raw = spark.read.text(files, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), values.parse_json(F.col("value")).alias("doc")
-    )
-    layered = raw.join(F.broadcast(order), F.col("path").endswith(F.col("file")))
+    def layer(n: int) -> DataFrame:
+        text = spark.read.text(files[n], wholetext=True)
+        return text.select(F.lit(n).alias("layer"), values.parse_json(F.col("value")).alias("doc"))
+
+    layered = reduce(DataFrame.unionByName, [layer(n) for n in range(len(files))])
     return layered.lateralJoin(
         spark.tvf.variant_explode(F.col("doc").outer())
     ).select("layer", F.col("key").alias("name"), "value")
