@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "flowlens-"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only a local master may fall back to a scratch folder."""
+    """Folder of this session for intermediate tables, below `spark.checkpoint.dir`.
+
+    Where that setting is absent the session's warehouse is used: like the checkpoint folder it is
+    shared by all executors. The folder is deleted when the session's file system closes.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="flowlens-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{shared.rstrip('/')}/{PREFIX}{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
+
+
+def new_path(spark: SparkSession, kind: str = "cut") -> str:
+    """A path in the session's folder that nothing has used."""
+    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,6 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     columnar and gives the next plan the table's size; a lost executor only re-reads files.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `cut` that no later plan reads."""
+    for df in tables:
+        if getattr(df, "cut_path", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

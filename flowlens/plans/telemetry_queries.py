@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from flowlens.functions import timing
 from flowlens.operators import store
 from flowlens.operators import telemetry as tel
-from flowlens.operators.lineage import checkpoint_dir
+from flowlens.operators.lineage import new_path
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import query
 from flowlens.sources import contigs as contig_files
@@ -54,7 +53,7 @@ def _(t):
 def _(t):
     saved = t.orders.where("o_orderstatus = 'F'").selectExpr("cast(o_orderkey as string) submission_id", "'savedMetadata' key")
     fresh = _good(t).withColumnRenamed("run_id", "submission_id")
-    return docs.save_documents(fresh, saved, f"{checkpoint_dir(t.spark)}/documents-{uuid.uuid4().hex}")
+    return docs.save_documents(fresh, saved, new_path(t.spark, "documents"))
 
 
 @query("t1_run_rows", "", f"""select cast(o_orderkey as varchar) run_id, concat('e', o_orderkey) engine_id, o_orderpriority as name,
@@ -242,7 +241,7 @@ def _(t):
 
 def _export(df, t: Tables, compression: str = "none") -> str:
     """Write text lines derived from the tables into the shared folder, for the file readers to read."""
-    path = f"{checkpoint_dir(t.spark)}/lines-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "lines")
     df.write.option("compression", compression).text(path)
     return path
 
