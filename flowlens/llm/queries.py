@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import chat, exact_dedup, mixing, packing
+from flowlens.llm import chat, exact_dedup, mixing, packing, toxicity, warc
 from flowlens.llm.shared import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op5_packing, op9_mixing, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op5_packing, op7_warc, op9_mixing, op10_chat)
 }
 
 SQL: dict[str, str] = {
@@ -36,5 +44,6 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
   row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept,
   sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))""",
+    "op7_warc": warc.SQL,
     "op10_chat": chat.SQL,
 }
