@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlens.llm import chat, exact_dedup, mixing, packing, toxicity, warc
+from flowlens.llm import chat, exact_dedup, mixing, packing, substring_dedup, toxicity, warc
 from flowlens.llm.shared import table
 
 
@@ -18,6 +19,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +41,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op5_packing, op7_warc, op9_mixing, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_substring_dedup, op5_packing, op7_warc, op9_mixing, op10_chat)
 }
 
 SQL: dict[str, str] = {
