@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, exact_dedup, mixing, packing, substring_dedup, toxicity, warc
+from flowlens.llm import chat, exact_dedup, mixing, ngram_join, packing, substring_dedup, toxicity, warc
 from flowlens.llm.shared import table
 
 
@@ -32,6 +32,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_substring_dedup, op5_packing, op7_warc, op9_mixing, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_substring_dedup, op5_packing, op7_warc, op8_ngram_join, op9_mixing, op10_chat)
 }
 
 SQL: dict[str, str] = {
