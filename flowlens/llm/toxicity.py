@@ -135,13 +135,16 @@ def _spans(n: int, step: int) -> Iterator[tuple[int, int]]:
     return ((i, min(i + step, n)) for i in range(0, n, step))
 
 
-def _joint(rng, ids, at, lengths, label, pool, epochs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors, softmax and bias by gradient descent over the segments in `pool`, both classes weighing the same."""
+def _joint(rng, ids, at, lengths, label, pool, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, softmax and bias by gradient descent over the segments in `pool`, both classes weighing the same.
+
+    The pool is passed over until at least `steps` batches are done, however few segments it holds.
+    """
     size = 1 << BITS
     vectors, out, bias = rng.normal(0, 0.05, (size, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     share = label[pool].mean() or 1.0
     weigh = np.where(label == 1, 0.5 / share, 0.5 / (1 - share) if share < 1 else 1.0)
-    for epoch in range(epochs):
+    for _ in range(max(1, -(-steps * 256 // len(pool)))):
         order = rng.permutation(pool)
         for batch in (order[i:j] for i, j in _spans(len(order), 256)):
             n = lengths[batch]
@@ -185,7 +188,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     place[by] = np.arange(len(doc)) - np.searchsorted(doc[by], doc[by])
     label = toxic[doc].astype(np.float64)
     drawn = place < SAMPLE_SEGMENTS
-    vectors, out, bias = _joint(rng, ids, at, lengths, label, np.flatnonzero((label == 1) | drawn), 1)
+    vectors, out, bias = _joint(rng, ids, at, lengths, label, np.flatnonzero((label == 1) | drawn), 600)
     for _ in range(ROUNDS):
         effect = vectors @ (out[:, 1] - out[:, 0])
         logit = np.concatenate(
@@ -195,7 +198,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
         np.maximum.at(top, doc, logit)
         guilty = (label == 1) & (logit == top[doc])
         clean = (label == 0) & (drawn | (logit > -2))
-        vectors, out, bias = _joint(rng, ids, at, lengths, label, np.flatnonzero(guilty | clean), 4)
+        vectors, out, bias = _joint(rng, ids, at, lengths, label, np.flatnonzero(guilty | clean), 1500)
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
