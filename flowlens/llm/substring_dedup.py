@@ -7,9 +7,10 @@ are sorted against the others and each run of equal windows shows the least docu
 
 Scale: 1. only minimisers and ids are counted over all texts; a stretch whose minimiser no other
 stretch has cannot repeat and stays home. 2. Texts with shared minimisers send their packed stretches.
-3. A bucket over a sixteenth of a partition (a passage that a large part of the corpus holds) is
-split: its windows go one by one, under a 128-bit digest, through a map-side aggregate and a join
-that splits hot keys. 4. What comes back is spans of words, merged per document.
+3. A bucket over a sixteenth of a partition (a passage that a large part of the corpus holds) is not
+gathered: its stretches are made distinct map-side under a 128-bit digest, the windows of the distinct
+ones are counted under theirs, and the verdict goes back by joins that split hot keys. 4. What comes
+back is spans of words, merged per document.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from flowlens.llm.words import Words, chunks
 from flowlens.operators.lineage import cut, release
 
 WINDOW, GRAM = 50, 5
+BUCKET_ROWS = 256  # a bucket up to this size is gathered, however small the partitions are
 NO_ID = (1 << 63) - 1  # a null id counts as the largest
 
 
@@ -76,7 +78,7 @@ def _minimisers(window: int):
 
 
 def _packed(window: int):
-    """Packed stretches of the wanted minimisers; windows of hot ones singly, under a digest."""
+    """Packed stretches of the wanted minimisers; those of hot ones carry a digest of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,14 +90,13 @@ def _packed(window: int):
                 out = {k: [] for k in ("mini", "packed", "digest", "doc", "tag", "at")}
                 split, here = np.searchsorted(text, np.arange(j - i + 1)), first - words.first[text]
                 for d in range(j - i):
-                    own = slice(split[d], split[d + 1])
-                    is_hot = np.isin(value[own], np.array(hot[i + d] or [], np.int64))
-                    for k in np.flatnonzero(np.isin(value[own], np.array(wanted[i + d] or [], np.int64)) & ~is_hot) + split[d]:
-                        _add(out, value[k], words.joined(first[k], last[k] + window - 1), None, docs[i + d], tags[i + d], here[k])
-                    for k in np.flatnonzero(is_hot) + split[d]:
-                        for w in range(first[k], last[k] + 1):
-                            digest = hashlib.blake2b(words.joined(w, w + window - 1), digest_size=16).digest()
-                            _add(out, value[k], None, digest, docs[i + d], tags[i + d], here[k] + w - first[k])
+                    own = value[split[d] : split[d + 1]]
+                    is_hot = np.isin(own, np.array(hot[i + d] or [], np.int64))
+                    for k in np.flatnonzero(is_hot | np.isin(own, np.array(wanted[i + d] or [], np.int64))):
+                        at = k + split[d]
+                        packed = words.joined(first[at], last[at] + window - 1)
+                        digest = hashlib.blake2b(packed, digest_size=16).digest() if is_hot[k] else None
+                        _add(out, value[at], packed, digest, docs[i + d], tags[i + d], here[at])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                     names=list(out),
@@ -104,6 +105,21 @@ def _packed(window: int):
     return run
 
 
+def _hot_windows(window: int):
+    """Digests of the windows of distinct stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {k: [] for k in ("digest", "offset", "win", "low", "high")}
+            for digest, packed, low, high in zip(*(batch.column(c).to_pylist() for c in ("digest", "packed", "low", "high")), strict=True):
+                for k, w in enumerate(_windows(packed, window)):
+                    _add(out, digest, k, hashlib.blake2b(w, digest_size=16).digest(), low, high)
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    return run
+
+
 def _add(out: dict[str, list], *values) -> None:
     for column, v in zip(out.values(), values, strict=True):
         column.append(v)
@@ -190,7 +206,7 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ).rename_columns(["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text (binary UTF-8, kept words joined by one blank).
 
     A word goes when a window over it also starts in a document with a smaller id. Null and empty
@@ -210,7 +226,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("mini", "n")
     )
     total = shared.agg(F.sum("n")).first()[0] or 0
-    limit = max(256, total // (16 * width(spark)))
+    limit = max(bucket_rows, total // (16 * width(spark))) if bucket_rows else 0
     mini, is_hot = F.col("mini"), F.col("n") > limit
     need = found.join(shared, "mini").groupBy("doc", "tag").agg(
         F.collect_set(F.when(~is_hot, mini)).alias("wanted"), F.collect_set(F.when(is_hot, mini)).alias("hot")
@@ -221,16 +237,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     spans = (
-        sent.where("packed is not null").drop("digest").repartition(width(spark), "mini").sortWithinPartitions("mini")
+        sent.where("digest is null").drop("digest").repartition(width(spark), "mini").sortWithinPartitions("mini")
         .mapInArrow(_buckets(window), "doc long, tag long, from long, to long")
+        .select("doc", "tag", F.array(F.struct("from", "to")).alias("spans"))
     )
-    single = sent.where("digest is not null").select("digest", "doc", "tag", "at")
-    first = cut(single.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first"))
-    hot_spans = single.join(first, "digest").where("first < doc").select(
-        "doc", "tag", F.col("at").alias("from"), (F.col("at") + window - 1).alias("to")
+    hot = sent.where("digest is not null")
+    distinct = hot.groupBy("digest").agg(F.first("packed").alias("packed"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    windows = cut(distinct.mapInArrow(_hot_windows(window), "digest binary, offset long, win binary, low long, high long"))
+    first = cut(windows.groupBy("win").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("win", "first"))
+    verdict = cut(windows.join(first, "win").groupBy("digest").agg(F.collect_list(F.struct("offset", "first")).alias("repeats")))
+    own = F.filter("repeats", lambda r: r["first"] < F.col("doc"))
+    hot_spans = hot.join(verdict, "digest").select(
+        "doc", "tag",
+        F.transform(own, lambda r: F.struct((F.col("at") + r["offset"]).alias("from"), (F.col("at") + r["offset"] + window - 1).alias("to"))).alias("spans"),
     )
-    gathered = cut(spans.unionByName(hot_spans).groupBy("doc", "tag").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
-    release(found, shared, sent, first)
+    gathered = cut(spans.unionByName(hot_spans).groupBy("doc", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    release(found, shared, sent, windows, first, verdict)
     return rows.join(gathered, ["doc", "tag"], "left").select("doc_id", "body", "spans").mapInArrow(
         _result, "doc_id long, n_words long, n_removed long, kept_text binary"
     )
