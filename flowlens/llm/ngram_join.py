@@ -76,12 +76,11 @@ def _describe(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([batch.column("doc_id").slice(i, j - i), pa.nulls(k, pa.int64())]),
-                        pa.concat_arrays([batch.column("tag").slice(i, j - i), pa.nulls(k, pa.int64())]),
                         pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(count, pa.int64())]),
                         pa.concat_arrays([pa.array(digest, pa.binary()), pa.nulls(k, pa.binary())]),
                         pa.concat_arrays([pa.nulls(j - i, pa.int64()), pa.array(value, pa.int64())]),
                     ],
-                    names=["doc_id", "tag", "n", "digest", "gram"],
+                    names=["doc_id", "n", "digest", "gram"],
                 )
 
     return run
@@ -93,7 +92,7 @@ def _columns(n: int, part: int, whole: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = frequent.value
         for batch in batches:
-            texts, docs, tags = _bodies(batch), batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+            texts, docs = _bodies(batch), batch.column("doc_id").to_numpy()
             for i, j in chunks(texts):
                 grams, sizes = shingle_sets(texts[i:j], n)
                 of = np.repeat(np.arange(j - i), sizes)
@@ -107,7 +106,7 @@ def _columns(n: int, part: int, whole: int, frequent):
                 keep = at < (sizes - _ceil(part * sizes, whole) + 1)[of]
                 grams, of, at = grams[keep], of[keep], at[keep]
                 yield pa.RecordBatch.from_pydict(
-                    {"gram": grams.view(np.int64), "doc": docs[i:j][of], "tag": tags[i:j][of], "size": sizes[of].astype(np.int32), "at": at.astype(np.int32)}
+                    {"gram": grams.view(np.int64), "doc": docs[i:j][of], "size": sizes[of].astype(np.int32), "at": at.astype(np.int32)}
                 )
 
     return run
@@ -242,8 +241,8 @@ def ngram_join(
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("body"))
-    seen = cut(rows.mapInArrow(_describe(n), "doc_id long, tag long, n long, digest binary, gram long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
+    seen = cut(rows.mapInArrow(_describe(n), "doc_id long, n long, digest binary, gram long"))
     texts = seen.where("gram is null")
     # At most FREQUENT pairs of numbers, whatever the corpus.
     top = seen.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
@@ -252,21 +251,19 @@ def ngram_join(
     frequent = spark.sparkContext.broadcast((known[by], np.array([r["n"] for r in top], np.int64)[by]))
     classes = cut(
         texts.where("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.count(F.lit(1)).alias("n_rows"))
-        .select("digest", F.col("rep.doc_id").alias("rep"), F.col("rep.tag").alias("tag"), "n_rows")
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
     )
-    chosen = classes.select(F.col("rep").alias("doc"), "tag")
-    postings = cut(
-        rows.where("doc_id is not null").join(chosen.withColumnRenamed("doc", "doc_id"), ["doc_id", "tag"], "left_semi")
-        .mapInArrow(_columns(n, part, whole, frequent), "gram long, doc long, tag long, size int, at int")
-    )
-    shared = cut(
-        postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-        .select("gram", "n", "low")
-    )
-    members = cut(postings.join(shared, "gram"))
-    lead = members.groupBy("doc", "tag").agg(F.min("at").alias("lead"))
-    members = members.join(lead, ["doc", "tag"])
+    chosen = classes.select(F.col("rep").alias("doc")).distinct()
+    postings = cut(rows.where("doc_id is not null").mapInArrow(_columns(n, part, whole, frequent), "gram long, doc long, size int, at int"))
+    shared = postings.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("gram")
+    # What copies add goes here, where only shared columns are left; then columns of one row go, too.
+    repeated = cut(postings.join(shared, "gram"))
+    release(postings)
+    repeated = repeated.join(chosen, "doc", "left_semi")
+    sizes = cut(repeated.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low")).where("n > 1"))
+    members = cut(repeated.join(sizes, "gram"))
+    lead = members.groupBy("doc").agg(F.min("at").alias("lead"))
+    members = members.join(lead, "doc")
     in_task = (
         members.where(F.col("n") <= column_rows).select("gram", "doc", "size", "at", "lead")
         .repartition(width(spark), "gram").sortWithinPartitions("gram").mapInArrow(_link_columns(part, whole), "a long, b long")
@@ -281,7 +278,7 @@ def ngram_join(
         )
     )
     bodies = cut(
-        rows.withColumnRenamed("doc_id", "doc").join(chosen.join(placed, "doc"), ["doc", "tag"]).select("block", "tiles", "tile", "doc", "body")
+        rows.withColumnRenamed("doc_id", "doc").join(placed, "doc").select("block", "tiles", "tile", "doc", "body")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     links = (
@@ -295,7 +292,7 @@ def ngram_join(
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
     found = components(links.unionByName(copies))
-    release(postings, shared, bodies, placed)
+    release(bodies, placed)
     return texts.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
