@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.schema import SPECS
@@ -20,6 +26,22 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the session settings the operators rely on; cluster sizing stays with the caller."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that Python tasks can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "flowlens_shipped", False):
+        return spark
+    root, body = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(body, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = os.path.join(tempfile.mkdtemp(prefix="flowlens-code-"), "flowlens.zip")  # read by the driver alone, which serves it
+    Path(path).write_bytes(body.getvalue())
+    context.addPyFile(path)
+    context.flowlens_shipped = True
     return spark
 
 
