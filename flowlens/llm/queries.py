@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, exact_dedup, mixing, ngram_join, packing, substring_dedup, toxicity, warc
+from flowlens.llm import chat, embedding_join, exact_dedup, html_extract, mixing, ngram_join, packing, substring_dedup, toxicity, warc
 from flowlens.llm.shared import table
 
 
@@ -24,10 +24,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.embedding_join(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -45,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_substring_dedup, op5_packing, op7_warc, op8_ngram_join, op9_mixing, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_substring_dedup, op4_embedding_join, op5_packing, op6_html_extract, op7_warc, op8_ngram_join, op9_mixing, op10_chat)
 }
 
 SQL: dict[str, str] = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.engine import ship
+
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^ \t-\r]+"
 
@@ -20,7 +22,7 @@ def width(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_digest(df: DataFrame) -> Column:
