@@ -7,7 +7,7 @@ are sorted against the others and each run of equal windows shows the least docu
 
 Scale: 1. only minimisers and ids are counted over all texts; a stretch whose minimiser no other
 stretch has cannot repeat and stays home. 2. Texts with shared minimisers send their packed stretches.
-3. A bucket over a sixteenth of a partition (a passage that a large part of the corpus holds) is not
+3. A bucket of more than BUCKET_ROWS stretches (a passage that many documents hold) is not
 gathered: its stretches are made distinct map-side under a 128-bit digest, the windows of the distinct
 ones are counted under theirs, and the verdict goes back by joins that split hot keys. 4. What comes
 back is spans of words, merged per document.
@@ -28,7 +28,7 @@ from flowlens.llm.words import Words, chunks
 from flowlens.operators.lineage import cut, release
 
 WINDOW, GRAM = 50, 5
-BUCKET_ROWS = 256  # a bucket up to this size is gathered, however small the partitions are
+BUCKET_ROWS = 32  # a task gathers no more stretches than this of one minimiser
 NO_ID = (1 << 63) - 1  # a null id counts as the largest
 
 
@@ -225,9 +225,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut(
         found.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("mini", "n")
     )
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    limit = max(bucket_rows, total // (16 * width(spark))) if bucket_rows else 0
-    mini, is_hot = F.col("mini"), F.col("n") > limit
+    mini, is_hot = F.col("mini"), F.col("n") > bucket_rows
     need = found.join(shared, "mini").groupBy("doc", "tag").agg(
         F.collect_set(F.when(~is_hot, mini)).alias("wanted"), F.collect_set(F.when(is_hot, mini)).alias("hot")
     )
