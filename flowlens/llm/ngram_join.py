@@ -33,7 +33,7 @@ from flowlens.llm.words import Words, chunks, mix
 from flowlens.operators.lineage import cut, release
 
 N, PART, WHOLE = 4, 85, 100
-FREQUENT, COLUMN_ROWS, TILE, CHUNK = 1 << 18, 4096, 512, 4096
+FREQUENT, COLUMN_ROWS, TILE, CHUNK = 1 << 20, 4096, 2048, 2048
 
 
 def _ceil(a, b):
@@ -163,15 +163,41 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def pair_links(doc, size, at, lead, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many columns of two rows at once: each argument has two rows of values, one per side."""
+    low = np.where(size[0] <= size[1], 0, 1)
+    i = np.arange(len(low))
+    a, b = (low, i), (1 - low, i)
+    need = _ceil(part * (size[a] + size[b]), part + whole)
+    can = (size[b] <= size[a] * whole // part) & (at[a] < size[a] - _ceil(2 * part * size[a], part + whole) + 1)
+    can &= np.minimum(size[a] - lead[a], size[b] - lead[b]) >= need
+    can &= np.minimum(at[a], at[b]) + np.minimum(size[a] - at[a], size[b] - at[b]) >= need
+    return doc[a][can], doc[b][can]
+
+
 def _link_columns(part: int, whole: int):
+    names = ["gram", "doc", "size", "at", "lead"]
+
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        """Of whole columns, sorted by gram."""
+        edge = np.flatnonzero(np.diff(rows[0])) + 1 if rows.shape[1] else np.zeros(0, np.int64)
+        first, last = np.concatenate([[0], edge]), np.concatenate([edge, [rows.shape[1]]])
+        two = first[last - first == 2]
+        a, b = pair_links(*(np.stack([rows[c][two], rows[c][two + 1]]) for c in range(1, 5)), part, whole)
+        more = [x for f, t in zip(first, last, strict=True) if t - f > 2 for x in column_links(*(rows[c][f:t] for c in range(1, 5)), part, whole)]
+        x, y = np.array(more, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_pydict({"a": np.concatenate([a, x]), "b": np.concatenate([b, y])})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for g in _groups(batches, ["gram"]):
-            out += column_links(*(np.array(g[c], np.int64) for c in ("doc", "size", "at", "lead")), part, whole)
-            if len(out) > 50_000:
-                yield _edges(out)
-                out = []
-        yield _edges(out)
+        held = np.zeros((5, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], 1)
+            whole_to = int(np.searchsorted(held[0], held[0][-1])) if held.shape[1] else 0  # the last column may go on
+            if whole_to:
+                yield links(held[:, :whole_to])
+                held = held[:, whole_to:]
+        if held.shape[1]:
+            yield links(held)
 
     return run
 
@@ -245,10 +271,12 @@ def ngram_join(
     seen = cut(rows.mapInArrow(_describe(n), "doc_id long, n long, digest binary, gram long"))
     texts = seen.where("gram is null")
     # At most FREQUENT pairs of numbers, whatever the corpus.
-    top = seen.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
-    known = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
+    top = (
+        seen.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    )
+    known = top.column("gram").to_numpy().view(np.uint64)
     by = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[by], np.array([r["n"] for r in top], np.int64)[by]))
+    frequent = spark.sparkContext.broadcast((known[by], top.column("n").to_numpy()[by]))
     classes = cut(
         texts.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
