@@ -223,15 +223,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("doc_id")
-        if not len(rows) or rows["toxic"].nunique() < 2:
+        held = list(batches)
+        if not held:  # no labelled row
+            return
+        rows = pd.concat(held, ignore_index=True).sort_values("doc_id")
+        if rows["toxic"].nunique() < 2:
             table, bias = np.zeros(1 << BITS), 5.0 if len(rows) and rows["toxic"].iloc[0] else -5.0
         else:
             table, bias = train(rows["text"].tolist(), rows["toxic"].to_numpy())
         yield pd.DataFrame({"effect": [table.astype(np.float32).tobytes()], "bias": [bias]})
 
     model = sample.coalesce(1).mapInPandas(run, "effect binary, bias double").collect()
-    if not model:  # no partition at all
+    if not model:
         return np.zeros(1 << BITS, np.float32), -5.0
     return np.frombuffer(model[0]["effect"], np.float32), model[0]["bias"]
 
