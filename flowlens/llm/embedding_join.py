@@ -26,6 +26,7 @@ from flowlens.llm.shared import width
 from flowlens.operators.lineage import cut, release
 
 THRESHOLD, PIVOTS, TILE, SHARE_ROWS = 0.9, 256, 2048, 65_536
+DEAL_ROWS, SEND_ROWS = 512, 4096
 SLACK = 1e-6  # on angles, against rounding: it only lets more vectors visit
 
 
@@ -72,28 +73,53 @@ def _home(pivots: dict[int, np.ndarray]):
     return run
 
 
+def _times(row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row n times, and the numbers from 0 to n - 1 beside it."""
+    out = np.repeat(row, n)
+    return out, np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _deal(pivots: dict[int, np.ndarray], radius: dict[tuple[int, int], float], tiles: dict[tuple[int, int], int], shares: int, reach: float):
     """A row for every unit of work that a vector takes part in: as a member of its tile, or as a visitor."""
 
+    def bounds(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tiles and radius of each cell of a length, cell -1 first."""
+        cells = range(-1, len(pivots.get(dim, ())))
+        return np.array([tiles.get((dim, c), 0) for c in cells]), np.array([radius.get((dim, c), -np.inf) for c in cells])
+
+    def units(dim: int, unit: np.ndarray, cell, angle, spot) -> tuple[np.ndarray, np.ndarray]:
+        """Rows, and cell, tile, share and visits of the units each takes part in."""
+        n_tiles, radii = bounds(dim)
+        row = np.arange(len(cell))
+        tile, share = spot % n_tiles[cell + 1], spot // 1_000_003 % shares
+        member, s = _times(row, np.full(len(row), shares))
+        inside, lower = _times(row, tile)
+        parts = [(member, cell[member], tile[member], s, 0), (inside, cell[inside], lower, share[inside], 1)]
+        if dim in pivots:
+            own = _angles(unit, pivots[dim])
+            can = (own <= angle[:, None] + 2 * reach + SLACK) & (own <= radii[1:] + reach + SLACK) & (np.arange(own.shape[1]) < cell[:, None])
+            guest, other = np.nonzero(can)
+            k, t = _times(np.arange(len(guest)), n_tiles[other + 1])
+            parts.append((guest[k], other[k], t, share[guest[k]], 1))
+        where = [np.stack(np.broadcast_arrays(*p[1:])) for p in parts]
+        return np.concatenate([p[0] for p in parts]), np.concatenate(where, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, where = [], []
-            columns = [batch.column(c).to_numpy() for c in ("dim", "cell", "angle", "spot")]
-            blobs = batch.column("unit").to_pylist()
-            for k, (dim, cell, angle, spot) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
-                tile, share = spot % tiles[dim, cell], (spot // 1_000_003) % shares
-                units = [(dim, cell, tile, s, 0) for s in range(shares)] + [(dim, cell, t, share, 1) for t in range(tile)]
-                if cell > 0:
-                    own = _angles(_matrix([blobs[k]], dim), pivots[dim][:cell])[0]
-                    for other in np.flatnonzero(own <= angle + 2 * reach + SLACK):
-                        most = radius.get((dim, int(other)))
-                        if most is not None and own[other] <= most + reach + SLACK:
-                            units += [(dim, int(other), t, share, 1) for t in range(tiles[dim, int(other)])]
-                row += [k] * len(units)
-                where += units
-            taken = batch.select(["rep", "weight", "unit"]).take(pa.array(row, pa.int64()))
-            places = [pa.array(c, pa.int32()) for c in (zip(*where, strict=True) if where else [[]] * 5)]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *places], names=["rep", "weight", "unit", "dim", "cell", "tile", "share", "visits"])
+        for whole in batches:
+            for lo in range(0, len(whole), DEAL_ROWS):
+                batch = whole.slice(lo, DEAL_ROWS)
+                dims, *columns = (batch.column(c).to_numpy() for c in ("dim", "cell", "angle", "spot"))
+                blobs = batch.column("unit").to_pylist()
+                for dim in np.unique(dims).tolist():
+                    at = np.flatnonzero(dims == dim)
+                    row, where = units(dim, _matrix([blobs[i] for i in at], dim), *(c[at] for c in columns))
+                    for a in range(0, len(row), SEND_ROWS):  # a vector may take part in many units
+                        taken = batch.select(["rep", "weight", "unit"]).take(pa.array(at[row[a : a + SEND_ROWS]]))
+                        places = [pa.array(c, pa.int32()) for c in where[:, a : a + SEND_ROWS]]
+                        yield pa.RecordBatch.from_arrays(
+                            [*taken.columns, pa.array(np.full(len(taken), dim, np.int32)), *places],
+                            names=["rep", "weight", "unit", "dim", "cell", "tile", "share", "visits"],
+                        )
 
     return run
 
