@@ -33,7 +33,7 @@ from flowlens.llm.words import Words, chunks, mix
 from flowlens.operators.lineage import cut, release
 
 N, PART, WHOLE = 4, 85, 100
-FREQUENT, COLUMN_ROWS, TILE, CHUNK = 1 << 20, 4096, 2048, 2048
+FREQUENT, COLUMN_ROWS, TILE, CHUNK, RANGE = 1 << 20, 4096, 1024, 2048, 1 << 18
 
 
 def _ceil(a, b):
@@ -202,29 +202,39 @@ def _link_columns(part: int, whole: int):
     return run
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, part: int, whole: int) -> Iterator[tuple[int, int]]:
-    """Qualifying pairs between two lists of n-gram sets (or inside one), one per pair of pieces joined.
-
-    Indices of `right` follow those of `left`. Overlaps are accumulated over chunks of the columns
-    that at least two rows have.
-    """
-    rows = left + (right or [])
-    size = np.array([len(r) for r in rows], np.int64)
-    columns, inverse, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), size)
+def _incidence(grams: np.ndarray, owner: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The columns that at least two rows have, CHUNK of them at a time, as dense 0/1 blocks of n rows."""
+    _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1
     keep = (count > 1)[inverse]
     column, owner = shared[inverse[keep]], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    n_left, n = len(left), len(rows)
-    overlap = np.zeros((n_left, n if right is None else n - n_left), np.float32)
     total = int(column[-1]) + 1 if len(column) else 0
     for start in range(0, total, CHUNK):
         a, b = np.searchsorted(column, [start, start + CHUNK])
         block = np.zeros((n, min(CHUNK, total - start)), np.float32)
         block[owner[a:b], column[a:b] - start] = 1
-        overlap += block[:n_left] @ (block if right is None else block[n_left:]).T
+        yield block
+
+
+def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, part: int, whole: int) -> Iterator[tuple[int, int]]:
+    """Qualifying pairs between two lists of n-gram sets (or inside one), one per pair of pieces joined.
+
+    Indices of `right` follow those of `left`. Overlaps are accumulated over ranges of the columns, so
+    that next to the sets themselves only one range and one dense block of it are held.
+    """
+    rows = left + (right or [])
+    size = np.array([len(r) for r in rows], np.int64)
+    grams, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    n_left, n = len(left), len(rows)
+    overlap = np.zeros((n_left, n if right is None else n - n_left), np.float32)
+    ranges = max(1, len(grams) // RANGE)
+    place = (grams >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
+    for k in range(ranges):
+        here = place == k
+        for block in _incidence(grams[here], owner[here], n):
+            overlap += block[:n_left] @ (block if right is None else block[n_left:]).T
     labels, shift = np.arange(n), 0 if right is None else n_left
     other = size[shift:]
     for i in range(n_left):
