@@ -9,8 +9,10 @@ overlap that takes. The product is formed only where these bounds leave a chance
    row of a pair: s - ceil(1.7 s / 1.85) + 1). Only these are shuffled.
 2. A column that one class of documents has goes. Within each other column, pairs whose sizes and
    column positions cannot reach the overlap are discarded; the rest connect rows into blocks.
-3. A block is cut into tiles. A task multiplies two tiles column chunk by column chunk, accumulates
-   the overlaps, and emits one link per pair of pieces that it joins, never all pairs.
+3. A block is cut into tiles, a larger one by bands of set sizes first: rows two bands apart differ
+   too much in size to qualify, so only tiles of the same or the next band meet. A task multiplies two
+   tiles column chunk by column chunk, accumulates the overlaps, and emits one link per pair of pieces
+   that it joins, never all pairs.
 
 Documents with the same n-grams are one row of the matrix (a class), so copies cost nothing. The
 frequent columns are found from repeats inside each task's batches; they only steer the order, and
@@ -20,11 +22,12 @@ any order gives the same result. Hashes are 64 bits wide; a class is told by 128
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import components
@@ -34,6 +37,8 @@ from flowlens.operators.lineage import cut, release
 
 N, PART, WHOLE = 4, 85, 100
 FREQUENT, COLUMN_ROWS, TILE, CHUNK, RANGE = 1 << 20, 4096, 1024, 2048, 1 << 18
+#: N-grams that a tile holds before it is cut further; a single longer text is a tile of its own size.
+MASS = 1 << 22
 
 
 def _ceil(a, b):
@@ -262,9 +267,30 @@ def _link_tiles(n: int, part: int, whole: int):
     return run
 
 
+def _sized(n: int):
+    """Adds the size of its set to each row of a banded block; 0 to the others, whose blocks are one tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            banded = batch.column("banded").to_numpy(zero_copy_only=False)
+            texts = [t if b else b"" for t, b in zip(_bodies(batch), banded, strict=True)]
+            sizes = [shingle_sets(texts[i:j], n)[1] for i, j in chunks(texts)]
+            size = pa.array(np.concatenate(sizes) if sizes else [], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("doc"), size, batch.column("body")], names=["block", "doc", "size", "body"]
+            )
+
+    return run
+
+
+def band(size: Column, part: int, whole: int) -> Column:
+    """Bands of sizes, a little wider than the ratio that qualifying pairs keep: their bands differ by one at most."""
+    return F.when(size > 0, F.floor(F.log(size) / F.lit(math.log(whole / part) * (1 + 1e-9)))).otherwise(F.lit(0)).cast("int")
+
+
 def ngram_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, part: int = PART, whole: int = WHOLE,
-    column_rows: int = COLUMN_ROWS, tile: int = TILE,
+    column_rows: int = COLUMN_ROWS, tile: int = TILE, mass: int = MASS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -295,11 +321,12 @@ def ngram_join(
     postings = cut(rows.where("doc_id is not null").mapInArrow(_columns(n, part, whole, frequent), "gram long, doc long, size int, at int"))
     shared = postings.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("gram")
     # What copies add goes here, where only shared columns are left; then columns of one row go, too.
-    repeated = cut(postings.join(shared, "gram"))
+    common = cut(postings.join(shared, "gram"))
     release(postings)
-    repeated = repeated.join(chosen, "doc", "left_semi")
+    repeated = common.join(chosen, "doc", "left_semi")
     sizes = cut(repeated.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low")).where("n > 1"))
     members = cut(repeated.join(sizes, "gram"))
+    release(common)
     lead = members.groupBy("doc").agg(F.min("at").alias("lead"))
     members = members.join(lead, "doc")
     in_task = (
@@ -309,18 +336,32 @@ def ngram_join(
     # A column with more rows connects them all: its block is larger than it need be, never smaller.
     starred = members.where((F.col("n") > column_rows) & (F.col("low") != F.col("doc"))).select(F.col("low").alias("a"), F.col("doc").alias("b"))
     blocks = components(in_task.unionByName(starred))
-    tiles = blocks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    placed = cut(
-        blocks.join(tiles, "component").select(
-            F.col("component").alias("block"), F.col("node").alias("doc"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")
-        )
-    )
+    release(members, sizes)
+    held = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
+    banded = (F.count(F.lit(1)) > tile) | (F.sum("n") > mass)
+    large = blocks.join(held, F.col("node") == F.col("doc_id")).groupBy("component").agg(banded.alias("banded"))
+    placed = cut(blocks.join(large, "component").select(F.col("component").alias("block"), F.col("node").alias("doc"), "banded"))
     bodies = cut(
-        rows.withColumnRenamed("doc_id", "doc").join(placed, "doc").select("block", "tiles", "tile", "doc", "body")
+        rows.withColumnRenamed("doc_id", "doc").join(placed, "doc").select("block", "doc", "banded", "body")
+        .mapInArrow(_sized(n), "block long, doc long, size long, body binary")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    by_band = bodies.withColumn("band", band(F.col("size"), part, whole))
+    count = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("size") / mass)).cast("long")
+    tiles = cut(by_band.groupBy("block", "band").agg(count.alias("tiles")))
+    # Every band meets itself and those next to it. A tile's number is its band, then its place in it.
+    to = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("to")
+    meets = cut(
+        tiles.select("block", "band", "tiles", to)
+        .join(tiles.select("block", F.col("band").alias("to"), F.col("tiles").alias("others")), ["block", "to"])
+    )
+
+    def number(at: str, place: Column) -> Column:
+        return F.shiftleft(F.col(at).cast("long"), 32) + place
+
     links = (
-        bodies.select("block", "tile", "doc", "body", other)
+        by_band.join(meets, ["block", "band"])
+        .withColumn("tile", number("band", F.pmod(F.xxhash64("doc"), F.col("tiles"))))
+        .withColumn("place", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("other", number("to", F.col("place")))
         .select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "body")
         .repartition(width(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
         .mapInArrow(_link_tiles(n, part, whole), "a long, b long")
@@ -330,7 +371,7 @@ def ngram_join(
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
     found = components(links.unionByName(copies))
-    release(bodies, placed)
+    release(bodies, placed, tiles, meets)
     return texts.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -72,7 +72,13 @@ def test_substring_dedup(spark, texts):
         assert sorted(((r[0], r[1], r[2], bytes(r[3])) for r in got), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "tile": 2}])
+def test_ngram_bands(spark):
+    """The largest size that may qualify with each size is in its band or the next."""
+    bands = ngram_join.band(F.col("id"), 85, 100), ngram_join.band(F.floor(F.col("id") * 100 / 85), 85, 100)
+    assert spark.range(1, 300_000).where(bands[1] - bands[0] > 1).isEmpty()
+
+
+@pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "tile": 2}, {"tile": 2, "mass": 40}])
 def test_ngram_join(spark, texts, kw):
     def shingles(t):
         w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
