@@ -16,13 +16,14 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,26 +170,27 @@ def _one_line(url: str | None) -> str:
 
 
 def _write(folder: str, package_bytes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = arrow_fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         data, index = io.BytesIO(), []
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.wacz"
             lines = "".join(json.dumps(x) + "\n" for x in index).encode()
             package = zip_stored([(ARCHIVE, data.getvalue()), (INDEX, lines)])
             with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(package)
-            return pd.DataFrame({"name": [name], "size": [len(package)], "records": [len(index)]})
+            return pa.RecordBatch.from_pydict({"name": [name], "size": [len(package)], "records": [len(index)]})
 
+        columns = ("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to")
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                refers = None if r.refers_to is None or r.refers_to != r.refers_to else int(r.refers_to)
-                page = "null" if r.page_id is None or r.page_id != r.page_id else int(r.page_id)
+            # Arrow keeps ids exact next to nulls.
+            for page_id, url, payload, size, sha1, refers in zip(*(batch.column(c) for c in columns), strict=True):
+                page = "null" if page_id.as_py() is None else page_id.as_py()
                 at = data.tell()
-                data.write(warc_record(page, _one_line(r.url), r.payload or b"", int(r.payload_bytes), r.sha1, refers))
-                index.append({"url": r.url, "offset": at, "length": data.tell() - at})
+                data.write(warc_record(page, _one_line(url.as_py()), payload.as_py() or b"", size.as_py(), sha1.as_py(), refers.as_py()))
+                index.append({"url": url.as_py(), "offset": at, "length": data.tell() - at})
                 if data.tell() >= package_bytes:
                     yield close()
                     data, index = io.BytesIO(), []
@@ -220,43 +222,54 @@ def write_packages(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
         "page_id", "url", "payload_bytes", "sha1", refers.alias("refers_to"),
         F.when(refers.isNull(), F.col("payload")).alias("payload"),
     )
-    return cut(marked.mapInPandas(_write(folder, package_bytes), "name string, size long, records long"))
+    return cut(marked.mapInArrow(_write(folder, package_bytes), "name string, size long, records long"))
 
 
 def _locate(folder: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where each record of a package lies, a package after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = arrow_fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, size in zip(batch["name"], batch["size"], strict=True):
+            for name, size in zip(batch.column("name").to_pylist(), batch.column("size").to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as file:
                     members = zip_directory(file, size)
                     start = members[ARCHIVE][0]
                     lines = read_range(file, *members[INDEX]).decode("utf-8", "surrogatepass").splitlines()
                 entries = [json.loads(x) for x in lines]
-                yield pd.DataFrame(
-                    {"name": name, "url": [x["url"] for x in entries], "at": [start + x["offset"] for x in entries], "length": [x["length"] for x in entries]}
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(entries), pa.string()), pa.array([x["url"] for x in entries], pa.string()),
+                        pa.array([start + x["offset"] for x in entries], pa.int64()), pa.array([x["length"] for x in entries], pa.int64()),
+                    ],
+                    names=["name", "url", "at", "length"],
                 )
 
     return run
 
 
 def _fetch(folder: str, payloads: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    kinds += [("payload", pa.binary())] * payloads
+
+    def record(file, name: str, url, at: int, length: int) -> tuple:
+        r = parse_record(read_range(file, at, length))
+        sha1 = base64.b32decode(r["warc-payload-digest"].removeprefix("sha1:")).hex()
+        size, kind = int(r["http"]["content-length"]), r["warc-type"]
+        if kind == "response" and (len(r["payload"]) != size or hashlib.sha1(r["payload"]).hexdigest() != sha1):
+            raise ValueError(f"{name}: the payload at {at} does not match its digest")
+        return (_page(r["warc-record-id"]), url, size, sha1, kind, _page(r.get("warc-refers-to"))) + ((r["payload"],) if payloads else ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = arrow_fs.FileSystem.from_uri(folder)
         for batch in batches:
             out = []
-            for name, part in batch.groupby("name", sort=False):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "url", "at", "length")), strict=True)
+            for name, part in itertools.groupby(rows, key=lambda r: r[0]):
                 with store.open_input_file(f"{root}/{name}") as file:
-                    for url, at, length in zip(part["url"], part["at"], part["length"], strict=True):
-                        r = parse_record(read_range(file, at, length))
-                        sha1 = base64.b32decode(r["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        size, kind = int(r["http"]["content-length"]), r["warc-type"]
-                        if kind == "response" and (len(r["payload"]) != size or hashlib.sha1(r["payload"]).hexdigest() != sha1):
-                            raise ValueError(f"{name}: the payload at {at} does not match its digest")
-                        out.append((_page(r["warc-record-id"]), url, size, sha1, kind, _page(r.get("warc-refers-to"))) + ((r["payload"],) if payloads else ()))
-            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
-            rows = pd.DataFrame(out, columns=names)
-            yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    out += [record(file, *r) for r in part]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
     return run
 
@@ -268,13 +281,19 @@ def read_packages(packages: DataFrame, folder: str, payloads: bool = False) -> D
     is no ZIP file, has compressed members or ends early raises.
     """
     n = width(packages.sparkSession)
-    entries = packages.select("name", "size").repartition(n).mapInPandas(_locate(folder), "name string, url string, at long, length long")
+    entries = packages.select("name", "size").repartition(n).mapInArrow(_locate(folder), "name string, url string, at long, length long")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return entries.mapInPandas(_fetch(folder, payloads), schema + ", payload binary" * payloads)
+    return entries.mapInArrow(_fetch(folder, payloads), schema + ", payload binary" * payloads)
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write the pages into packages in the session's shared folder and read every record back."""
+    """Write the pages into packages in the session's shared folder and read every record back.
+
+    One row per page: page_id, url, payload_bytes, payload_digest, record_type, refers_to. A null html is
+    an empty payload; null ids and urls come back as null; of rows that repeat id and payload all are
+    responses. A page of any length is one record. An empty table gives an empty result; other columns
+    are not read, whatever their names.
+    """
     folder = new_path(pages.sparkSession, "warc")
     return read_packages(write_packages(pages, folder), folder)
 
