@@ -17,7 +17,8 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +82,14 @@ def round_shard(sizes: np.ndarray, fractions: np.ndarray, seed: str, last: bool)
     return out
 
 
-def _round_group(seed: str, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_place", kind="stable").reset_index(drop=True)
-        source = rows["_source"].iloc[0]
-        name = f"{seed}|{level}|{rows['_shard'].iloc[0]}|{'null' if source is None else '=' + source}"
-        rows["_fraction"] = round_shard(rows["size"].to_numpy(np.float64), rows["_fraction"].to_numpy(), name, last)
-        return rows
+def _round_group(seed: str, level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows["_place"]))  # a stable sort
+        source = rows["_source"][0].as_py()
+        name = f"{seed}|{level}|{rows['_shard'][0].as_py()}|{'null' if source is None else '=' + source}"
+        fraction = round_shard(rows["size"].to_numpy().astype(np.float64), rows["_fraction"].to_numpy().copy(), name, last)
+        # Only these two columns become numpy arrays, so carried ids stay exact next to nulls.
+        return rows.set_column(rows.column_names.index("_fraction"), "_fraction", pa.array(fraction, pa.float64()))
 
     return run
 
@@ -128,7 +130,7 @@ def mix(
     settled, level, shards = None, 0, max([1, *(-(-v[1] // SHARD_ROWS) for v in totals.values())])
     while True:
         last = shards == 1
-        done = open_.groupBy("_source", "_shard").applyInPandas(_round_group(seed, level, last), open_.schema)
+        done = open_.groupBy("_source", "_shard").applyInArrow(_round_group(seed, level, last), open_.schema)
         if last:
             settled = done if settled is None else settled.unionByName(done)
             break
