@@ -35,6 +35,7 @@ START_PRICE, DROP_PRICE = 1.0, 2.0
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = set("script style noscript template head title svg iframe object canvas math".split())
+HEAD_HOLDS = set("html head title base link meta style script noscript template".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 FORMS = set("form button select textarea input option fieldset".split())
 SAYS_NO = set("nav aside footer header form menu dialog".split()) | FORMS
@@ -47,23 +48,44 @@ TOKENS = (
 ).split()
 TAGS = "article main section div p h1 h2 h3 ul ol li a nav aside footer header form table td blockquote pre figure figcaption span body html b br img".split()
 ROOT = "#page"
+#: Elements whose content is no markup: text up to their end tag or the page's end.
+RAW = set(HTMLParser.CDATA_CONTENT_ELEMENTS) | {"title", "style", "script"}
 
 
 class Page(HTMLParser):
-    """Elements in page order as parallel lists, and the text pieces with the element each lies in."""
+    """Elements in page order as parallel lists, and the text pieces with the element each lies in.
+
+    What a hidden element holds is left out. A head ends where something stands that no head can hold;
+    an element that hides its content but is never closed hides nothing. Each open tag's places are kept,
+    so that parsing takes time in proportion to the page, however deep it is nested.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.children = [ROOT], [""], [-1], [[]]
+        self.hides = [False]
         self.pieces: list[tuple[int, str]] = []
         self.open = [0]
-        self.hidden = 0
+        self.places: dict[str, list[int]] = {}
         self.feed(html)
         self.close()
+        for k in self.open:
+            self.hides[k] &= self.tag[k] in RAW
+        hidden = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            hidden[k] = hidden[self.parent[k]] or self.hides[k]
+        self.pieces = [(k, text) for k, text in self.pieces if not hidden[k] or text == " "]
+
+    def _last(self, tag: str) -> int:
+        """Place in the open elements of the last with this tag; 0 for none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and "p" in (names := [self.tag[k] for k in self.open]):
-            self._end(len(names) - 1 - names[::-1].index("p"))
+        if tag not in HEAD_HOLDS and (head := self._last("head")) and (head == len(self.open) - 1 or tag == "body"):
+            self._end(head, closed=head)
+        if tag in CLOSES_P and (p := self._last("p")):
+            self._end(p)
         elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.tag[self.open[-1]] == tag:
             self._end(len(self.open) - 1)
         if tag not in INLINE:
@@ -74,29 +96,33 @@ class Page(HTMLParser):
         self.parent.append(self.open[-1])
         self.children.append([])
         self.children[self.open[-1]].append(k)
+        self.hides.append(tag in HIDDEN)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(k)
-            self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[at]] == tag:
-                return self._end(at)
-        return None
-
-    def _end(self, at: int) -> None:
-        for k in self.open[at:]:
-            self.hidden -= self.tag[k] in HIDDEN
+        if at := self._last(tag):
+            self._end(at, closed=at)
+
+    def _end(self, at: int, closed: int = 0) -> None:
+        """End the open elements from place `at` on; that at `closed` has an end tag, the others have none."""
+        for place in range(at, len(self.open)):
+            k = self.open[place]
+            self.hides[k] &= place == closed or self.tag[k] in RAW
             if self.tag[k] not in INLINE:
                 self.pieces.append((k, " "))
+        for k in reversed(self.open[at:]):
+            self.places[self.tag[k]].pop()
         del self.open[at:]
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.pieces.append((self.open[-1], data))
+        if (head := self._last("head")) == len(self.open) - 1 and head and data.strip():
+            self._end(head, closed=head)
+        self.pieces.append((self.open[-1], data))
 
     def unknown_decl(self, data):
         pass
@@ -162,7 +188,7 @@ def decode(page: Page, logit: np.ndarray) -> np.ndarray:
     yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
     out, art, gone = no.copy(), yes.copy(), no.copy()
     for k in range(n):
-        if page.tag[k] in HIDDEN:
+        if page.hides[k]:
             art[k] = -1e9
     for k in range(n - 1, 0, -1):
         p = page.parent[k]

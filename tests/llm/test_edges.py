@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -256,7 +257,30 @@ def test_html(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r.n_chars == len(r.text)
-        assert r.page_id == 100 or r.text == (want if r.page_id is not None and r.page_id < 60 else "")
+        assert r.text == (want if r.page_id is not None and (r.page_id < 60 or r.page_id == 100) else "")
+
+
+def page_text(html):
+    page = html_extract.Page(html)
+    return " ".join("".join(text for _, text in page.pieces).split())
+
+
+def test_html_with_open_elements():
+    assert page_text("<html><head><title>t</title><body><p>one<p>two</body>") == "one two"
+    assert page_text("<head><meta a><p>one<div>two</div>") == "one two"
+    assert page_text("<head><title>t</title>text") == "text"
+    assert page_text("<head><noscript><p>no</p></noscript></head><p>one") == "one"
+    for tag in ("noscript", "object", "svg", "canvas"):
+        assert page_text(f"<body><div><{tag}>a<p>b</div><p>c</body>") == "a b c"
+        assert page_text(f"<body><div><{tag}>a<p>b</{tag}></div><p>c</body>") == "c"
+    assert page_text("<body>a<script>b</script><style>c</style>d") == "a d"
+
+
+def test_html_deep_and_long():
+    start = time.perf_counter()
+    n = 100_000
+    page = html_extract.Page("<div>" * n + "<p>text" + "</div>" * n + "<p>end " * n)
+    assert len(page.tag) == 2 * n + 2 and time.perf_counter() - start < 20
 
 
 def test_toxicity_learns_and_handles_edges(spark):
@@ -292,3 +316,18 @@ def test_empty_tables(spark):
     ]
     assert [r.count() for r in results] == [0] * len(results)
     assert toxicity.toxicity(frame(spark, [(1, "x")]), labels).count() == 1
+
+
+def test_ids_beyond_doubles(spark):
+    """Ids that no 64-bit float holds stay exact, also in batches with nulls."""
+    ids = [(1 << 60) + k for k in (1, 3, 6)] + [None, -(1 << 62) - 1]
+    body = "x" * 2000
+    pages = spark.createDataFrame([(i, "u", body, "x") for i in ids] + [(7, "u", "short", "x")], "page_id long, url string, html string, sha1 string")
+    got = warc.archive(pages.coalesce(1)).collect()
+    top = (1 << 60) + 6
+    assert sorted(((r.page_id, r.refers_to) for r in got), key=repr) == sorted([(i, None if i == top else top) for i in ids] + [(7, None)], key=repr)
+    docs = spark.createDataFrame([(i, "a b c", "s") for i in ids] + [(i, "a b", None) for i in ids], "doc_id long, text string, source string")
+    assert sorted((r.doc_id for r in mixing.mix(docs).collect()), key=repr) == sorted(ids * 2, key=repr)
+    texts = docs.select("doc_id", "text")
+    for out in (exact_dedup.exact_dedup(texts), substring_dedup.substring_dedup(texts), ngram_join.ngram_join(texts), packing.pack(docs)):
+        assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted(ids * 2, key=repr)
