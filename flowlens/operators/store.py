@@ -2,28 +2,118 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import ordered
-from flowlens.operators.lineage import cut
-from flowlens.schema import PROGRESS_KEYS, TableSpec
+from flowlens.operators.lineage import cut, release
+from flowlens.schema import PROGRESS_KEYS, TableSpec, split_ddl
 
-BUCKET, PART = "_bucket", "_part"
+BUCKET = "_bucket"
+#: Rows of one bucket and of one file; buckets and files follow the rows written.
+BUCKET_ROWS, FILE_ROWS, MAX_BUCKETS = 1_000_000, 2_000_000, 4096
+#: Deltas are folded into one when there are more; into the base when they hold this part of its rows.
+MAX_DELTAS, DELTA_PART = 16, 0.25
+
+
+# --- registers -------------------------------------------------------------------------------
+# A register is a value with the sequence it was written at. Folding takes, for each field, the
+# register with the largest sequence (at a tie the largest value), so any order of rows, any split
+# into batches and any repeat of a batch gives the same table.
+
+
+def _order(seq: Column, kind: str) -> Column:
+    """A sequence as a number; timestamps by the microsecond."""
+    return F.unix_micros(seq) if kind == "timestamp" else seq.cast("bigint")
+
+
+def _kinds(spec: TableSpec) -> dict[str, str]:
+    return dict(part.split(" ", 1) for part in split_ddl(spec.ddl))
+
+
+def registers(rows: DataFrame, keys, seq: str | Column) -> DataFrame:
+    """Keys, and each other column as a register; a null is no write. `seq` names a whole number or timestamp."""
+    kind = dict(rows.dtypes)[seq] if isinstance(seq, str) else "bigint"
+    at = _order(F.col(seq) if isinstance(seq, str) else seq, kind)
+    rest = [c for c in rows.columns if c not in keys and c != seq]
+    return rows.select(*keys, *[F.when(F.col(c).isNotNull(), F.struct(at.alias("seq"), F.col(c).alias("value"))).alias(c) for c in rest])
+
+
+def fold(rows: DataFrame, keys) -> DataFrame:
+    """One row of registers per key: of each field the latest. Combines before the shuffle; null keys match null."""
+    kinds = dict(rows.dtypes)
+
+    def latest(c: str) -> Column:
+        if "variant" in kinds[c]:  # has no order of its own
+            return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(f"{c}.seq", F.to_json(f"{c}.value"))))
+        return F.max(c)
+
+    return rows.groupBy(*keys).agg(*[latest(c).alias(c) for c in rows.columns if c not in keys])
+
+
+def settled(rows: DataFrame, keys) -> DataFrame:
+    """Registers as plain values."""
+    return rows.select(*[F.col(c) if c in keys else F.col(f"{c}.value").alias(c) for c in rows.columns])
 
 
 # --- files -----------------------------------------------------------------------------------
+# A table is a base folder and delta folders of registers; a numbered layout record lists them with
+# their number of buckets and rows. Data is only ever written into new folders and becomes visible
+# with the next record, so a reader sees one state and a lost writer leaves none.
 
 
 def _path(root: str, spec: TableSpec) -> str:
     return f"{root.rstrip('/')}/{spec.name}"
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _records(spark: SparkSession, root: str, spec: TableSpec) -> list[int]:
+    fs, path = _files(spark, f"{_path(root, spec)}/_layout")
+    found = fs.listStatus(path) if fs.exists(path) else []
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def layout(spark: SparkSession, root: str, spec: TableSpec, version: int | None = None) -> dict:
+    """The newest layout record (or a given one): its version and folders, the base first."""
+    if version is None:
+        known = _records(spark, root, spec)
+        if not known:
+            return {"version": 0, "folders": []}
+        version = known[-1]
+    fs, path = _files(spark, f"{_path(root, spec)}/_layout/{version:012d}.json")
+    stream = fs.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, root: str, spec: TableSpec, version: int, folders: list[dict]) -> bool:
+    """Write the next record; false if another writer has taken its number."""
+    fs, path = _files(spark, f"{_path(root, spec)}/_layout/{version:012d}.json")
+    _, draft = _files(spark, f"{_path(root, spec)}/_layout/{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"version": version, "folders": folders}).encode()))
+    out.close()
+    # A rename onto a record that exists fails on HDFS; the check covers file systems that would replace it.
+    if fs.exists(path) or not fs.rename(draft, path):
+        fs.delete(draft, False)
+        return False
+    return True
+
+
 def exists(spark: SparkSession, root: str, spec: TableSpec) -> bool:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(_path(root, spec))
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+    return bool(_records(spark, root, spec))
 
 
 def bucket_of(scope: Column, buckets: int) -> Column:
@@ -34,52 +124,143 @@ def _scope_col(spec: TableSpec) -> str:
     return "submission_id" if "submission_id" in spec.columns else spec.keys[0]
 
 
-def _placed(df: DataFrame, spec: TableSpec, buckets: int, parts: int) -> DataFrame:
-    """Add the two partition columns: by scope (prunes scans), then by whole key (splits hot scopes)."""
-    return df.withColumn(BUCKET, bucket_of(F.col(_scope_col(spec)), buckets)).withColumn(
-        PART, F.pmod(F.xxhash64(*spec.keys), F.lit(parts)).cast("int")
-    )
+def _typed(df: DataFrame, spec: TableSpec, seq: str | None, version: int) -> DataFrame:
+    """Registers in the table's columns; without `seq` a row counts as written at the table's next version."""
+    kinds = _kinds(spec)
+    extra = [F.col(seq).alias("_seq")] if seq else [F.lit(version).alias("_seq")]
+    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in spec.columns]
+    return registers(df.select(*cols, *extra), spec.keys, "_seq")
 
 
-def write(df: DataFrame, root: str, spec: TableSpec, buckets: int = 64, parts: int = 8) -> None:
-    """Write (or overwrite the touched partitions of) a store table."""
-    (
-        _placed(df, spec, buckets, parts)
-        .repartition(BUCKET, PART)
-        .sortWithinPartitions(BUCKET, PART, *spec.keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET, PART)
-        .parquet(_path(root, spec))
-    )
+def _write_folder(rows: DataFrame, root: str, spec: TableSpec, kind: str, n_rows: int, bucket_rows: int, file_rows: int) -> dict:
+    """Write folded registers into a new folder and describe it.
 
+    Rows are placed by ranges of (bucket, key): a hot submission spreads over as many files as its rows
+    ask for, and buckets with few rows share a task. A base has a folder per bucket; a delta, which
+    is small, keeps the bucket as a column, sorted, so that it is pruned by its statistics.
+    """
+    buckets = max(1, min(MAX_BUCKETS, -(-n_rows // bucket_rows)))
+    name = f"{kind}-{uuid.uuid4().hex}"
+    placed = rows.withColumn(BUCKET, bucket_of(F.col(_scope_col(spec)), buckets))
+    by = [BUCKET, *spec.keys]
+    writer = placed.repartitionByRange(max(1, -(-n_rows // file_rows)), *by).sortWithinPartitions(*by).write
+    (writer.partitionBy(BUCKET) if kind == "base" else writer).parquet(f"{_path(root, spec)}/{name}")
+    return {"name": name, "kind": kind, "buckets": buckets, "rows": n_rows}
 
-def read(spark: SparkSession, root: str, spec: TableSpec, scope: str | None = None, buckets: int = 64) -> DataFrame:
-    """Read a store table; a scope value prunes to one bucket before its exact filter."""
-    df = spark.read.parquet(_path(root, spec))
-    if scope is not None:
-        df = df.where((F.col(BUCKET) == bucket_of(F.lit(scope), buckets)) & (F.col(_scope_col(spec)) == scope))
-    return df.drop(BUCKET, PART)
 
+def _folder(spark: SparkSession, root: str, spec: TableSpec, folder: dict) -> DataFrame:
+    """Registers of one folder.
 
-def merge(
+    Its filter holds for every row. With `submission_id = 'x'` beside it, Catalyst puts the constant
+    into it and folds the hash, and what is left is a filter on the bucket: SQL prunes by itself.
+    """
+    path, kinds = f"{_path(root, spec)}/{folder['name']}", _kinds(spec)
+    ddl = ", ".join([*(f"{c} {kinds[c]}" if c in spec.keys else f"{c} struct<seq: bigint, value: {kinds[c]}>" for c in spec.columns), f"{BUCKET} int"])
+    rows = spark.read.schema(ddl).parquet(path)
+    return rows.where(F.col(BUCKET) == bucket_of(F.col(_scope_col(spec)), folder["buckets"])).drop(BUCKET)
+
+
+def read_registers(spark: SparkSession, root: str, spec: TableSpec, folders: list[dict] | None = None) -> DataFrame:
+    """The folded registers of a table; a table without deltas needs no fold, so no shuffle."""
+    folders = layout(spark, root, spec)["folders"] if folders is None else folders
+    if not folders:
+        raise ValueError(f"no table {spec.name} under {root}")
+    parts = [_folder(spark, root, spec, f) for f in folders]
+    return parts[0] if len(parts) == 1 else fold(reduce(DataFrame.unionByName, parts), spec.keys)
+
+
+def read(spark: SparkSession, root: str, spec: TableSpec, scope: str | None = None) -> DataFrame:
+    """A stored table: of each field the last value written. A filter on the scope column prunes to its bucket."""
+    df = settled(read_registers(spark, root, spec), spec.keys)
+    return df if scope is None else df.where(F.col(_scope_col(spec)) == scope)
+
+
+def write(
+    df: DataFrame, root: str, spec: TableSpec, seq: str | None = None, bucket_rows: int = BUCKET_ROWS, file_rows: int = FILE_ROWS,
+) -> None:
+    """Make a table of `df`, replacing what the table held."""
+    spark, version = df.sparkSession, layout(df.sparkSession, root, spec)["version"] + 1
+    rows = cut(fold(_typed(df, spec, seq, version), spec.keys))
+    base = _write_folder(rows, root, spec, "base", rows.count(), bucket_rows, file_rows)
+    release(rows)
+    if not _commit(spark, root, spec, version, [base]):
+        raise RuntimeError(f"another writer changed {spec.name} in the meantime")
+
+
+def append(
     spark: SparkSession, root: str, spec: TableSpec, delta: DataFrame, seq: str | None = None,
-    buckets: int = 64, parts: int = 8,
+    bucket_rows: int = BUCKET_ROWS, file_rows: int = FILE_ROWS,
 ) -> None:
-    """Upsert `delta` into a stored table, rewriting only the partitions it touches.
+    """Add rows as a delta: no stored row is read or rewritten.
 
-    The touched partitions number at most buckets x parts, so their list is small by construction.
-    The merged rows are cut through the checkpoint folder before they replace what they were read from.
+    Fields that are null are no writes. With `seq` (a whole number or timestamp) the newest value of each
+    field stays, whatever the order in which deltas arrive; without it the delta counts as newest. A table
+    takes either kind, not both. Adding a delta again changes nothing.
     """
-    if not exists(spark, root, spec):
-        write(reduce_delta(delta, spec.keys, seq), root, spec, buckets, parts)
-        return
-    touched = _placed(delta, spec, buckets, parts).select(BUCKET, PART).distinct().collect()
-    if not touched:
+    rows = None
+    for _ in range(10):
+        now = layout(spark, root, spec)
+        if rows is None or seq is None:
+            rows = cut(fold(_typed(delta, spec, seq, now["version"] + 1), spec.keys))
+            n_rows = rows.count()
+            if not n_rows and now["folders"]:
+                return
+            added = _write_folder(rows, root, spec, "delta" if now["folders"] else "base", n_rows, bucket_rows, file_rows)
+            release(rows)
+        if _commit(spark, root, spec, now["version"] + 1, [*now["folders"], added]):
+            return
+    raise RuntimeError(f"other writers keep changing {spec.name}")
+
+
+def compact(
+    spark: SparkSession, root: str, spec: TableSpec, whole: bool = True, bucket_rows: int = BUCKET_ROWS, file_rows: int = FILE_ROWS,
+) -> None:
+    """Fold all folders into a new base, or (`whole` false) the deltas into one delta. Readers go on undisturbed.
+
+    Deltas that arrive meanwhile stay behind the folded ones; nothing is lost to a second compaction, which gives way.
+    """
+    old = layout(spark, root, spec)["folders"]
+    chosen = old if whole else old[1:]
+    if len(chosen) < 2:
         return
-    hit = reduce(lambda a, b: a | b, [(F.col(BUCKET) == b) & (F.col(PART) == p) for b, p in touched])
-    base = spark.read.parquet(_path(root, spec)).where(hit).drop(BUCKET, PART)
-    write(cut(upsert(base, delta, spec.keys, seq)), root, spec, buckets, parts)
+    rows = cut(read_registers(spark, root, spec, chosen))
+    folded = _write_folder(rows, root, spec, "base" if whole else "delta", rows.count(), bucket_rows, file_rows)
+    release(rows)
+    gone = {f["name"] for f in chosen}
+    for _ in range(10):
+        now = layout(spark, root, spec)
+        if not gone <= {f["name"] for f in now["folders"]}:
+            return
+        kept = [f for f in now["folders"] if f["name"] not in gone]
+        folders = [folded, *kept] if whole else [kept[0], folded, *kept[1:]]
+        if _commit(spark, root, spec, now["version"] + 1, folders):
+            return
+
+
+def merge(
+    spark: SparkSession, root: str, spec: TableSpec, delta: DataFrame, seq: str | None = None,
+    bucket_rows: int = BUCKET_ROWS, file_rows: int = FILE_ROWS,
+) -> None:
+    """Append a delta, then compact when that has become worth it: rewriting the base waits for a share of its rows."""
+    append(spark, root, spec, delta, seq, bucket_rows, file_rows)
+    base, *deltas = layout(spark, root, spec)["folders"]
+    if sum(f["rows"] for f in deltas) > max(base["rows"] * DELTA_PART, bucket_rows * DELTA_PART):
+        compact(spark, root, spec, True, bucket_rows, file_rows)
+    elif len(deltas) > MAX_DELTAS:
+        compact(spark, root, spec, False, bucket_rows, file_rows)
+
+
+def vacuum(spark: SparkSession, root: str, spec: TableSpec, keep: int = 10) -> None:
+    """Delete folders that none of the last `keep` layout records lists, and older records. Not beside a writer."""
+    known = _records(spark, root, spec)
+    live = {f["name"] for v in known[-keep:] for f in layout(spark, root, spec, v)["folders"]}
+    fs, path = _files(spark, _path(root, spec))
+    for entry in fs.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith(("base-", "delta-")) and name not in live:
+            fs.delete(entry.getPath(), True)
+    for v in known[:-keep]:
+        fs.delete(_files(spark, f"{_path(root, spec)}/_layout/{v:012d}.json")[1], False)
 
 
 # --- reading ---------------------------------------------------------------------------------
@@ -164,7 +345,11 @@ def reduce_delta(delta: DataFrame, keys, seq: str | None) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys, seq: str | None = None) -> DataFrame:
-    """New keys insert; existing keys take the delta's non-null fields only. Null keys match null."""
+    """New keys insert; existing keys take the delta's non-null fields only. Null keys match null.
+
+    One step from a base without history: a base keeps no sequences, so the delta counts as newer. Where
+    batches may arrive in any order, keep `registers` and `fold` them, as stored tables do.
+    """
     fresh = reduce_delta(delta, keys, seq)
     joined = base.alias("b").join(fresh.alias("d"), _same_keys("b", "d", keys), "full_outer")
     have = set(fresh.columns)

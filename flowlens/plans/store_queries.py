@@ -8,8 +8,10 @@ from flowlens.engine import Engine
 from flowlens.functions import paths, status as st, timing, values
 from flowlens.operators import jobs as jb
 from flowlens.operators import ordered, status as sta, store
+from flowlens.operators.lineage import new_path
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import query
+from flowlens.schema import SPECS
 from flowlens.sources import inventory, logs
 
 AS_OF = "timestamp_ntz'1999-06-01 00:00:00'"
@@ -308,6 +310,24 @@ def _(t):
     return store.upsert(base, delta, ("run_id", "id"), seq="seq")
 
 
+@query("f1_stored_rounds", "raw_jobs", """with r as (select id, submission_id, run_id, name, case when shard = 2 then null else status end status, start, finish, l_partkey k from v_raw_jobs)
+  select id, submission_id, run_id, arg_max(name, row(k, name)) filter (name is not null) as name, arg_max(status, row(k, status)) filter (status is not null) status,
+    arg_max(start, row(k, start)) filter (start is not null) start, arg_max(finish, row(k, finish)) filter (finish is not null) finish
+  from r group by 1, 2, 3""")
+def _(t):
+    """Batches arrive out of order, one twice, with compactions in between; the table is the same."""
+    root, spec = new_path(t.spark, "store"), SPECS["jobs"]
+    status = F.when(F.col("shard") != 2, F.col("status")).alias("status")
+    rows = t.raw_jobs.select("id", "submission_id", "run_id", "name", status, "start", "finish", F.col("l_partkey").alias("seq"), (F.col("l_suppkey") % 3).alias("part"))
+    batch = [rows.where(F.col("part") == k).drop("part") for k in range(3)]
+    store.write(batch[2], root, spec, seq="seq")
+    for k in (0, 1, 0):
+        store.append(t.spark, root, spec, batch[k], seq="seq")
+        store.compact(t.spark, root, spec, whole=k == 1)
+    out = store.read(t.spark, root, spec).select("id", "submission_id", "run_id", "name", "status", "start", "finish")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
+
+
 @query("f2_split_delta", "", f"""with b as ({_B}), d as ({_D})
   select d.id, d.submission_id, d.name, d.status, case when exists (select 1 from b where b.id is not distinct from d.id
     and b.submission_id is not distinct from d.submission_id) then 'update' else 'insert' end change from d""")

@@ -18,10 +18,10 @@ class TableSpec:
 
     @property
     def columns(self) -> list[str]:
-        return [part.split()[0] for part in _split_ddl(self.ddl)]
+        return [part.split()[0] for part in split_ddl(self.ddl)]
 
 
-def _split_ddl(ddl: str) -> list[str]:
+def split_ddl(ddl: str) -> list[str]:
     parts, depth, cur = [], 0, ""
     for ch in ddl:
         depth += (ch == "<") - (ch == ">")

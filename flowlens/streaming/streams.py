@@ -184,9 +184,10 @@ def step_events(lines: DataFrame, late: str = "10 minutes", idle_hours: int = 24
 
 
 def upsert_jobs(events: DataFrame, root: str, scope: dict[str, Column], at: Column, final_step: str = "") -> Callable:
-    """Start a stream of webhook events into the store's `jobs` table (idempotent per batch).
+    """Start a stream of webhook events into the store's `jobs` table.
 
-    `scope` gives submission_id and run_id. Returns a function that starts the query at a checkpoint.
+    Each field keeps its newest value by event time, so a batch that is repeated, split or arrives late
+    gives the same table. `scope` gives submission_id and run_id. Returns a function that starts the query at a checkpoint.
     """
     tagged = events.select("*", *[c.alias(n) for n, c in scope.items()], at.alias("_at"))
     keys = list(scope)
@@ -195,7 +196,7 @@ def upsert_jobs(events: DataFrame, root: str, scope: dict[str, Column], at: Colu
         started = telemetry.webhook_jobs(batch, [*keys, "_at"], F.col("_at"), final_step)
         cached = telemetry.cached_jobs(batch, [*keys, "_at"], F.col("_at"))
         rows = started.unionByName(cached, allowMissingColumns=True).withColumnRenamed("_at", "seq")
-        store.merge(batch.sparkSession, root, SPECS["jobs"], _sequenced(rows, SPECS["jobs"]), seq="seq")
+        store.merge(batch.sparkSession, root, SPECS["jobs"], rows, seq="seq")
 
     def start(checkpoint: str, **trigger):
         return tagged.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -203,13 +204,6 @@ def upsert_jobs(events: DataFrame, root: str, scope: dict[str, Column], at: Colu
     return start
 
 
-def _sequenced(rows: DataFrame, spec) -> DataFrame:
-    """Rows in the table's columns and types, with the arrival order kept as `seq`."""
-    kinds = dict(part.split(" ", 1) for part in spec.ddl.split(", "))
-    cols = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in spec.columns]
-    return rows.select(*cols, "seq")
-
-
 def live_board(snapshots: DataFrame, out: str, state: str, max_skips: int = 20) -> Callable:
     """Write only the runs worth refreshing from each snapshot of (run_id, last_updated, status, ...).
 

@@ -1,5 +1,9 @@
 """Upsert, change capture, lookups and the partitioned store on disk."""
 
+import datetime as dt
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from flowlens.engine import Engine
@@ -63,24 +67,88 @@ def test_kv(spark):
     assert rows(store.kv_pivot(kv, ["submission_id"], ["name", "error"])) == [("s", "x", None)]
 
 
-def test_store_on_disk_merges_only_touched_partitions(spark, tmp_path):
+def stored(spark, root, spec):
+    return rows(store.read(spark, root, spec).select("id", "submission_id", "run_id", "status", "container", "start"))
+
+
+def test_registers_fold_alike_in_any_order_and_split(spark, tmp_path):
+    spec, rng = SPECS["jobs"], random.Random(4)
+    events = [
+        (rng.choice("abc"), rng.choice(["s", None]), "r", rng.choice(["queued", "running", "completed", None]), rng.choice(["x:1", "y:2", None]), rng.randrange(12))
+        for _ in range(60)
+    ]
+    ddl = "id string, submission_id string, run_id string, status string, container string, seq long"
+    want = {}
+    for i, s, r, *fields, at in events:
+        held = want.setdefault((i, s, r), [(-1, "")] * 2)
+        want[(i, s, r)] = [max(h, (at, f)) if f is not None else h for h, f in zip(held, fields, strict=True)]
+    want = sorted(((*k, *[f if at >= 0 else None for at, f in v], None) for k, v in want.items()), key=repr)
+    for trial in range(3):
+        rng.shuffle(events)
+        root, at = str(tmp_path / str(trial)), 0
+        while at < len(events):
+            to = at + rng.randrange(1, 30)
+            store.merge(spark, root, spec, spark.createDataFrame(events[at:to], ddl), seq="seq", bucket_rows=rng.choice([2, 1000]))
+            at = to
+        store.merge(spark, root, spec, spark.createDataFrame(events[:9], ddl), seq="seq")  # a batch again
+        assert stored(spark, root, spec) == want
+        store.compact(spark, root, spec, bucket_rows=3, file_rows=4)
+        assert stored(spark, root, spec) == want and len(store.layout(spark, root, spec)["folders"]) == 1
+
+
+def test_older_events_do_not_overwrite_newer_ones(spark, tmp_path):
+    spec, root, ddl = SPECS["jobs"], str(tmp_path), "id string, submission_id string, run_id string, status string, container string, seq timestamp"
+    at = [dt.datetime(2024, 1, 1, 0, 0, s) for s in range(3)]
+    store.merge(spark, root, spec, spark.createDataFrame([("a", "s", "r", "completed", None, at[2])], ddl), seq="seq")
+    store.merge(spark, root, spec, spark.createDataFrame([("a", "s", "r", "queued", "img", at[0])], ddl), seq="seq")
+    assert stored(spark, root, spec) == [("a", "s", "r", "completed", "img", None)]
+
+
+def test_store_appends_without_rewriting_and_prunes_in_sql(spark, tmp_path):
     spec, root = SPECS["runstatus"], str(tmp_path)
     base = spark.range(200).selectExpr("concat('s', id % 20) submission_id", "concat('r', id) run_id", "'queued' status", "timestamp'2020-01-01 00:00:00' date")
-    store.merge(spark, root, spec, base)
-    files = {f for f in spark.read.parquet(f"{root}/runstatus").inputFiles()}
+    store.merge(spark, root, spec, base, bucket_rows=20, file_rows=50)
+    before = {f["name"]: set(spark.read.parquet(f"{root}/runstatus/{f['name']}").inputFiles()) for f in store.layout(spark, root, spec)["folders"]}
     delta = base.where("run_id in ('r1', 'r2')").withColumn("date", F.expr("timestamp'2021-01-01 00:00:00'")).unionByName(
         spark.sql("select 'new' submission_id, 'r' run_id, 'failed' status, timestamp'2022-01-01 00:00:00' date"))
-    store.merge(spark, root, spec, delta)
-    spark.catalog.clearCache()
-    after = store.read(spark, root, spec)
-    assert after.count() == 201 and after.where("year(date) = 2021").count() == 2 and after.where("submission_id = 'new'").count() == 1
-    kept = files & set(spark.read.parquet(f"{root}/runstatus").inputFiles())
-    assert 0 < len(kept) < len(files)
-    scoped = store.read(spark, root, spec, scope="s3")
-    assert scoped.count() == 10
-    assert "PartitionFilters: [isnotnull(_bucket" in scoped._jdf.queryExecution().toString()
+    store.merge(spark, root, spec, delta, bucket_rows=20)
+    folders = store.layout(spark, root, spec)["folders"]
+    assert [f["kind"] for f in folders] == ["base", "delta"] and folders[0]["buckets"] == 10 != folders[1]["buckets"]
+    assert set(spark.read.parquet(f"{root}/runstatus/{folders[0]['name']}").inputFiles()) == before[folders[0]["name"]]
     engine = Engine(spark).open(root)
-    assert engine.sql("select count(*) n from runstatus").first()["n"] == 201
+    for _ in range(2):  # with a delta, and compacted to another number of buckets
+        after = store.read(spark, root, spec)
+        assert after.count() == 201 and after.where("year(date) = 2021").count() == 2 and after.where("submission_id = 'new'").count() == 1
+        for name in [f"s{k}" for k in range(20)]:
+            assert engine.sql(f"select * from runstatus where submission_id = '{name}'").count() == 10 == store.read(spark, root, spec, scope=name).count()
+        plan = engine.sql("select status from runstatus where submission_id = 's3'")._jdf.queryExecution().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*\(_bucket#\d+ = \d+\)", plan) and "container" not in plan
+        assert engine.sql("select count(*) n from runstatus").first()["n"] == 201
+        store.compact(spark, root, spec, bucket_rows=70)
+        engine = Engine(spark).open(root)
+    store.vacuum(spark, root, spec, keep=1)
+    assert store.read(spark, root, spec).count() == 201 and [p.name for p in (tmp_path / "runstatus").glob("*-*")] == [store.layout(spark, root, spec)["folders"][0]["name"]]
+
+
+def test_store_keeps_variants_and_a_hot_submission_spreads(spark, tmp_path):
+    spec, root = SPECS["inputs"], str(tmp_path)
+    df = spark.range(300).selectExpr("concat('i', id) id", "'hot' submission_id", "'r' run_id", "parse_json(concat('{\"k\": [', id, ']}')) value", "id size", "id seq")
+    store.write(df, root, spec, seq="seq", bucket_rows=50, file_rows=30)
+    store.append(spark, root, spec, spark.sql("select 'i7' id, 'hot' submission_id, 'r' run_id, parse_json('1') value, 0L seq"), seq="seq")
+    store.append(spark, root, spec, spark.sql("select 'i8' id, 'hot' submission_id, 'r' run_id, parse_json('[2]') value, 99L seq"), seq="seq")
+    got = {r.id: (r.v, r.size) for r in store.read(spark, root, spec).selectExpr("id", "to_json(value) v", "size").collect()}
+    assert len(got) == 300 and got["i7"] == ('{"k":[7]}', 7) and got["i8"] == ("[2]", 8)
+    files = spark.read.parquet(f"{root}/inputs/{store.layout(spark, root, spec)['folders'][0]['name']}").inputFiles()
+    assert len(files) >= 8  # one bucket, written by ten tasks
+
+
+def test_two_writers_do_not_lose_each_other(spark, tmp_path):
+    spec, root, ddl = SPECS["jobs"], str(tmp_path), "id string, submission_id string, run_id string, status string, container string, seq long"
+    store.append(spark, root, spec, spark.createDataFrame([("a", "s", "r", "queued", None, 1)], ddl), seq="seq")
+    taken = store.layout(spark, root, spec)
+    store.append(spark, root, spec, spark.createDataFrame([("b", "s", "r", "queued", None, 1)], ddl), seq="seq")
+    assert not store._commit(spark, root, spec, taken["version"] + 1, taken["folders"])
+    assert [r[0] for r in stored(spark, root, spec)] == ["a", "b"]
 
 
 def test_milestones_keep_the_first(spark):

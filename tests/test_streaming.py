@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import uuid
 
 import pytest
@@ -93,7 +94,8 @@ def test_step_events(spark, tmp_path, small_dir):
     assert rows(got) == rows(tel.step_scopes(t.event_lines, slice_size=50))
 
 
-def test_webhook_events_upsert_the_store(spark, tmp_path):
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [2, 5, 0, 3, 1, 4]])
+def test_webhook_events_upsert_the_store(spark, tmp_path, order):
     def process(i, name, status):
         return json.dumps({"event": "process_x", "utcTime": f"2024-01-01T00:00:{i:02d}Z", "runId": "r1",
                            "trace": {"name": name, "process": "p", "task_id": "1", "workdir": "/w/1/", "exit": "0", "native_id": "7", "container": "ubuntu", "status": status}})
@@ -103,8 +105,9 @@ def test_webhook_events_upsert_the_store(spark, tmp_path):
                          "metadata": {"workflow": {"workflowStats": {"processes": [{"name": "c", "cached": 1, "errored": False}, {"name": "n", "cached": 0, "errored": False}]}}}})]
     src = tmp_path / "in"
     src.mkdir()
-    for i, line in enumerate(lines):
-        (src / f"{i}.json").write_text(line + "\n")
+    for k, i in enumerate(order):  # the source reads files by their time
+        (src / f"{i}.json").write_text(lines[i] + "\n")
+        os.utime(src / f"{i}.json", (1_700_000_000 + k, 1_700_000_000 + k))
     events = documents.webhook_events(spark.readStream.option("maxFilesPerTrigger", 2).text(str(src)))
     root = str(tmp_path / "store")
     at = F.to_timestamp("utcTime")
