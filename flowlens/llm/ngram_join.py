@@ -6,13 +6,16 @@ overlap that takes. The product is formed only where these bounds leave a chance
 
 1. Columns are ordered, those that are frequent last. Of a row of size s only the first
    s - ceil(0.85 s) + 1 columns can hold the first column that a qualifying pair shares (the smaller
-   row of a pair: s - ceil(1.7 s / 1.85) + 1). Only these are shuffled.
-2. A column that one class of documents has goes. Within each other column, pairs whose sizes and
-   column positions cannot reach the overlap are discarded; the rest connect rows into blocks.
-3. A block is cut into tiles, a larger one by bands of set sizes first: rows two bands apart differ
-   too much in size to qualify, so only tiles of the same or the next band meet. A task multiplies two
-   tiles column chunk by column chunk, accumulates the overlaps, and emits one link per pair of pieces
-   that it joins, never all pairs.
+   row of a pair: s - ceil(1.7 s / 1.85) + 1). Only these are shuffled, in blocks of columns.
+2. A block's task multiplies its part of A with its transpose, sparsely: a column adds one to the
+   overlap of each pair of its rows whose sizes and positions in both rows leave a chance. Partial
+   overlaps are added up by pair, and pairs below what their sizes ask for are discarded.
+3. The overlap of each pair that is left is completed once, over its two whole rows.
+
+Rows of one component need no more links, so this is done twice. At first each column pairs its rows
+with its first row alone, which joins what is alike at a cost that is linear in the column; then
+only pairs whose rows are still apart are formed. A column with very many rows is cut into tiles. The
+texts that the second step asks for are compressed and sent once a pair, next to one for each hub.
 
 Documents with the same n-grams are one row of the matrix (a class), so copies cost nothing. The
 frequent columns are found from repeats inside each task's batches; they only steer the order, and
@@ -22,12 +25,11 @@ any order gives the same result. Hashes are 64 bits wide; a class is told by 128
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import components
@@ -36,9 +38,9 @@ from flowlens.llm.words import Words, chunks, mix
 from flowlens.operators.lineage import cut, release
 
 N, PART, WHOLE = 4, 85, 100
-FREQUENT, COLUMN_ROWS, TILE, CHUNK, RANGE = 1 << 20, 4096, 1024, 2048, 1 << 18
-#: N-grams that a tile holds before it is cut further; a single longer text is a tile of its own size.
-MASS = 1 << 22
+FREQUENT, COLUMN_ROWS, HUB_ROWS = 1 << 20, 4096, 256
+#: Entries of A that a block of columns holds, and pairs that it forms at a time.
+BLOCK_ROWS, PAIRS = 1 << 18, 1 << 19
 
 
 def _ceil(a, b):
@@ -117,180 +119,168 @@ def _columns(n: int, part: int, whole: int, frequent):
     return run
 
 
-def _joined(labels: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Merge row i's piece with those of `others`; returns one of the others for each piece that was apart."""
-    apart = others[labels[others] != labels[i]]
-    _, first = np.unique(labels[apart], return_index=True)
-    for k in apart[first]:
-        labels[labels == labels[k]] = labels[i]
-    return apart[first]
+def needs(small: np.ndarray, large: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """The overlap that two sets of these sizes must have to qualify."""
+    return _ceil(part * (small + large), part + whole)
 
 
-def column_links(doc, size, at, lead, part: int, whole: int) -> Iterator[tuple[int, int]]:
-    """Rows of one column connected where the bounds leave a chance; one edge per pair of pieces joined.
+def column_pairs(rows: dict[str, np.ndarray], part: int, whole: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of rows of whole columns that the bounds leave a chance: a, b, and what their prefixes must share.
 
-    `at` is the column's position in a row, `lead` the row's first position that any other row shares.
+    `rows` is sorted by column (gram, i, j), in it by doc. `at` is the column's position in a row, `lead`
+    the row's first position that any other row shares. About PAIRS pairs are formed at a time. Rows
+    with the same label are joined already.
     """
-    order = np.lexsort((doc, size))
-    doc, size, at, lead = doc[order], size[order], at[order], lead[order]
-    labels = np.arange(len(doc))
-    last = np.searchsorted(size, size * whole // part, "right")
-    small = at < size - _ceil(2 * part * size, part + whole) + 1
-    for i in np.flatnonzero(small):
-        rest = slice(i + 1, last[i])
-        need = _ceil(part * (size[i] + size[rest]), part + whole)
-        can = np.minimum(size[i] - lead[i], size[rest] - lead[rest]) >= need
-        can &= np.minimum(at[i], at[rest]) + np.minimum(size[i] - at[i], size[rest] - at[rest]) >= need
-        for k in _joined(labels, i, np.flatnonzero(can) + i + 1):
-            yield int(doc[i]), int(doc[k])
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
-    """Consecutive rows with the same keys, across batches."""
-    current, held = None, None
-    for batch in batches:
-        names = batch.schema.names
-        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            row = dict(zip(names, row, strict=True))
-            key = tuple(row[k] for k in keys)
-            if key != current:
-                if held:
-                    yield held
-                current, held = key, {c: [] for c in names}
-            for c in names:
-                held[c].append(row[c])
-    if held:
-        yield held
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def pair_links(doc, size, at, lead, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many columns of two rows at once: each argument has two rows of values, one per side."""
-    low = np.where(size[0] <= size[1], 0, 1)
-    i = np.arange(len(low))
-    a, b = (low, i), (1 - low, i)
-    need = _ceil(part * (size[a] + size[b]), part + whole)
-    can = (size[b] <= size[a] * whole // part) & (at[a] < size[a] - _ceil(2 * part * size[a], part + whole) + 1)
-    can &= np.minimum(size[a] - lead[a], size[b] - lead[b]) >= need
-    can &= np.minimum(at[a], at[b]) + np.minimum(size[a] - at[a], size[b] - at[b]) >= need
-    return doc[a][can], doc[b][can]
-
-
-def _link_columns(part: int, whole: int):
-    names = ["gram", "doc", "size", "at", "lead"]
-
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        """Of whole columns, sorted by gram."""
-        edge = np.flatnonzero(np.diff(rows[0])) + 1 if rows.shape[1] else np.zeros(0, np.int64)
-        first, last = np.concatenate([[0], edge]), np.concatenate([edge, [rows.shape[1]]])
-        two = first[last - first == 2]
-        a, b = pair_links(*(np.stack([rows[c][two], rows[c][two + 1]]) for c in range(1, 5)), part, whole)
-        more = [x for f, t in zip(first, last, strict=True) if t - f > 2 for x in column_links(*(rows[c][f:t] for c in range(1, 5)), part, whole)]
-        x, y = np.array(more, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_pydict({"a": np.concatenate([a, x]), "b": np.concatenate([b, y])})
+    n = len(rows["doc"])
+    new = np.ones(n, bool)
+    new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("gram", "i", "j")], 0)
+    last = np.append(np.flatnonzero(new)[1:], n)
+    after = last[np.cumsum(new) - 1] - np.arange(n) - 1
+    total = np.cumsum(after)
+    low = 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")))
+        x = np.repeat(np.arange(low, high), after[low:high])
+        begin = np.cumsum(after[low:high]) - after[low:high]
+        y = x + 1 + np.arange(len(x)) - np.repeat(begin, after[low:high])
+        low = high
+        # In a tile between two chunks only rows of different chunks meet.
+        keep = (rows["label"][x] != rows["label"][y]) & ((rows["i"][x] == rows["j"][x]) | (rows["side"][x] != rows["side"][y]))
+        x, y = x[keep], y[keep]
+        swap = rows["size"][x] > rows["size"][y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        sx, sy, ax, ay = rows["size"][x], rows["size"][y], rows["at"][x], rows["at"][y]
+        need, held = needs(sx, sy, part, whole), sx - needs(sx, sx, part, whole) + 1
+        can = (sy <= sx * whole // part) & (ax < held)
+        can &= np.minimum(sx - rows["lead"][x], sy - rows["lead"][y]) >= need
+        can &= np.minimum(ax, ay) + np.minimum(sx - ax, sy - ay) >= need
+        # Behind the shorter prefix (in the order of columns) only one row's rest can add to the overlap.
+        rest = np.maximum(sx - held, sy - (sy - _ceil(part * sy, whole) + 1))
+        a, b = rows["doc"][x[can]], rows["doc"][y[can]]
+        yield np.minimum(a, b), np.maximum(a, b), (need - rest)[can]
+
+
+def _multiply(part: int, whole: int):
+    """Partial overlaps of the pairs of a block of columns: a, b, n, least (what the sum of n must reach)."""
+    names = ["gram", "i", "j", "side", "doc", "size", "at", "lead", "label"]
+
+    def summed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = dict(zip(names, rows, strict=True))
+        for a, b, least in column_pairs(columns, part, whole):
+            order = np.lexsort((b, a))
+            a, b, least = a[order], b[order], least[order]
+            new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+            count = np.diff(np.append(new, len(a)))
+            lowest = np.minimum.reduceat(least, new) if len(new) else least
+            yield pa.RecordBatch.from_pydict({"a": a[new], "b": b[new], "n": count.astype(np.int64), "least": lowest.astype(np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held, size = [], 0
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], 1)
-            whole_to = int(np.searchsorted(held[0], held[0][-1])) if held.shape[1] else 0  # the last column may go on
-            if whole_to:
-                yield links(held[:, :whole_to])
-                held = held[:, whole_to:]
-        if held.shape[1]:
-            yield links(held)
+            held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names]))
+            size += batch.num_rows
+            if size >= BLOCK_ROWS:
+                rows = np.concatenate(held, 1)
+                same = (rows[:3] == rows[:3, -1:]).all(0)  # the last column may go on
+                whole_to = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
+                if whole_to:
+                    yield from summed(rows[:, :whole_to])
+                held, size = [rows[:, whole_to:]], rows.shape[1] - whole_to
+        if size:
+            yield from summed(np.concatenate(held, 1))
 
     return run
 
 
-def _incidence(grams: np.ndarray, owner: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """The columns that at least two rows have, CHUNK of them at a time, as dense 0/1 blocks of n rows."""
-    _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    keep = (count > 1)[inverse]
-    column, owner = shared[inverse[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    total = int(column[-1]) + 1 if len(column) else 0
-    for start in range(0, total, CHUNK):
-        a, b = np.searchsorted(column, [start, start + CHUNK])
-        block = np.zeros((n, min(CHUNK, total - start)), np.float32)
-        block[owner[a:b], column[a:b] - start] = 1
-        yield block
-
+def _complete(n: int, part: int, whole: int):
+    """Links (a, b) among a hub and the partners it is paired with; a hub's rows come before its partners'."""
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, part: int, whole: int) -> Iterator[tuple[int, int]]:
-    """Qualifying pairs between two lists of n-gram sets (or inside one), one per pair of pieces joined.
-
-    Indices of `right` follow those of `left`. Overlaps are accumulated over ranges of the columns, so
-    that next to the sets themselves only one range and one dense block of it are held.
-    """
-    rows = left + (right or [])
-    size = np.array([len(r) for r in rows], np.int64)
-    grams, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    n_left, n = len(left), len(rows)
-    overlap = np.zeros((n_left, n if right is None else n - n_left), np.float32)
-    ranges = max(1, len(grams) // RANGE)
-    place = (grams >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
-    for k in range(ranges):
-        here = place == k
-        for block in _incidence(grams[here], owner[here], n):
-            overlap += block[:n_left] @ (block if right is None else block[n_left:]).T
-    labels, shift = np.arange(n), 0 if right is None else n_left
-    other = size[shift:]
-    for i in range(n_left):
-        union = size[i] + other - overlap[i]
-        hits = np.flatnonzero(whole * overlap[i] >= part * union) + shift
-        for k in _joined(labels, i, hits[hits != i]):
-            yield i, int(k)
-
-
-def _link_tiles(n: int, part: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["block", "i", "j"]):
-            ids, sets, sides = [], [], np.array(g["tile"]) == g["i"][0]
-            order = np.argsort(~sides, kind="stable")
-            bodies = [g["body"][k] or b"" for k in order]
-            for a, b in chunks(bodies):
-                grams, sizes = shingle_sets(bodies[a:b], n)
-                sets += np.split(grams, np.cumsum(sizes)[:-1])
-            ids = [g["doc"][k] for k in order]
-            cut_at = int(sides.sum())
-            same = g["i"][0] == g["j"][0]
-            pairs = tile_links(sets, None, part, whole) if same else tile_links(sets[:cut_at], sets[cut_at:], part, whole) if 0 < cut_at < len(sets) else ()
-            yield _edges([(ids[x], ids[y]) for x, y in pairs])
+        hub, sets = None, []
+        for batch in batches:
+            hubs, parts, docs = (batch.column(c).to_numpy() for c in ("a", "part", "doc"))
+            bodies = [pa.decompress(z, size, "zstd", asbytes=True) for z, size in zip(batch.column("packed").to_pylist(), batch.column("bytes").to_pylist(), strict=True)]
+            found = []
+            for i, j in chunks(bodies):
+                grams, sizes = shingle_sets(bodies[i:j], n)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                for k in range(i, j):
+                    own = grams[at[k - i] : at[k - i + 1]]
+                    if (hubs[k], parts[k]) != hub:
+                        hub, sets = (hubs[k], parts[k]), []
+                    if docs[k] == hubs[k]:
+                        sets.append(own)
+                    elif any(_qualify(own, other, part, whole) for other in sets):
+                        found.append((int(hubs[k]), int(docs[k])))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _sized(n: int):
-    """Adds the size of its set to each row of a banded block; 0 to the others, whose blocks are one tile."""
+def _qualify(own: np.ndarray, other: np.ndarray, part: int, whole: int) -> bool:
+    """Whether two sorted sets overlap enough."""
+    if not len(own) or not len(other):
+        return False
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    overlap = int((other[at] == own).sum())
+    return whole * overlap >= part * (len(own) + len(other) - overlap)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            banded = batch.column("banded").to_numpy(zero_copy_only=False)
-            texts = [t if b else b"" for t, b in zip(_bodies(batch), banded, strict=True)]
-            sizes = [shingle_sets(texts[i:j], n)[1] for i, j in chunks(texts)]
-            size = pa.array(np.concatenate(sizes) if sizes else [], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("doc"), size, batch.column("body")], names=["block", "doc", "size", "body"]
-            )
 
-    return run
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies = _bodies(batch)
+        packed = [pa.compress(b, "zstd", asbytes=True) for b in bodies]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())], names=["doc", "packed", "bytes"])
+
+
+def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int, hub_rows: int) -> DataFrame:
+    """The pairs that qualify. A hub is the smaller id of a pair; one with many partners is cut into parts."""
+    spark = rows.sparkSession
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("parts"))
+    dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+    wanted = dealt.select(F.col("b").alias("doc_id")).unionByName(dealt.select(F.col("a").alias("doc_id"))).distinct()
+    texts = cut(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_pack, "doc long, packed binary, bytes long"))
+    sides = dealt.select("a", "part", F.col("b").alias("doc"), F.lit(1).alias("place")).unionByName(
+        dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc"), F.lit(0).alias("place"))
+    )
+    met = (
+        sides.join(texts, "doc").select("a", "part", "place", "doc", "packed", "bytes")
+        .repartition(width(spark), "a", "part").sortWithinPartitions("a", "part", "place")
+    )
+    links = cut(met.mapInArrow(_complete(n, part, whole), "a long, b long"))
+    release(dealt, texts)
+    return links
+
+
+def _first_pairs(members: DataFrame, part: int, whole: int) -> DataFrame:
+    """(a, b): each column's first row with every other of its rows that the bounds leave a chance."""
+    low = F.col("low.size") <= F.col("size")
+    sides = {
+        "sx": F.least("size", "low.size"), "sy": F.greatest("size", "low.size"), "ax": F.when(low, F.col("low.at")).otherwise(F.col("at")),
+        "need": F.expr(f"({part} * (cast(size as long) + low.size) + {part + whole - 1}) div {part + whole}"),
+    }
+    near = members.where("low.doc <> doc").withColumns(sides).where(
+        f"sy <= cast(sx as long) * {whole} div {part} and ax < sx - (2L * {part} * sx + {part + whole - 1}) div {part + whole} + 1"
+        " and size - lead >= need and least(at, low.at) + least(size - at, low.size - low.at) >= need"
+    )
+    return near.select(F.col("low.doc").alias("a"), F.col("doc").alias("b")).distinct()
 
 
-def band(size: Column, part: int, whole: int) -> Column:
-    """Bands of sizes, a little wider than the ratio that qualifying pairs keep: their bands differ by one at most."""
-    return F.when(size > 0, F.floor(F.log(size) / F.lit(math.log(whole / part) * (1 + 1e-9)))).otherwise(F.lit(0)).cast("int")
+def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) -> DataFrame:
+    """(a, b, n, least) of every block of columns; a column of more than `column_rows` rows is cut into tiles."""
+    tiled = (
+        members.withColumn("k", F.ceil(F.col("n") / column_rows).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        .select("gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "size", "at", "lead", "label")
+    )
+    dealt = tiled.repartition(width(members.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "doc")
+    return dealt.mapInArrow(_multiply(part, whole), "a long, b long, n long, least long")
 
 
 def ngram_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, part: int = PART, whole: int = WHOLE,
-    column_rows: int = COLUMN_ROWS, tile: int = TILE, mass: int = MASS,
+    column_rows: int = COLUMN_ROWS, hub_rows: int = HUB_ROWS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -324,54 +314,25 @@ def ngram_join(
     common = cut(postings.join(shared, "gram"))
     release(postings)
     repeated = common.join(chosen, "doc", "left_semi")
-    sizes = cut(repeated.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low")).where("n > 1"))
+    sizes = cut(repeated.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "size", "at")).alias("low")).where("n > 1"))
     members = cut(repeated.join(sizes, "gram"))
-    release(common)
+    release(common, sizes)
     lead = members.groupBy("doc").agg(F.min("at").alias("lead"))
-    members = members.join(lead, "doc")
-    in_task = (
-        members.where(F.col("n") <= column_rows).select("gram", "doc", "size", "at", "lead")
-        .repartition(width(spark), "gram").sortWithinPartitions("gram").mapInArrow(_link_columns(part, whole), "a long, b long")
-    )
-    # A column with more rows connects them all: its block is larger than it need be, never smaller.
-    starred = members.where((F.col("n") > column_rows) & (F.col("low") != F.col("doc"))).select(F.col("low").alias("a"), F.col("doc").alias("b"))
-    blocks = components(in_task.unionByName(starred))
-    release(members, sizes)
-    held = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
-    banded = (F.count(F.lit(1)) > tile) | (F.sum("n") > mass)
-    large = blocks.join(held, F.col("node") == F.col("doc_id")).groupBy("component").agg(banded.alias("banded"))
-    placed = cut(blocks.join(large, "component").select(F.col("component").alias("block"), F.col("node").alias("doc"), "banded"))
-    bodies = cut(
-        rows.withColumnRenamed("doc_id", "doc").join(placed, "doc").select("block", "doc", "banded", "body")
-        .mapInArrow(_sized(n), "block long, doc long, size long, body binary")
-    )
-    by_band = bodies.withColumn("band", band(F.col("size"), part, whole))
-    count = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("size") / mass)).cast("long")
-    tiles = cut(by_band.groupBy("block", "band").agg(count.alias("tiles")))
-    # Every band meets itself and those next to it. A tile's number is its band, then its place in it.
-    to = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("to")
-    meets = cut(
-        tiles.select("block", "band", "tiles", to)
-        .join(tiles.select("block", F.col("band").alias("to"), F.col("tiles").alias("others")), ["block", "to"])
-    )
-
-    def number(at: str, place: Column) -> Column:
-        return F.shiftleft(F.col(at).cast("long"), 32) + place
-
-    links = (
-        by_band.join(meets, ["block", "band"])
-        .withColumn("tile", number("band", F.pmod(F.xxhash64("doc"), F.col("tiles"))))
-        .withColumn("place", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("other", number("to", F.col("place")))
-        .select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "body")
-        .repartition(width(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
-        .mapInArrow(_link_tiles(n, part, whole), "a long, b long")
-    )
+    placed = cut(members.join(lead, "doc"))
+    release(members)
+    tried = cut(_first_pairs(placed, part, whole))
+    alike = _completed(rows, tried, n, part, whole, hub_rows)
+    joined = components(alike)
+    apart = placed.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    summed = _multiplied(apart, part, whole, column_rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    open_ = summed.where("n >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    rest = _completed(rows, open_, n, part, whole, hub_rows)
     copies = (
         texts.join(classes.where("n_rows > 1").select("digest", "rep"), "digest").where("doc_id <> rep")
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
-    found = components(links.unionByName(copies))
-    release(bodies, placed, tiles, meets)
+    found = components(alike.unionByName(rest).unionByName(copies))
+    release(placed, tried, alike, joined, rest, classes)
     return texts.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -74,13 +74,26 @@ def test_substring_dedup(spark, texts):
         assert sorted(((r[0], r[1], r[2], bytes(r[3])) for r in got), key=repr) == sorted(want, key=repr)
 
 
-def test_ngram_bands(spark):
-    """The largest size that may qualify with each size is in its band or the next."""
-    bands = ngram_join.band(F.col("id"), 85, 100), ngram_join.band(F.floor(F.col("id") * 100 / 85), 85, 100)
-    assert spark.range(1, 300_000).where(bands[1] - bands[0] > 1).isEmpty()
-
-
-@pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "tile": 2}, {"tile": 2, "mass": 40}])
+def test_ngram_column_pairs(monkeypatch):
+    """Blocks of pairs together hold every pair of each column that the bounds leave a chance, once."""
+    rng = np.random.default_rng(4)
+    rows = {"gram": np.sort(rng.integers(0, 30, 400)), "doc": np.arange(400), "size": rng.integers(1, 40, 400), "label": rng.integers(0, 90, 400)}
+    rows |= {"at": rng.integers(0, rows["size"]), "lead": np.zeros(400, np.int64), **{c: np.zeros(400, np.int64) for c in ("i", "j", "side")}}
+    found = []
+    for pairs in (1 << 19, 7):
+        monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+        found.append([p for a, b, _ in ngram_join.column_pairs(rows, 85, 100) for p in zip(a.tolist(), b.tolist(), strict=True)])
+    want = set()
+    for x in range(400):
+        for y in range(x + 1, 400):
+            if rows["gram"][x] == rows["gram"][y] and rows["label"][x] != rows["label"][y]:
+                (s, a), (t, b) = sorted(((int(rows["size"][k]), int(rows["at"][k])) for k in (x, y)), key=lambda v: v[0])
+                if 100 * s >= 85 * t and 185 * (min(a, b) + min(s - a, t - b)) >= 85 * (s + t) and 185 * (s - a) >= 170 * s:
+                    want.add((x, y))
+    assert found[0] == found[1] and len(found[0]) == len(set(found[0])) and set(found[0]) >= want and want
+
+
+@pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "hub_rows": 1}, {"column_rows": 3, "hub_rows": 2}])
 def test_ngram_join(spark, texts, kw):
     def shingles(t):
         w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
