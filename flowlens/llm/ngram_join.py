@@ -13,8 +13,8 @@ overlap that takes. The product is formed only where these bounds leave a chance
 3. The overlap of each pair that is left is completed once, over its two whole rows.
 
 Rows of one component need no more links, so this is done twice. At first each column pairs its rows
-with its first row alone, which joins what is alike at a cost that is linear in the column; then
-only pairs whose rows are still apart are formed. A column with very many rows is cut into tiles. The
+with one hub alone, which joins what is alike at a cost that is linear in the column; then only pairs
+are formed whose rows are still apart. A column with very many rows is cut into tiles. The
 texts that the second step asks for are compressed and sent once a pair, next to one for each hub.
 
 Documents with the same n-grams are one row of the matrix (a class), so copies cost nothing. The
@@ -103,6 +103,8 @@ def _columns(n: int, part: int, whole: int, frequent):
             for i, j in chunks(texts):
                 grams, sizes = shingle_sets(texts[i:j], n)
                 of = np.repeat(np.arange(j - i), sizes)
+                starts = np.cumsum(sizes) - sizes
+                same = np.array([int.from_bytes(hashlib.blake2b(grams[a : a + k].tobytes(), digest_size=8).digest(), "little", signed=True) for a, k in zip(starts, sizes, strict=True)], np.int64)
                 count = np.zeros(len(grams), np.int64)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -113,12 +115,50 @@ def _columns(n: int, part: int, whole: int, frequent):
                 keep = at < (sizes - _ceil(part * sizes, whole) + 1)[of]
                 grams, of, at = grams[keep], of[keep], at[keep]
                 yield pa.RecordBatch.from_pydict(
-                    {"gram": grams.view(np.int64), "doc": docs[i:j][of], "size": sizes[of].astype(np.int32), "at": at.astype(np.int32)}
+                    {"gram": grams.view(np.int64), "same": same[of], "doc": docs[i:j][of], "size": sizes[of].astype(np.int32), "at": at.astype(np.int32)}
                 )
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of columns that two classes have, one row a class, each with the column's size and hub.
+
+    Rows come sorted by (gram, same, doc). The hub is the row in which the column stands first: what a
+    text has to itself is rare and stands before, so of many versions of a text the plainest one is it.
+    """
+    names = ["gram", "same", "doc", "size", "at"]
+
+    def whole(rows: np.ndarray) -> pa.RecordBatch:
+        keep = np.append(True, np.any(rows[:2, 1:] != rows[:2, :-1], 0)) & np.ones(rows.shape[1], bool)
+        rows = rows[:, keep]  # copies stand behind their class's least id
+        new = np.append(True, rows[0, 1:] != rows[0, :-1])
+        of = np.cumsum(new) - 1
+        count = np.bincount(of)
+        rows, of = rows[:, count[of] > 1], of[count[of] > 1]
+        order = np.lexsort((rows[2], rows[4], of))
+        rows, of = rows[:, order], of[order]
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        hub = np.repeat(first, np.diff(np.append(first, len(of))))
+        gram, _, doc, size, at = rows
+        return pa.RecordBatch.from_pydict(
+            {"gram": gram, "doc": doc, "size": size.astype(np.int32), "at": at.astype(np.int32), "n": count[of], "hub": doc[hub], "hub_size": size[hub].astype(np.int32), "hub_at": at[hub].astype(np.int32)}
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names]))
+        size += batch.num_rows
+        if size >= BLOCK_ROWS:
+            rows = np.concatenate(held, 1)
+            to = int(np.searchsorted(rows[0], rows[0, -1]))  # the last column may go on
+            if to:
+                yield whole(rows[:, :to])
+            held, size = [rows[:, to:]], rows.shape[1] - to
+    if size:
+        yield whole(np.concatenate(held, 1))
+
+
 def needs(small: np.ndarray, large: np.ndarray, part: int, whole: int) -> np.ndarray:
     """The overlap that two sets of these sizes must have to qualify."""
     return _ceil(part * (small + large), part + whole)
@@ -150,12 +190,12 @@ def column_pairs(rows: dict[str, np.ndarray], part: int, whole: int) -> Iterator
         swap = rows["size"][x] > rows["size"][y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         sx, sy, ax, ay = rows["size"][x], rows["size"][y], rows["at"][x], rows["at"][y]
-        need, held = needs(sx, sy, part, whole), sx - needs(sx, sx, part, whole) + 1
-        can = (sy <= sx * whole // part) & (ax < held)
+        need = needs(sx, sy, part, whole)
+        can = sy <= sx * whole // part
         can &= np.minimum(sx - rows["lead"][x], sy - rows["lead"][y]) >= need
         can &= np.minimum(ax, ay) + np.minimum(sx - ax, sy - ay) >= need
-        # Behind the shorter prefix (in the order of columns) only one row's rest can add to the overlap.
-        rest = np.maximum(sx - held, sy - (sy - _ceil(part * sy, whole) + 1))
+        # Behind the prefix that ends first (in the order of columns) only that row's rest adds to the overlap.
+        rest = np.maximum(_ceil(part * sx, whole), _ceil(part * sy, whole)) - 1
         a, b = rows["doc"][x[can]], rows["doc"][y[can]]
         yield np.minimum(a, b), np.maximum(a, b), (need - rest)[can]
 
@@ -210,7 +250,7 @@ def _complete(n: int, part: int, whole: int):
                         hub, sets = (hubs[k], parts[k]), []
                     if docs[k] == hubs[k]:
                         sets.append(own)
-                    elif any(_qualify(own, other, part, whole) for other in sets):
+                    elif any(both and whole * both >= part * (len(own) + len(other) - both) for other in sets for both in [_overlap(own, other)]):
                         found.append((int(hubs[k]), int(docs[k])))
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -218,13 +258,12 @@ def _complete(n: int, part: int, whole: int):
     return run
 
 
-def _qualify(own: np.ndarray, other: np.ndarray, part: int, whole: int) -> bool:
-    """Whether two sorted sets overlap enough."""
+def _overlap(own: np.ndarray, other: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
     if not len(own) or not len(other):
-        return False
+        return 0
     at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-    overlap = int((other[at] == own).sum())
-    return whole * overlap >= part * (len(own) + len(other) - overlap)
+    return int((other[at] == own).sum())
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +274,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int, hub_rows: int) -> DataFrame:
-    """The pairs that qualify. A hub is the smaller id of a pair; one with many partners is cut into parts."""
+    """The pairs that qualify. The hub of a pair is its first row; one with many partners is cut into parts."""
     spark = rows.sparkSession
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("parts"))
     dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
@@ -254,17 +293,17 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
 
 
 def _first_pairs(members: DataFrame, part: int, whole: int) -> DataFrame:
-    """(a, b): each column's first row with every other of its rows that the bounds leave a chance."""
-    low = F.col("low.size") <= F.col("size")
+    """(a, b): each column's hub with every other of its rows that the bounds leave a chance; a is the hub."""
+    low = F.col("hub_size") <= F.col("size")
     sides = {
-        "sx": F.least("size", "low.size"), "sy": F.greatest("size", "low.size"), "ax": F.when(low, F.col("low.at")).otherwise(F.col("at")),
-        "need": F.expr(f"({part} * (cast(size as long) + low.size) + {part + whole - 1}) div {part + whole}"),
+        "sx": F.least("size", "hub_size"), "sy": F.greatest("size", "hub_size"), "ax": F.when(low, F.col("hub_at")).otherwise(F.col("at")),
+        "need": F.expr(f"({part} * (cast(size as long) + hub_size) + {part + whole - 1}) div {part + whole}"),
     }
-    near = members.where("low.doc <> doc").withColumns(sides).where(
+    near = members.where("hub <> doc").withColumns(sides).where(
         f"sy <= cast(sx as long) * {whole} div {part} and ax < sx - (2L * {part} * sx + {part + whole - 1}) div {part + whole} + 1"
-        " and size - lead >= need and least(at, low.at) + least(size - at, low.size - low.at) >= need"
+        " and size - lead >= need and least(at, hub_at) + least(size - at, hub_size - hub_at) >= need"
     )
-    return near.select(F.col("low.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    return near.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
 
 
 def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) -> DataFrame:
@@ -307,32 +346,29 @@ def ngram_join(
         texts.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
     )
-    chosen = classes.select(F.col("rep").alias("doc")).distinct()
-    postings = cut(rows.where("doc_id is not null").mapInArrow(_columns(n, part, whole, frequent), "gram long, doc long, size int, at int"))
-    shared = postings.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("gram")
-    # What copies add goes here, where only shared columns are left; then columns of one row go, too.
-    common = cut(postings.join(shared, "gram"))
-    release(postings)
-    repeated = common.join(chosen, "doc", "left_semi")
-    sizes = cut(repeated.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "size", "at")).alias("low")).where("n > 1"))
-    members = cut(repeated.join(sizes, "gram"))
-    release(common, sizes)
+    postings = rows.where("doc_id is not null").mapInArrow(_columns(n, part, whole, frequent), "gram long, same long, doc long, size int, at int")
+    # One shuffle of the columns; those of one class go where they arrive.
+    members = cut(
+        postings.repartition(width(spark), "gram").sortWithinPartitions("gram", "same", "doc")
+        .mapInArrow(_shared, "gram long, doc long, size int, at int, n long, hub long, hub_size int, hub_at int")
+    )
     lead = members.groupBy("doc").agg(F.min("at").alias("lead"))
     placed = cut(members.join(lead, "doc"))
     release(members)
     tried = cut(_first_pairs(placed, part, whole))
     alike = _completed(rows, tried, n, part, whole, hub_rows)
     joined = components(alike)
-    apart = placed.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    apart = placed.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     summed = _multiplied(apart, part, whole, column_rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-    open_ = summed.where("n >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = cut(summed.where("n >= least").select("a", "b").join(known, ["a", "b"], "left_anti"))
     rest = _completed(rows, open_, n, part, whole, hub_rows)
     copies = (
         texts.join(classes.where("n_rows > 1").select("digest", "rep"), "digest").where("doc_id <> rep")
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
     found = components(alike.unionByName(rest).unionByName(copies))
-    release(placed, tried, alike, joined, rest, classes)
+    release(placed, tried, open_, alike, joined, rest, classes)
     return texts.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
