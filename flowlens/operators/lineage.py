@@ -12,10 +12,12 @@ PREFIX = "flowlens-"
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder of this session for intermediate tables, below `spark.checkpoint.dir`.
 
-    Where that setting is absent the session's warehouse is used: like the checkpoint folder it is
-    shared by all executors. The folder is deleted when the session's file system closes.
+    Where that setting is absent a local session uses its warehouse; on a cluster, whose executors share
+    no default folder, it raises. The folder is deleted when the session's file system closes.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     shared = shared or spark.conf.get("spark.sql.warehouse.dir")
     own = f"{shared.rstrip('/')}/{PREFIX}{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(own)

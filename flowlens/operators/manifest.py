@@ -271,24 +271,24 @@ def choose_sources(wanted: DataFrame, hints: DataFrame) -> DataFrame:
     return plain.unionByName(chosen)
 
 
-def conversion_paths(pairs: DataFrame, conversions: DataFrame, depth: int = 6) -> DataFrame:
+def conversion_paths(pairs: DataFrame, conversions: DataFrame) -> DataFrame:
     """Shortest conversion path from a guessed to a wanted type, ties by path text; absent when none.
 
     `pairs`: guessed, wanted. `conversions`: from, to. Breadth-first by joins over distinct types: each
-    level keeps one best path per (start, reached) and drops what an earlier level reached.
+    level keeps one best path per (start, reached) and drops what an earlier level reached, so the
+    levels end by themselves, after the longest shortest path.
     """
     edges = cut(conversions.select(F.col("from").alias("_at"), F.col("to").alias("_to")).distinct())
     todo = cut(pairs.select("guessed", "wanted").distinct())
     reach = cut(todo.select(F.col("guessed").alias("start")).distinct().select("start", F.col("start").alias("_at"), F.col("start").alias("path"), F.lit(0).alias("steps")))
-    level = reach
-    for step in range(1, depth + 1):
+    level, step = reach, 0
+    while not level.isEmpty():
+        step += 1
         grown = level.join(edges, "_at").groupBy("start", "_to").agg(F.min(F.concat("path", F.lit(" -> "), "_to")).alias("path"))
         level = cut(
             grown.select("start", F.col("_to").alias("_at"), "path", F.lit(step).alias("steps"))
             .join(reach.select("start", "_at"), ["start", "_at"], "left_anti")
         )
-        if level.isEmpty():
-            break
         reach = reach.unionByName(level)
     found = reach.where("steps > 0").select(F.col("start").alias("guessed"), F.col("_at").alias("wanted"), "path", "steps")
     return todo.where("guessed <> wanted").join(found, ["guessed", "wanted"], "left")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 CARRY = "_carry"
+#: Pieces that the rows of one group are counted in.
+SALTS = 256
 
 
 def time_slice(col: Column, unit: str = "DAY") -> Column:
@@ -150,16 +152,19 @@ def lists(
 ) -> DataFrame:
     """Group rows into sorted arrays of about `size` items.
 
-    A group is as many rows (`part` 0, 1, ...) as it needs, so no array and no task holds a whole
-    hot group and nothing is left out. Columns: keys, part, parts, n, then one array per item,
+    A group is as many rows (`part` 0, 1, ...) as it needs, so no array holds a whole hot group and
+    nothing is left out. How many it needs is counted by (keys, salt) and reaches the rows by that
+    key, and the rows are dealt by (keys, part): no task joins or gathers a whole group. Columns: keys, part, parts, n, then one array per item,
     ordered by the item structs.
     """
-    sized = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
     payload = F.struct(*[c.alias(n) for n, c in items.items()])
-    tagged = df.select(*keys, payload.alias("_item"), identity.alias("_id")).join(sized, keys)
+    salted = df.select(*keys, payload.alias("_item"), hash_part(identity, F.lit(1 << 32)).alias("_hash")).withColumn("_salt", F.pmod(F.col("_hash"), F.lit(SALTS)))
+    # At most SALTS rows a group: a window over them is bounded whatever the group holds.
+    counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    sized = counts.select(*keys, "_salt", F.ceil(F.sum("_n").over(Window.partitionBy(*keys)) / size).alias("parts"))
     packed = (
-        tagged.withColumn("part", hash_part(F.col("_id"), F.col("parts")))
-        .groupBy(*keys, "part", "parts")
+        salted.join(sized, [*keys, "_salt"]).withColumn("part", F.pmod(F.col("_hash"), F.col("parts")))
+        .repartition(*keys, "part").groupBy(*keys, "part", "parts")
         .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_item")).alias("_items"))
     )
     return packed.select(*keys, "part", "parts", "n", *[F.col(f"_items.{n}").alias(n) for n in items])

@@ -61,29 +61,35 @@ def walk(df: DataFrame, keys: list[str], root: str, child: str) -> DataFrame:
 
 
 def run_rows(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """One run row per metadata document."""
-    return docs.select(
+    """One run row per metadata document; `error` is the text of its failure tree, null without one."""
+    failures = docs.select(*keys, F.variant_get("doc", "$.failures", "variant").alias("_failures"))
+    rows = docs.select(
         *keys, _get("doc", "$.id").alias("engine_id"), _get("doc", "$.workflowName").alias("name"),
         _get("doc", "$.workflowRoot").alias("execution_dir"),
         st.from_engine_word("document", _get("doc", "$.status")).alias("status"),
         timing.parse_iso(_get("doc", "$.start")).alias("start"), timing.parse_iso(_get("doc", "$.end")).alias("finish"),
     )
+    return rows.join(cause_text(failures, keys, "_failures"), keys, "left")
 
 
 def cause_text(df: DataFrame, keys: list[str], failures: str) -> DataFrame:
     """Failure trees as text: `: ` downwards, `, ` across; generic "Workflow failed" heads dropped.
 
-    A tree is one document's, so gathering its nodes is bounded by the document.
+    Nodes that say something follow one another in path order. What stands between two of them comes
+    from their paths, `: ` where the one before is an ancestor, so messages are never edited. A tree is
+    one document's, so gathering its nodes is bounded by the document; one that says nothing is empty text.
     """
     nodes = walk(df.where(F.col(failures).isNotNull()), keys, failures, "causedBy")
     message = _get("node", "$.message")
-    says = F.when(message.isNotNull() & (message != "") & ~message.startswith("Workflow failed"), message)
-    piece = F.concat(
-        F.when(F.element_at("path", -1) > 0, ", ").otherwise(""), F.coalesce(F.concat(says, F.lit(": ")), F.lit(""))
-    )
-    gathered = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("path", piece.alias("t")))).alias("_n"))
-    text = F.array_join(F.col("_n.t"), "")
-    return gathered.select(*keys, F.regexp_replace(text, r": (?=, |$)", "").alias("error"))
+    says = F.when(message.isNotNull() & (message != "") & ~message.startswith("Workflow failed"), F.struct("path", message.alias("t")))
+    gathered = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(says)).alias("_n"))
+
+    def joined(node: Column, i: Column) -> Column:
+        before = F.get("_n", i - 1)["path"]
+        below = F.slice(node["path"], F.lit(1), F.size(before)) == before
+        return F.when(i == 0, node["t"]).otherwise(F.concat(F.when(below, ": ").otherwise(", "), node["t"]))
+
+    return gathered.select(*keys, F.array_join(F.transform("_n", joined), "").alias("error"))
 
 
 def _step_name(key: Column) -> Column:
@@ -196,7 +202,10 @@ def flatten_jobs(df: DataFrame, keys: list[str], tree: str) -> DataFrame:
 
 
 def output_rows(df: DataFrame, keys: list[str], outputs: str) -> DataFrame:
-    """Engine outputs map to rows: key without its first dotted part (the rest joined bare), list position, value."""
+    """Engine outputs map to rows: key without its first dotted part (the rest joined bare), list position, value.
+
+    An empty list is a row of its own with an empty value at the list's position.
+    """
     key = F.array_join(F.slice(F.split("key", r"\."), 2, 1 << 30), "")
     level = _each(df.select(*keys, outputs), F.col(outputs)).where("key is not null").select(
         *keys, key.alias("id"), F.array().cast("array<int>").alias("path"), "value"
@@ -210,7 +219,8 @@ def output_rows(df: DataFrame, keys: list[str], outputs: str) -> DataFrame:
             "value", F.when(_is(F.col("value"), "OBJECT"), F.variant_get("value", "$.location", "variant")).otherwise(F.col("value"))
         )
         is_list = _is(F.col("value"), "ARRAY")
-        done = located.where(~is_list).select(*keys, "id", "path", F.try_variant_get("value", "$", "string").alias("value"))
+        empty = is_list & (F.to_json("value") == "[]")
+        done = located.where(~is_list | empty).select(*keys, "id", "path", F.when(empty, "").otherwise(F.try_variant_get("value", "$", "string")).alias("value"))
         found = done if found is None else found.unionByName(done)
         level = _each(
             located.where(is_list).withColumnRenamed("value", "_l"), F.col("_l")

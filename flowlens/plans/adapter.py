@@ -17,21 +17,6 @@ BASE = (
 ).split()
 
 # Bytes: below the first a table is not worth spreading; the second is Spark's usual split.
-SMALL_SCAN, FULL_SPLIT = 1 << 20, 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that is too small to occupy the cores; a scan of real size is left as it is.
-
-    A small file is one row group and so one task. The test is on the planner's size estimate: at or
-    above one full split per core nothing is added.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if SMALL_SCAN < size < cores * FULL_SPLIT else df
-
-
 class Tables:
     """The driver's tables of one folder, and the run-history shapes derived from them."""
 
@@ -41,7 +26,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return spread(self.read(name))
+            return self.read(name)
         raise AttributeError(name)
 
     def read(self, name: str) -> DataFrame:

@@ -46,10 +46,10 @@ _REC = "select key, name, min(value) as value from ({}) group by 1, 2"
 
 @query("g2_recipes", "manifest", f"""with w as ({_WANTED_SQL}), f as ({_REC.format(RECIPES.format(d='', p='part', m=0))}), i as ({_REC.format(RECIPES.format(d='', p='part', m=1))}),
   u as (select manifest_id, row(0, ord::bigint, 0) o_, name, value from w join f using (key) union all select manifest_id, row(0, ord::bigint, 1), name, value from w join i using (key)
-    union all select manifest_id, row(1, layer::bigint, 0), name, min(value) from v_manifest where layer > 4 group by 1, 2, 3)
+    union all select manifest_id, row(1, layer::bigint, 0), name, min(value) from v_manifest group by 1, 2, 3)
   select manifest_id, name, arg_max(value, o_) as value from u group by 1, 2""")
 def _(t):
-    own = t.manifest.where("layer > 4").groupBy("manifest_id", "layer", "name").agg(F.min("value").alias("value"))
+    own = t.manifest.groupBy("manifest_id", "layer", "name").agg(F.min("value").alias("value"))
     return mf.with_recipes(own, _wanted(t), _recipes(t, 0), _recipes(t, 1))
 
 
@@ -115,12 +115,12 @@ def _(t):
     return mf.fan_out(rows, "g", ["f1", "f2"])
 
 
-@query("g6_place_batch_outputs", "", f"""with g as (select manifest_id, concat('w', cast(manifest_id as bigint) % 40) workflow, unnest(value) as value from ({_ARRAYS_SQL}) where name = 'g'),
-   o as (select distinct concat('w', p_partkey % 40) workflow, concat('out', p_size % 4) as name, p_brand f from part where p_size > 45)
+@query("g6_place_batch_outputs", "", f"""with g as (select manifest_id, concat('w', cast(manifest_id as bigint) % 400) workflow, unnest(value) as value from ({_ARRAYS_SQL}) where name = 'g'),
+   o as (select distinct concat('w', p_partkey % 400) workflow, concat('out', p_size % 4) as name, p_brand f from part)
   select manifest_id, concat({_IDENT.format(v='value')}, '_', name) output_id, name output_name, concat(value, '/', f) folders from g join o using (workflow)""")
 def _(t):
-    groups = _arrays(t).where("name = 'g'").select("manifest_id", F.expr("concat('w', cast(manifest_id as bigint) % 40)").alias("workflow"), F.explode("value").alias("value"))
-    outs = t.part.where("p_size > 45").selectExpr("concat('w', p_partkey % 40) workflow", "concat('out', p_size % 4) name", "array(p_brand) folders").distinct()
+    groups = _arrays(t).where("name = 'g'").select("manifest_id", F.expr("concat('w', cast(manifest_id as bigint) % 400)").alias("workflow"), F.explode("value").alias("value"))
+    outs = t.part.selectExpr("concat('w', p_partkey % 400) workflow", "concat('out', p_size % 4) name", "array(p_brand) folders").distinct()
     return mf.place_batch_outputs(groups, outs).withColumn("folders", F.array_join("folders", "/"))
 
 
@@ -266,11 +266,11 @@ def _declared(t):
 _DECL_SQL = DECLARED.format(s="varchar", o="(select *, unnest(['x', 'y']) as name from orders) o")
 _SOURCE_SQL = f"""select * from ({_DECL_SQL}) d where is_file and not optional and not has_default and (source is not null or (name = 'y' and o_orderkey % 3 > 0))
    and not exists (select 1 from manifest_in m where m.manifest_id = d.manifest_id and m.name = d.name)"""
-_GIVEN_SQL = "manifest_in as (select cast(l_orderkey as varchar) manifest_id, case when l_partkey % 2 = 0 then 'x' else 'y' end as name from lineitem where l_linenumber = 1)"
+_GIVEN_SQL = "manifest_in as (select cast(l_orderkey as varchar) manifest_id, case when l_partkey % 2 = 0 then 'x' else 'y' end as name from lineitem)"
 
 
 def _sourceable(t):
-    given = t.lineitem.where("l_linenumber = 1").selectExpr("cast(l_orderkey as string) manifest_id", "case when l_partkey % 2 = 0 then 'x' else 'y' end name", "'v' value")
+    given = t.lineitem.selectExpr("cast(l_orderkey as string) manifest_id", "case when l_partkey % 2 = 0 then 'x' else 'y' end name", "'v' value")
     return mf.sourceable(_declared(t), given)
 
 
@@ -311,7 +311,7 @@ def _(t):
 @query("c14_conversion_paths", "", """with recursive e as (select distinct concat('T', s_nationkey) f, concat('T', (s_nationkey * 3 + s_suppkey % 2) % 25) t from supplier),
    p as (select distinct concat('T', o_custkey % 26) guessed, concat('T', o_orderkey % 26) wanted from orders),
    w as (select f start, t here, concat(f, ' -> ', t) path, 1 steps, [f, t] seen from e where f <> t union all
-     select w.start, e.t, concat(w.path, ' -> ', e.t), steps + 1, list_append(seen, e.t) from w join e on e.f = w.here where steps < 6 and not list_contains(seen, e.t)),
+     select w.start, e.t, concat(w.path, ' -> ', e.t), steps + 1, list_append(seen, e.t) from w join e on e.f = w.here where steps < 9 and not list_contains(seen, e.t)),
    b as (select start, here, min(steps) steps, arg_min(path, row(steps, path)) path from w group by 1, 2)
   select p.guessed, p.wanted, b.path, b.steps from p left join b on b.start = p.guessed and b.here = p.wanted where p.guessed <> p.wanted""")
 def _(t):

@@ -23,7 +23,7 @@ DOC = f"""concat('{{"id":"e', o_orderkey, '","workflowName":"', o_orderpriority,
   case when o_orderkey % 4 = 0 then concat(',"failures":[{{"message":"Workflow failed","causedBy":[{{"message":"a', o_orderkey,
     '","causedBy":[]}},{{"message":"b","causedBy":[{{"message":"c: d"}}]}}]}}]') else '' end,
   ',"calls":{{"wf.align":[{{"executionStatus":"Done","shardIndex":0,"attempt":1,"start":"{START}","end":"{END}","callRoot":"/r/', o_orderkey,
-  '","returnCode":0}},{{"executionStatus":"', case when o_orderkey % 3 = 0 then 'Failed' else 'Done' end,
+  '","returnCode":0}},{{"executionStatus":"', case when o_orderkey % 3 = 0 then 'Failed","failures":[{{"message":"no: , way","causedBy":[{{"message":"deep, : "}}]}}],"note":"' else 'Done' end,
   '","shardIndex":1,"attempt":1,"start":"1998-03-01T00:10:00Z","end":"1998-03-01T03:00:00Z","callCaching":{{"hit":true}}}}',
   case when o_orderkey % 3 = 0 then ',{{"executionStatus":"Running","shardIndex":1,"attempt":2,"start":"1998-03-01T04:00:00Z"}}' else '' end,
   '],"wf.sub.x":[{{"executionStatus":"Running","shardIndex":-1,"attempt":1,"jobId":"j', o_custkey,
@@ -58,7 +58,8 @@ def _(t):
 
 @query("t1_run_rows", "", f"""select cast(o_orderkey as varchar) run_id, concat('e', o_orderkey) engine_id, o_orderpriority as name,
    concat('/exec/', o_custkey) execution_dir, case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'queued' end status,
-   timestamp '1998-03-01' as start, case when o_orderstatus = 'F' then timestamp '1998-03-01 02:30:00' end finish {GOOD}""")
+   timestamp '1998-03-01' as start, case when o_orderstatus = 'F' then timestamp '1998-03-01 02:30:00' end finish,
+   case when o_orderkey % 4 = 0 then concat('a', o_orderkey, ', b: c: d') end error {GOOD}""")
 def _(t):
     rows = tel.run_rows(_good(t), ["run_id"])
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("finish", F.col("finish").cast("timestamp_ntz"))
@@ -66,19 +67,19 @@ def _(t):
 
 @query("t2_job_rows", "", f"""with o as (select o_orderkey k, o_custkey c, cast(o_orderkey as varchar) run_id, o_orderkey % 3 = 0 r {GOOD})
   select run_id, 'align_shard-0' id, 'align' parent, 'align' as name, 0 shard, null attempt, 'completed' status, timestamp '1998-03-01' as start,
-    timestamp '1998-03-01 02:30:00' finish, null container, null batchid, false cached, '0' returncode, concat('/r/', k) workdir, concat('file://r/', k, '/execution/script') script from o
+    timestamp '1998-03-01 02:30:00' finish, null container, null batchid, false cached, '0' returncode, concat('/r/', k) workdir, concat('file://r/', k, '/execution/script') script, null::varchar error from o
   union all select run_id, 'align_shard-1', 'align', 'align', 1, null, case when r then 'failed' else 'completed' end, timestamp '1998-03-01 00:10:00',
-    timestamp '1998-03-01 03:00:00', null, null, true, null, null, null from o
-  union all select run_id, 'align_shard-1_attempt-2', 'align', 'align', 1, 2, 'running', timestamp '1998-03-01 04:00:00', null, null, null, false, null, null, null from o where r
-  union all select run_id, 'sub.x', null, 'sub.x', null, null, 'running', timestamp '1998-03-01 01:00:00', null, null, concat('j', c), false, null, null, null from o
-  union all select run_id, 'sub.x_qc', 'sub.x', 'qc', null, null, 'completed', timestamp '1998-03-01 01:00:00', timestamp '1998-03-01 01:00:07.5', concat('ubuntu:', k % 5), null, false, null, null, null from o
+    timestamp '1998-03-01 03:00:00', null, null, true, null, null, null, case when r then 'no: , way: deep, : ' end from o
+  union all select run_id, 'align_shard-1_attempt-2', 'align', 'align', 1, 2, 'running', timestamp '1998-03-01 04:00:00', null, null, null, false, null, null, null, null from o where r
+  union all select run_id, 'sub.x', null, 'sub.x', null, null, 'running', timestamp '1998-03-01 01:00:00', null, null, concat('j', c), false, null, null, null, null from o
+  union all select run_id, 'sub.x_qc', 'sub.x', 'qc', null, null, 'completed', timestamp '1998-03-01 01:00:00', timestamp '1998-03-01 01:00:07.5', concat('ubuntu:', k % 5), null, false, null, null, null, null from o
   union all select run_id, 'align', null, 'align', null, null, case when r then 'running' else 'completed' end, timestamp '1998-03-01',
-    case when not r then timestamp '1998-03-01 03:00:00' end, null, null, null, null, null, null from o""")
+    case when not r then timestamp '1998-03-01 03:00:00' end, null, null, null, null, null, null, null from o""")
 def _(t):
-    rows = tel.job_rows(_good(t), ["run_id"], F.expr("timestamp'2000-01-01 00:00:00'"))
+    rows = tel.job_errors(tel.job_rows(_good(t), ["run_id"], F.expr("timestamp'2000-01-01 00:00:00'")), ["run_id"])
     return rows.select(
         "run_id", "id", "parent", "name", "shard", "attempt", "status", F.col("start").cast("timestamp_ntz").alias("start"),
-        F.col("finish").cast("timestamp_ntz").alias("finish"), "container", "batchid", "cached", "returncode", "workdir", "script")
+        F.col("finish").cast("timestamp_ntz").alias("finish"), "container", "batchid", "cached", "returncode", "workdir", "script", "error")
 
 
 @query("d7_call_times", "", f"""select cast(o_orderkey as varchar) run_id, n as name, s as seconds from (select o_orderkey,
@@ -114,13 +115,13 @@ def _(t):
     return flat.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
-OUTS = """concat('{"wf.out":"/p/', o_orderkey, '","wf.list":["/a/', o_custkey, '",{"location":"/b"}],"wf.a.b":{"location":"gs://x/', o_orderkey, '"},"wf.n":[[1,2],[3]]}')"""
+OUTS = """concat('{"wf.out":"/p/', o_orderkey, '","wf.list":["/a/', o_custkey, '",{"location":"/b"}],"wf.a.b":{"location":"gs://x/', o_orderkey, '"},"wf.n":[[1,2],[3]],"wf.none":[],"wf.some":[[],[4]]}')"""
 
 
 @query("t7_output_rows", "", """select cast(o_orderkey as varchar) run_id, n.id, n.path, n.value from (select o_orderkey, unnest([
     {'id': 'out', 'path': '', 'value': concat('/p/', o_orderkey)}, {'id': 'list', 'path': '0', 'value': concat('/a/', o_custkey)}, {'id': 'list', 'path': '1', 'value': '/b'},
     {'id': 'ab', 'path': '', 'value': concat('gs://x/', o_orderkey)}, {'id': 'n', 'path': '0,0', 'value': '1'}, {'id': 'n', 'path': '0,1', 'value': '2'},
-    {'id': 'n', 'path': '1,0', 'value': '3'}]) n from orders)""")
+    {'id': 'n', 'path': '1,0', 'value': '3'}, {'id': 'none', 'path': '', 'value': ''}, {'id': 'some', 'path': '0', 'value': ''}, {'id': 'some', 'path': '1,0', 'value': '4'}]) n from orders)""")
 def _(t):
     rows = t.orders.select(F.col("o_orderkey").cast("string").alias("run_id"), F.parse_json(F.expr(OUTS)).alias("outputs"))
     return tel.output_rows(rows, ["run_id"], "outputs").withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
@@ -201,15 +202,16 @@ def _(t):
     return tel.step_lines(t.event_lines).drop("line")
 
 
-@query("d16_error_texts", "", """with c as (select cast(conv_id as varchar) run_id, turn line_no,
-     concat(case role when 'system' then 'ERROR ' when 'user' then case when turn % 3 = 0 then 'warning ' when conv_id % 4 = 0 then ' error: ' else 'INFO ' end else '' end, split_part(text, chr(10), 1)) line from conversations),
+@query("d16_error_texts", "", """with c as (select cast(conv_id as varchar) run_id, turn * 100000::bigint + i as line_no,
+     concat(case when i > 1 then '' when role = 'system' then 'ERROR ' when role = 'user' then case when turn % 3 = 0 then 'warning ' when conv_id % 4 = 0 then ' error: ' else 'INFO ' end else '' end, parts[i]) line
+     from (select *, unnest(range(1, len(parts) + 1)) i from (select *, string_split(text, chr(10)) parts from conversations))),
    s as (select *, case when ltrim(lower(line)) like 'error%' then 'error' when ltrim(lower(line)) like 'warn%' then 'warn' when ltrim(lower(line)) like 'info%' then 'info' end sev from c),
    l as (select *, last_value(sev ignore nulls) over (partition by run_id order by line_no) state from s)
   select run_id, cast(line_no // 1000 as bigint) block, string_agg(line, chr(10) order by line_no, line) error from l where state = 'error' group by 1, 2""")
 def _(t):
-    lines = t.conversations.selectExpr(
-        "cast(conv_id as string) run_id", "turn line_no",
-        "concat(case role when 'system' then 'ERROR ' when 'user' then case when turn % 3 = 0 then 'warning ' when conv_id % 4 = 0 then ' error: ' else 'INFO ' end else '' end, split_part(text, '\n', 1)) line")
+    lines = t.conversations.selectExpr("*", "posexplode(split(text, '\n', -1)) as (i, part)").selectExpr(
+        "cast(conv_id as string) run_id", "turn * 100000L + i + 1 line_no",
+        "concat(case when i > 0 then '' when role = 'system' then 'ERROR ' when role = 'user' then case when turn % 3 = 0 then 'warning ' when conv_id % 4 = 0 then ' error: ' else 'INFO ' end else '' end, part) line")
     return tel.error_texts(lines)
 
 

@@ -42,3 +42,19 @@ def test_lists_are_whole_and_bounded(rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.select("k", "id").collect()))
     assert packed.agg(F.max("n")).first()[0] < 120
     assert packed.where("k = 'hot'").count() > 10
+
+
+def test_lists_gather_no_hot_group_in_a_task(spark):
+    rows = spark.range(60_000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id % 500) end k", "id")
+    held = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        packed = ordered.lists(rows, ["k"], F.col("id").cast("string"), {"id": F.col("id")}, size=200)
+        tasks = packed.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("n").alias("n"), F.sum(F.expr("int(k = 'hot')")).alias("hot"))
+        most = tasks.agg(F.max("n"), F.max("hot"), F.sum("hot")).first()
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert most[2] == 100 and most[1] <= 8 and most[0] < 4 * 60_000 / 64

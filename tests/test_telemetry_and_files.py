@@ -46,6 +46,29 @@ def test_cause_text_shapes(spark):
     doc = {"f": [{"message": "Workflow failed", "causedBy": [{"message": "a", "causedBy": {"message": "b"}}, {"message": "c", "causedBy": []}]}, {"message": "z"}]}
     rows = variant(spark, doc).select("run_id", F.variant_get("doc", "$.f", "variant").alias("f"))
     assert tel.cause_text(rows, ["run_id"], "f").first()["error"] == "a: b, c, z"
+    doc = {"f": [{"message": "odd: , text: ", "causedBy": [{"causedBy": [{"message": ", "}]}, {"message": ""}, {"message": "d: "}]}, {"causedBy": []}, {"message": "e"}]}
+    rows = variant(spark, doc).select("run_id", F.variant_get("doc", "$.f", "variant").alias("f"))
+    assert tel.cause_text(rows, ["run_id"], "f").first()["error"] == "odd: , text: : , , d: , e"
+
+
+def test_run_rows_carry_their_error(spark):
+    docs = variant(spark, {"id": "e1", "status": "Failed", "failures": [{"message": "no: , way"}]})
+    assert tel.run_rows(docs, ["run_id"]).first()["error"] == "no: , way"
+    assert tel.run_rows(variant(spark, {"id": "e2", "status": "Done"}), ["run_id"]).first()["error"] is None
+
+
+def test_empty_list_outputs_are_empty_not_absent(spark):
+    returned = tel.output_rows(variant(spark, {"w.a": [], "w.b": [[], ["x"]], "w.c": "v", "w.d": {"location": "/l"}}), ["run_id"], "doc")
+    assert sorted((r.id, tuple(r.path), r.value) for r in returned.collect()) == [("a", (), ""), ("b", (0,), ""), ("b", (1, 0), "x"), ("c", (), "v"), ("d", (), "/l")]
+    declared = returned.select("run_id", F.explode(F.array(*[F.lit(x) for x in ("a", "c", "z")])).alias("id")).distinct()
+    states = outputs.compare_outputs(declared, returned.where("size(path) = 0").select("run_id", "id", "value"), ["run_id", "id"])
+    assert {r.id: r.state for r in states.collect()} == {"a": "empty", "c": "ok", "z": "absent"}
+
+
+def test_conversion_paths_of_any_length(spark):
+    steps = [(f"t{i}", f"t{i + 1}") for i in range(12)] + [("t12", "t0")]
+    found = mf.conversion_paths(spark.createDataFrame([("t0", "t10"), ("t3", "t2"), ("t0", "x"), ("t1", "t1")], "guessed string, wanted string"), spark.createDataFrame(steps, "`from` string, to string"))
+    assert {(r.guessed, r.wanted): r.steps for r in found.collect()} == {("t0", "t10"): 10, ("t3", "t2"): 12, ("t0", "x"): None}
 
 
 def test_malformed_documents_are_rejected(spark, tmp_path):
