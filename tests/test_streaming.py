@@ -5,6 +5,7 @@ import json
 import os
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from flowlens.operators import health, status as sta, store, telemetry as tel
 from flowlens.plans.adapter import Tables
 from flowlens.schema import SPECS
 from flowlens.sources import documents
-from flowlens.streaming import streams
+from flowlens.streaming import scopes, streams
 
 
 def feed(spark, tmp_path, df, order, parts=4):
@@ -45,11 +46,20 @@ def events(spark, small_dir):
 def test_status_changes(spark, tmp_path, events):
     got = drain(streams.status_changes(feed(spark, tmp_path, events, ["seq"])), spark)
     want = sta.changes(events, ["run_id"]).select("run_id", "seq", "date", "status", "previous", "notifies")
-    assert rows(got) == rows(want)
+    assert got.where("late").isEmpty() and rows(got.drop("late")) == rows(want)
+
+
+def test_status_changes_after_months_and_late(spark, tmp_path):
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    data = [("a", 1, day(0), "running"), ("b", 1, day(200), "queued"), ("a", 2, day(300), "running"), ("a", 0, day(-1), "queued")]
+    events = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "run_id string, seq long, date timestamp, status string, i int")
+    got = drain(streams.status_changes(feed(spark, tmp_path, events, ["i"])), spark)
+    assert [(r.run_id, r.seq, r.previous) for r in got.where("not late").collect()] == [("a", 1, None), ("b", 1, None)]
+    assert [(r.run_id, r.seq, r.status, r.notifies) for r in got.where("late").collect()] == [("a", 0, "queued", False)]
 
 
 def test_completions(spark, tmp_path, events):
-    got = drain(streams.completions(feed(spark, tmp_path, events, ["seq"]), late="60 days"), spark)
+    got = drain(streams.completions(feed(spark, tmp_path, events, ["seq"])), spark)
     want = health.completions(events, ["run_id"])
     assert rows(got.select("run_id", "seq", "status")) == rows(want.select("run_id", "seq", "status"))
 
@@ -73,7 +83,15 @@ def test_error_streaks(spark, tmp_path, events):
     polls = events.select("run_id", "seq", "date", F.expr("case status when 'completed' then 'ok' when 'queued' then 'connection' else 'metadata' end").alias("outcome"))
     got = drain(streams.error_streaks(feed(spark, tmp_path, polls, ["seq"]), "metadata", 5), spark)
     want = health.error_streaks(polls.drop("date"), ["run_id"], "metadata", 5)
-    assert rows(got) == rows(want.select("run_id", "seq", "outcome", "errors", "failed"))
+    assert got.where("late").isEmpty() and rows(got.drop("late")) == rows(want.select("run_id", "seq", "outcome", "errors", "failed"))
+
+
+def test_error_streak_goes_on_after_a_long_pause(spark, tmp_path):
+    polls = spark.createDataFrame([("a", i, "metadata", dt.datetime(2024, i + 1, 1)) for i in range(4)] + [("a", 1, "ok", dt.datetime(2024, 12, 1))],
+                                  "run_id string, seq long, outcome string, date timestamp")
+    got = drain(streams.error_streaks(feed(spark, tmp_path, polls, ["date"], 5), "metadata", 3), spark).collect()
+    assert sorted((r.seq, r.errors, r.failed) for r in got if not r.late) == [(0, 1, False), (1, 2, False), (2, 3, False), (3, 4, True)]
+    assert [(r.seq, r.errors) for r in got if r.late] == [(1, None)]
 
 
 def test_health_checks(spark, tmp_path):
@@ -81,7 +99,10 @@ def test_health_checks(spark, tmp_path):
     data = [(f"s{s}", tick, start + dt.timedelta(minutes=15 * tick), str(j), (tick * (s + 2) + j * s) % 5 < 3 + s % 3)
             for tick in range(12) for s in range(4) for j in range(2)]
     obs = spark.createDataFrame(data, "submission_id string, tick long, date timestamp, job_id string, stuck boolean")
-    got = drain(streams.health_checks(feed(spark, tmp_path, obs, ["tick"])), spark)
+    after = spark.createDataFrame([("end", 10 ** 6, start + dt.timedelta(days=400), "0", False)], obs.schema)
+    # Five files cut through checks, and the jobs of two checks in a row are mixed.
+    split = feed(spark, tmp_path, obs.unionByName(after).withColumn("at", F.expr("tick div 2")), ["at", "job_id", "tick"], 5)
+    got = drain(streams.health_checks(split, late="40 minutes"), spark).where("submission_id <> 'end'")
     want = health.health_checks(obs)
     assert rows(got) == rows(want)
     assert want.where("abort").count() > 0
@@ -90,10 +111,57 @@ def test_health_checks(spark, tmp_path):
 def test_step_events(spark, tmp_path, small_dir):
     t = Tables(spark, small_dir)
     lines = t.event_lines.join(t.events.select(F.col("event_id").alias("line_no"), F.col("ts").cast("timestamp").alias("date")), "line_no")
-    got = drain(streams.step_events(feed(spark, tmp_path, lines.select("run_id", "line_no", "date", "line"), ["line_no"])), spark)
+    after = spark.createDataFrame([("end", 10 ** 9, dt.datetime(2100, 1, 1), "INFO [step x] start")], "run_id string, line_no long, date timestamp, line string")
+    source = lines.select("run_id", F.col("line_no").cast("long"), "date", "line").unionByName(after)
+    got = drain(streams.step_events(feed(spark, tmp_path, source, ["line_no"])), spark).where("run_id <> 'end'")
     assert rows(got) == rows(tel.step_scopes(t.event_lines, slice_size=50))
 
 
+def log(runs, size):
+    """Lines with nested, unmatched and unnamed workflow steps, a second apart."""
+    acts = ["[workflow w{}] start", "[step s{}] start", "[workflow] start", "[workflow v{}] start", "[step s{}] completed success", "[workflow v{}] completed success", "[step] start", "[workflow w{}] completed success", "[workflow] completed success"]
+    start = dt.datetime(2024, 1, 1)
+    return [(f"r{r}", i, start + dt.timedelta(seconds=i), "INFO " + acts[(i * i + 3 * i * r + i // 7) % len(acts)].format(i % 5)) for r in range(runs) for i in range(size)]
+
+
+def test_step_events_shuffled_and_split(spark, tmp_path):
+    lines = spark.createDataFrame(log(3, 400), "run_id string, line_no long, date timestamp, line string")
+    after = spark.createDataFrame([("end", 1, dt.datetime(2100, 1, 1), "INFO [step x] start")], lines.schema)
+    # Lines move by up to nine minutes against each other.
+    moved = lines.unionByName(after).withColumn("at", F.unix_timestamp("date") + F.pmod(F.xxhash64("run_id", "line_no"), F.lit(540)))
+    got = drain(streams.step_events(feed(spark, tmp_path, moved, ["at"], 8)), spark).where("run_id <> 'end'")
+    want = tel.step_scopes(lines.select("run_id", "line_no", "line"))
+    assert rows(got) == rows(want) and want.where("parent like '%\\_%'").count() > 0
+
+
+def test_stack_effects_compose():
+    hits = []
+    for _, line, date, text in log(1, 300):
+        words, action = text[6:].split("] ")
+        component, _, step = words.partition(" ")
+        hits.append((line, date, component, step, action))
+    whole = pd.DataFrame(hits, columns=["line_no", "date", "component", "step", "action"])
+    events, kept, pushed = scopes.stretch(whole, [])
+    assert kept == 0
+    for size in (1, 7, 64):
+        stack, parts = [], []
+        for i in range(0, len(whole), size):
+            got, keep, more = scopes.stretch(whole.iloc[i:i + size], stack)
+            stack = stack[:keep] + more
+            parts.append(got)
+        joined = pd.concat([p for p in parts if len(p)], ignore_index=True)
+        assert stack == pushed and joined.astype(object).where(joined.notna(), None).values.tolist() == events.astype(object).where(events.notna(), None).values.tolist()
+
+
+def test_progress_counts_rows_without_a_second_pass(spark, tmp_path, events):
+    stream = streams.counted(feed(spark, tmp_path, events, ["seq"]), final=F.count_if(F.col("status") == "completed"))
+    query = stream.writeStream.format("noop").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    feed_ = streams.progress(query)
+    assert sum(p["rows"] for p in feed_ if "rows" in p) == events.count() and len(feed_) >= 4
+    assert sum(p["final"] for p in feed_ if "final" in p) == events.where("status = 'completed'").count()
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [2, 5, 0, 3, 1, 4]])
 def test_webhook_events_upsert_the_store(spark, tmp_path, order):
     def process(i, name, status):
