@@ -8,8 +8,10 @@ overlap that takes. The product is formed only where these bounds leave a chance
    s - ceil(0.85 s) + 1 columns can hold the first column that a qualifying pair shares (the smaller
    row of a pair: s - ceil(1.7 s / 1.85) + 1). Only these are shuffled, in blocks of columns.
 2. A block's task multiplies its part of A with its transpose, sparsely: a column adds one to the
-   overlap of each pair of its rows whose sizes and positions in both rows leave a chance. Partial
-   overlaps are added up by pair, and pairs below what their sizes ask for are discarded.
+   overlap of each pair of its rows whose sizes, positions and parities in both rows leave a chance.
+   Partial overlaps are added up by pair, and pairs below what their sizes ask for are discarded.
+   (Parities: each n-gram flips one of 256 bits of its row. Bits in which two rows differ are at most
+   the n-grams that one of them has alone, and sizes bound those of a pair that qualifies.)
 3. The overlap of each pair that is left is completed once, over its two whole rows.
 
 Rows of one component need no more links, so this is done twice. At first each column pairs its rows
@@ -41,6 +43,7 @@ N, PART, WHOLE = 4, 85, 100
 FREQUENT, COLUMN_ROWS, HUB_ROWS = 1 << 20, 4096, 256
 #: Entries of A that a block of columns holds, and pairs that it forms at a time.
 BLOCK_ROWS, PAIRS = 1 << 18, 1 << 19
+PARITIES = ["p0", "p1", "p2", "p3"]
 
 
 def _ceil(a, b):
@@ -67,8 +70,22 @@ def _bodies(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("body").to_pylist()]
 
 
+def parities(grams: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each set, as four columns: bit h(g) tells whether an odd number of its n-grams has that h."""
+    bit = mix(grams) >> np.uint64(56)
+    some = sizes > 0
+    first = (np.cumsum(sizes) - sizes)[some]
+    out = []
+    for k in range(len(PARITIES)):
+        word = np.zeros(len(sizes), np.uint64)
+        if len(first):
+            word[some] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), first)
+        out.append(word.view(np.int64))
+    return out
+
+
 def _describe(n: int):
-    """A row per text with its set's size and digest, and a row per n-gram that repeats inside a batch of texts."""
+    """A row per text with its set's size, digest and parities, and a row per n-gram that repeats inside a batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +103,9 @@ def _describe(n: int):
                         pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(count, pa.int64())]),
                         pa.concat_arrays([pa.array(digest, pa.binary()), pa.nulls(k, pa.binary())]),
                         pa.concat_arrays([pa.nulls(j - i, pa.int64()), pa.array(value, pa.int64())]),
+                        *[pa.concat_arrays([pa.array(p), pa.nulls(k, pa.int64())]) for p in parities(grams, sizes)],
                     ],
-                    names=["doc_id", "n", "digest", "gram"],
+                    names=["doc_id", "n", "digest", "gram", *PARITIES],
                 )
 
     return run
@@ -169,7 +187,7 @@ def column_pairs(rows: dict[str, np.ndarray], part: int, whole: int) -> Iterator
 
     `rows` is sorted by column (gram, i, j), in it by doc. `at` is the column's position in a row, `lead`
     the row's first position that any other row shares. About PAIRS pairs are formed at a time. Rows
-    with the same label are joined already.
+    with the same label are joined already. Parities are optional, and bound nothing for rows that are `open`.
     """
     n = len(rows["doc"])
     new = np.ones(n, bool)
@@ -194,15 +212,20 @@ def column_pairs(rows: dict[str, np.ndarray], part: int, whole: int) -> Iterator
         can = sy <= sx * whole // part
         can &= np.minimum(sx - rows["lead"][x], sy - rows["lead"][y]) >= need
         can &= np.minimum(ax, ay) + np.minimum(sx - ax, sy - ay) >= need
+        x, y, sx, sy, need = x[can], y[can], sx[can], sy[can], need[can]
+        if "open" in rows:
+            differ = sum(np.bitwise_count(rows[p][x].view(np.uint64) ^ rows[p][y].view(np.uint64)).astype(np.int64) for p in PARITIES)
+            can = (differ <= sx + sy - 2 * need) | (rows["open"][x] + rows["open"][y] > 0)
+            x, y, sx, sy, need = x[can], y[can], sx[can], sy[can], need[can]
         # Behind the prefix that ends first (in the order of columns) only that row's rest adds to the overlap.
         rest = np.maximum(_ceil(part * sx, whole), _ceil(part * sy, whole)) - 1
-        a, b = rows["doc"][x[can]], rows["doc"][y[can]]
-        yield np.minimum(a, b), np.maximum(a, b), (need - rest)[can]
+        a, b = rows["doc"][x], rows["doc"][y]
+        yield np.minimum(a, b), np.maximum(a, b), need - rest
 
 
 def _multiply(part: int, whole: int):
     """Partial overlaps of the pairs of a block of columns: a, b, n, least (what the sum of n must reach)."""
-    names = ["gram", "i", "j", "side", "doc", "size", "at", "lead", "label"]
+    names = ["gram", "i", "j", "side", "doc", "size", "at", "lead", "label", "open", *PARITIES]
 
     def summed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         columns = dict(zip(names, rows, strict=True))
@@ -278,8 +301,7 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
     spark = rows.sparkSession
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("parts"))
     dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
-    wanted = dealt.select(F.col("b").alias("doc_id")).unionByName(dealt.select(F.col("a").alias("doc_id"))).distinct()
-    texts = cut(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_pack, "doc long, packed binary, bytes long"))
+    texts = rows.where("doc_id is not null").mapInArrow(_pack, "doc long, packed binary, bytes long")
     sides = dealt.select("a", "part", F.col("b").alias("doc"), F.lit(1).alias("place")).unionByName(
         dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc"), F.lit(0).alias("place"))
     )
@@ -288,7 +310,7 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
         .repartition(width(spark), "a", "part").sortWithinPartitions("a", "part", "place")
     )
     links = cut(met.mapInArrow(_complete(n, part, whole), "a long, b long"))
-    release(dealt, texts)
+    release(dealt)
     return links
 
 
@@ -311,7 +333,7 @@ def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) ->
     tiled = (
         members.withColumn("k", F.ceil(F.col("n") / column_rows).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "size", "at", "lead", "label")
+        .select("gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "size", "at", "lead", "label", "open", *PARITIES)
     )
     dealt = tiled.repartition(width(members.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "doc")
     return dealt.mapInArrow(_multiply(part, whole), "a long, b long, n long, least long")
@@ -333,7 +355,7 @@ def ngram_join(
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"))
-    seen = cut(rows.mapInArrow(_describe(n), "doc_id long, n long, digest binary, gram long"))
+    seen = cut(rows.mapInArrow(_describe(n), "doc_id long, n long, digest binary, gram long, p0 long, p1 long, p2 long, p3 long"))
     texts = seen.where("gram is null")
     # At most FREQUENT pairs of numbers, whatever the corpus.
     top = (
@@ -352,8 +374,13 @@ def ngram_join(
         postings.repartition(width(spark), "gram").sortWithinPartitions("gram", "same", "doc")
         .mapInArrow(_shared, "gram long, doc long, size int, at int, n long, hub long, hub_size int, hub_at int")
     )
-    lead = members.groupBy("doc").agg(F.min("at").alias("lead"))
-    placed = cut(members.join(lead, "doc"))
+    # An id with several texts has several sets, so parities do not bound its pairs.
+    own = texts.where("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.lit(None).cast("int").alias("at"), F.lit(1).alias("sets"), *PARITIES)
+    shared = members.groupBy("doc").agg(F.min("at").alias("at")).withColumns({"sets": F.lit(0), **{p: F.lit(None).cast("long") for p in PARITIES}})
+    about = own.unionByName(shared).groupBy("doc").agg(
+        F.min("at").alias("lead"), (F.sum("sets") > 1).cast("int").alias("open"), *[F.max(p).alias(p) for p in PARITIES]
+    )
+    placed = cut(members.join(about.where("lead is not null"), "doc"))
     release(members)
     tried = cut(_first_pairs(placed, part, whole))
     alike = _completed(rows, tried, n, part, whole, hub_rows)

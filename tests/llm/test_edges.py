@@ -98,6 +98,16 @@ def test_ngram_column_pairs(monkeypatch):
     assert found[0] == found[1] and len(found[0]) == len(set(found[0])) and set(found[0]) >= want and want
 
 
+def test_ngram_parities_bound_what_two_sets_do_not_share():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(2000, size, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for size in (0, 1, 3, 40, 40, 300, 1000, 0)]
+    bits = np.stack(ngram_join.parities(np.concatenate(sets), np.array([len(s) for s in sets]))).view(np.uint64)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            differ = int(np.bitwise_count(bits[:, i] ^ bits[:, j]).sum())
+            assert differ <= len(np.setxor1d(s, t)) and differ % 2 == (len(s) + len(t)) % 2
+
+
 @pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "hub_rows": 1}, {"column_rows": 3, "hub_rows": 2}])
 def test_ngram_join(spark, texts, kw):
     def shingles(t):
