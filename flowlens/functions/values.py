@@ -72,7 +72,7 @@ def identifier(text: Column) -> Column:
 
 
 def join_nested(values: Column, sep: str) -> Column:
-    """An array (or array of arrays) of texts joined by `sep`; a null prints `None`."""
+    """A flat array of texts joined by `sep`; a null prints `None`. For lists of any depth see `outputs.join_lists`."""
     return F.array_join(values, sep, "None")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import paths
+from flowlens.operators.lineage import cut
 
 
 def output_values(outputs: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -150,3 +151,35 @@ def scatter_gather(values: DataFrame, width: int, levels: int) -> DataFrame:
         )
         level = packed.select("n", F.md5(F.array_join("_h.hash", ",")).alias("hash"))
     return level
+
+
+def join_lists(df: DataFrame, key: str, value: str, sep: str) -> DataFrame:
+    """`key, joined`: the VARIANT `value`, lists of lists of any and mixed depth, as one text.
+
+    Each level of lists is opened by one explode; what is no list is a leaf, and leaves are joined in the
+    order of their positions. A null inside prints `None`, a truth value `True` or `False`, an empty list
+    an empty text, an object its JSON. A value that is no list is its own text; a null value stays null.
+    `key` tells rows apart, so a group is never more than one row's own list.
+    """
+    spark = df.sparkSession
+    kind = F.schema_of_variant("v")
+    text = (
+        F.when(F.col("_end"), "").when(F.is_variant_null("v"), F.when(F.size("at") > 0, "None"))
+        .when(kind == "BOOLEAN", F.initcap(F.try_variant_get("v", "$", "string")))
+        .otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
+    )
+    level = cut(df.select(key, F.array().cast("array<int>").alias("at"), F.col(value).alias("v"), F.lit(False).alias("_end")))
+    leaves = None
+    while leaves is None or not level.isEmpty():
+        listed = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+        done = level.where(~listed).select(key, "at", text.alias("text"))
+        leaves = done if leaves is None else leaves.unionByName(done)
+        opened = level.where(listed).select(key, "at", F.col("v").alias("_list")).lateralJoin(spark.tvf.variant_explode_outer(F.col("_list").outer()))
+        level = cut(opened.select(
+            key, F.concat("at", F.array(F.coalesce(F.col("pos"), F.lit(0)))).alias("at"), F.col("value").alias("v"), F.col("pos").isNull().alias("_end")
+        ))
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
+    joined = leaves.groupBy(key).agg(parts.alias("_parts"))
+    return joined.select(key, F.when(
+        (F.size("_parts") > 1) | F.get("_parts", F.lit(0))["text"].isNotNull(), F.array_join(F.col("_parts.text"), sep)
+    ).alias("joined"))

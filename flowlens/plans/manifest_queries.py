@@ -442,6 +442,13 @@ def _(t):
     return t.events.select("user_id", "event_id", values.join_nested(F.flatten(nested), "|").alias("joined"))
 
 
+@query("g14_join_lists", "", """select event_id, concat_ws('|', event_type, user_id, case when event_id % 2 = 0 then 'a' else 'None' end, '', case when user_id % 2 = 0 then 'True' else 'False' end, 'x') joined from events""")
+def _(t):
+    # Texts, a list in a list in a list, a null, an empty list and a truth value.
+    mixed = F.parse_json(F.expr("""concat('["', event_type, '", [', user_id, ', [', if(event_id % 2 = 0, '"a"', 'null'), ', []], ', user_id % 2 = 0, '], "x"]')"""))
+    return outputs.join_lists(t.events.select("event_id", mixed.alias("value")), "event_id", "value", "|")
+
+
 @query("g13_output_parameters", "", """select p_partkey, p_type type, kind, kind in ('file', 'directory') is_copyable, coalesce(ext, ovr, case when kind = 'file' then d.e end) extension,
     case when kind = 'file' then d.c end secondaries from (select *, case p_partkey % 4 when 0 then 'directory' when 1 then 'int' else 'file' end kind, case when p_size % 5 = 0 then '.out' end ext, case when p_size % 7 = 0 then '_x.txt' end ovr from part)
   left join (values ('ECONOMY', '.eco', '.bai'), ('SMALL', '.sml', null), ('LARGE', null, '^.idx')) d(t, e, c) on d.t = p_type""")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import paths, values
+from flowlens.operators.lineage import cut
 
 # The fields of a webhook event.
 WEBHOOK_DDL = (
@@ -37,29 +36,56 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def save_documents(docs: DataFrame, progress: DataFrame, path: str) -> DataFrame:
-    """Persist raw documents once per submission; those already marked saved are left out.
+    """Persist one raw document per submission, once; submissions already marked saved are left out.
 
-    Returns the milestones to record.
+    Of several documents of a submission the one whose JSON text comes first is written. Returns the
+    milestones to record, of just the documents that were written.
     """
     saved = progress.where("key = 'savedMetadata'").select("submission_id")
-    fresh = docs.join(saved, "submission_id", "left_anti")
-    (
-        fresh.withColumn("doc", F.to_json("doc")).withColumn("_bucket", F.pmod(F.xxhash64("submission_id"), F.lit(64)))
-        .write.mode("append").partitionBy("_bucket").json(path)
+    text = docs.join(saved, "submission_id", "left_anti").withColumn("doc", F.to_json("doc"))
+    rest = [c for c in text.columns if c not in ("submission_id", "doc")]
+    first = text.groupBy("submission_id").agg(F.min(F.struct("doc", *rest)).alias("_first"))
+    fresh = cut(first.select("submission_id", "_first.*").select(docs.columns))
+    fresh.withColumn("_bucket", F.pmod(F.xxhash64("submission_id"), F.lit(64))).write.mode("append").partitionBy("_bucket").json(path)
+    return fresh.select("submission_id", F.lit("savedMetadata").alias("key"))
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def read_manifests(spark: SparkSession, files: DataFrame, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Layered inputs of many manifests: rows (manifest_id, layer, name, value) and rejects (manifest_id, layer, file, reason).
+
+    `files`: manifest_id, layer, file (a path as `root` lists it). One scan reads everything below
+    `root`, however many files there are, and meets `files` by the path of each file; a file may serve many
+    manifests. Rejected are files that are not one JSON object, and files that do not exist. An empty object
+    gives no rows.
+    """
+    found = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
+        _plain(F.col("_metadata.file_path")).alias("_path"), values.parse_json(F.col("value")).alias("doc"), F.lit(True).alias("_found")
+    )
+    met = files.select("manifest_id", "layer", "file", _plain(F.col("file")).alias("_path")).join(found, "_path", "left")
+    met = met.withColumn("_ok", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False)))
+    rows = met.where("_ok").select("manifest_id", "layer", "doc").lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
+    reason = F.when(F.col("_found").isNull(), "missing").otherwise("not a JSON object")
+    return (
+        rows.select("manifest_id", "layer", F.col("key").alias("name"), "value"),
+        met.where(~F.col("_ok")).select("manifest_id", "layer", "file", reason.alias("reason")),
     )
-    return fresh.select("submission_id", F.lit("savedMetadata").alias("key")).distinct()
 
 
 def read_layers(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Input documents in order: `layer, name, value` (VARIANT). Later files have higher layers."""
-    def layer(n: int) -> DataFrame:
-        text = spark.read.text(files[n], wholetext=True)
-        return text.select(F.lit(n).alias("layer"), values.parse_json(F.col("value")).alias("doc"))
-
-    layered = reduce(DataFrame.unionByName, [layer(n) for n in range(len(files))])
-    return layered.lateralJoin(
-        spark.tvf.variant_explode(F.col("doc").outer())
-    ).select("layer", F.col("key").alias("name"), "value")
+    """Input documents of one manifest in order: `layer, name, value` (VARIANT). Later files have higher layers.
+
+    A file that is not one JSON object fails the read with its name.
+    """
+    plan = spark.createDataFrame([("", n, f) for n, f in enumerate(files)], "manifest_id string, layer int, file string")
+    rows, bad = read_manifests(spark, plan, files)
+    wrong = [f"{r.file}: {r.reason}" for r in bad.collect()]
+    if wrong:
+        raise ValueError("; ".join(sorted(wrong)))
+    return rows.drop("manifest_id")
 
 
 def webhook_events(df: DataFrame, text: str = "value") -> DataFrame:

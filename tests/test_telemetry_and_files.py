@@ -86,6 +86,42 @@ def test_layers_keep_file_order(spark, tmp_path):
     assert got == {(0, "x"): "1", (0, "y"): "[1,2]", (1, "x"): '"two"'}
 
 
+def test_layers_of_many_manifests_in_one_scan(spark, tmp_path):
+    plan = []
+    for m in range(40):
+        for layer in range(2):
+            (tmp_path / f"{m}_{layer}.json").write_text(json.dumps({"x": m, f"y{layer}": [layer]}))
+            plan.append((str(m), layer, str(tmp_path / f"{m}_{layer}.json")))
+    (tmp_path / "cut.json").write_text('{"x": ')
+    (tmp_path / "none.json").write_text("{}")
+    plan += [("a", 0, str(tmp_path / "cut.json")), ("a", 1, str(tmp_path / "gone.json")), ("a", 2, str(tmp_path / "none.json")), ("a", 3, str(tmp_path / "3_0.json"))]
+    rows, bad = documents.read_manifests(spark, spark.createDataFrame(plan, "manifest_id string, layer int, file string"), str(tmp_path))
+    got = {(r.manifest_id, r.layer, r.name): r.v for r in rows.selectExpr("*", "to_json(value) v").collect()}
+    assert len(got) == 162 and got["7", 1, "x"] == "7" and got["7", 1, "y1"] == "[1]" and got["a", 3, "x"] == "3"
+    assert sorted((r.layer, r.reason) for r in bad.collect()) == [(0, "not a JSON object"), (1, "missing")]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    with pytest.raises(ValueError, match="cut.json"):
+        documents.read_layers(spark, [str(tmp_path / "none.json"), str(tmp_path / "cut.json")])
+
+
+def test_one_document_per_submission_is_saved(spark, tmp_path):
+    docs = spark.createDataFrame([("a", '{"n": 2}'), ("a", '{"n": 1}'), ("b", '{"n": 3}'), ("c", '{"n": 4}')], "submission_id string, js string").select("submission_id", F.parse_json("js").alias("doc"))
+    progress = spark.createDataFrame([("c", "savedMetadata"), ("b", "other")], "submission_id string, key string")
+    marks = documents.save_documents(docs, progress, str(tmp_path / "out"))
+    assert sorted(map(tuple, marks.collect())) == [("a", "savedMetadata"), ("b", "savedMetadata")]
+    assert sorted((r.submission_id, r.doc) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("a", '{"n":1}'), ("b", '{"n":3}')]
+    assert documents.save_documents(docs, progress.unionByName(marks), str(tmp_path / "out")).isEmpty()
+
+
+def test_lists_of_any_depth_are_joined(spark):
+    cases = {'["a", "b"]': "a,b", '[["a", ["b", [["c"]]]], "d"]': "a,b,c,d", "[1, null, [true, []], {\"k\": 1}]": '1,None,True,,{"k":1}', "[]": "", "[[], []]": ",",
+             '"x"': "x", "null": None, "[null]": "None", str(list(range(12))): ",".join(map(str, range(12)))}
+    df = spark.createDataFrame(list(enumerate([*cases, None])), "i int, js string").select("i", F.parse_json("js").alias("v"))
+    got = {r.i: r.joined for r in outputs.join_lists(df, "i", "v", ",").collect()}
+    assert got == {**dict(enumerate(cases.values())), len(cases): None}
+    assert outputs.join_lists(df.where("i < 0"), "i", "v", ",").isEmpty()
+
+
 def test_log_files_blank_lines_and_missing_final_line(spark, tmp_path):
     (tmp_path / "r1.log").write_text("INFO start\n\n  \nERROR one\n  more\nwarning x\nFinal process status is permanentFail\n")
     (tmp_path / "r2.log").write_text("INFO start\n")
