@@ -47,10 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by `cut` that no later plan reads."""
     for df in tables:
         if getattr(df, "cut_path", None):
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, df.cut_path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from flowlens.functions import paths, values
 from flowlens.operators import ordered
@@ -263,12 +264,17 @@ def sourceable(declared: DataFrame, inputs: DataFrame) -> DataFrame:
 def choose_sources(wanted: DataFrame, hints: DataFrame) -> DataFrame:
     """A plain source as it is; of a source map the entry of the user's first matching hint.
 
-    `wanted`: manifest_id, name, source, sources. `hints`: manifest_id, pos, hint.
+    `wanted`: manifest_id, name, source, sources. `hints`: manifest_id, pos, hint. A source is a text or,
+    in either column, a list of texts; where one of the columns holds lists, a text becomes a list of one.
     """
     plain = wanted.where("source is not null").select(ID, "name", "source")
     entries = wanted.where("source is null").select(ID, "name", F.explode("sources").alias("hint", "source"))
     chosen = entries.join(hints, [ID, "hint"]).groupBy(ID, "name").agg(F.min_by("source", "pos").alias("source"))
-    return plain.unionByName(chosen)
+    branches = [plain, chosen]
+    lists = [isinstance(df.schema["source"].dataType, ArrayType) for df in branches]
+    if any(lists):
+        branches = [df if listed else df.withColumn("source", F.array("source")) for df, listed in zip(branches, lists, strict=True)]
+    return branches[0].unionByName(branches[1])
 
 
 def conversion_paths(pairs: DataFrame, conversions: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from flowlens.functions import status as st
 from flowlens.operators import store, telemetry
+from flowlens.operators.lineage import remove
 from flowlens.schema import FINAL_STATUSES, NOTIFY_STATUSES, SPECS
 from flowlens.streaming.scopes import EVENTS, Scopes
 
@@ -269,6 +270,8 @@ def live_board(snapshots: DataFrame, out: str, state: str, max_skips: int = 20)
             F.when(F.col("_due"), 0).when(here, F.col("_skips") + 1).otherwise(F.col("_skips")).alias("_skips"),
         )
         kept.write.mode("overwrite").parquet(f"{state}/{epoch}")
+        if epoch > 1:  # a repeated batch reads no more than the one before it
+            remove(spark, f"{state}/{epoch - 2}")
 
     def start(checkpoint: str, **trigger):
         return snapshots.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -122,6 +122,20 @@ def test_lists_of_any_depth_are_joined(spark):
     assert outputs.join_lists(df.where("i < 0"), "i", "v", ",").isEmpty()
 
 
+def test_sources_may_be_lists_in_either_column(spark):
+    hints = spark.createDataFrame([("m", 0, "hg19"), ("m", 1, "hg38")], "manifest_id string, pos int, hint string")
+
+    def chosen(source, sources, rows):
+        df = spark.createDataFrame(rows, f"manifest_id string, name string, source {source}, sources map<string,{sources}>")
+        return {r.name: r.source for r in mf.choose_sources(df, hints).collect()}
+
+    two = {"hg38": ["gs://38", "gs://38b"], "hg19": ["gs://19"]}
+    assert chosen("string", "string", [("m", "a", "gs://p", None), ("m", "b", None, {"hg38": "x", "hg19": "y"}), ("m", "c", None, {"mm10": "z"})]) == {"a": "gs://p", "b": "y"}
+    assert chosen("string", "array<string>", [("m", "a", "gs://p", None), ("m", "b", None, two)]) == {"a": ["gs://p"], "b": ["gs://19"]}
+    assert chosen("array<string>", "string", [("m", "a", ["p", "q"], None), ("m", "b", None, {"hg38": "x"})]) == {"a": ["p", "q"], "b": ["x"]}
+    assert chosen("array<string>", "array<string>", [("m", "a", ["p", "q"], None), ("m", "b", None, two)]) == {"a": ["p", "q"], "b": ["gs://19"]}
+
+
 def test_log_files_blank_lines_and_missing_final_line(spark, tmp_path):
     (tmp_path / "r1.log").write_text("INFO start\n\n  \nERROR one\n  more\nwarning x\nFinal process status is permanentFail\n")
     (tmp_path / "r2.log").write_text("INFO start\n")
