@@ -8,29 +8,27 @@ from pyspark.sql import functions as F
 from flowlens.functions import status as st
 from flowlens.functions import timing
 from flowlens.operators import ordered
+from flowlens.operators.lineage import cut
 
 
-def health_checks(observed: DataFrame, slice_size: int = 10_000) -> DataFrame:
+def health_checks(observed: DataFrame, slice_size: int | None = None) -> DataFrame:
     """Verdict per (submission_id, tick) from observed running jobs (submission_id, tick, job_id, stuck).
 
     Unhealthy when every checked job is stuck; abort when the check before was unhealthy with the
     same set. Sets are compared by how many members stayed, never gathered.
     """
-    marks = observed.groupBy("submission_id", "job_id", "tick").agg(F.bool_and("stuck").alias("stuck"))
-    stuck = ordered.previous(
-        marks.where("stuck"), ["submission_id", "job_id"], ["tick"],
-        ordered.number_slice(F.col("tick"), slice_size), "tick", "_seen",
-    )
+    marks = cut(observed.groupBy("submission_id", "job_id", "tick").agg(F.bool_and("stuck").alias("stuck")))
+    given = ordered.number_slice(F.col("tick"), slice_size) if slice_size else None
+    rows, at = ordered.sliced(marks.where("stuck"), ["submission_id", "job_id"], ["tick"], given)
+    stuck = ordered.previous(rows, ["submission_id", "job_id"], ["tick"], at, "tick", "_seen")
     stayed = stuck.groupBy("submission_id", "tick", "_seen").agg(F.count(F.lit(1)).alias("_stayed"))
     per_tick = marks.groupBy("submission_id", "tick").agg(
         F.count(F.lit(1)).alias("checked"), F.count_if("stuck").alias("stuck_jobs")
     )
     bad = (F.col("stuck_jobs") > 0) & (F.col("stuck_jobs") == F.col("checked"))
     state = F.struct("tick", "checked", bad.alias("bad"))
-    ticks = ordered.previous(
-        per_tick.withColumn("unhealthy", bad).withColumn("_state", state), ["submission_id"], ["tick"],
-        ordered.number_slice(F.col("tick"), slice_size), "_state", "_before",
-    ).withColumn("_seen", F.col("_before.tick"))
+    checks, at = ordered.sliced(per_tick.withColumn("unhealthy", bad).withColumn("_state", state), ["submission_id"], ["tick"], given)
+    ticks = ordered.previous(checks, ["submission_id"], ["tick"], at, "_state", "_before").withColumn("_seen", F.col("_before.tick"))
     same = (
         F.col("unhealthy") & F.coalesce("_before.bad", F.lit(False))
         & (F.col("_before.checked") == F.col("checked")) & (F.col("_stayed") == F.col("stuck_jobs"))
@@ -49,11 +47,10 @@ def completions(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def silences(contacts: DataFrame, keys: list[str], as_of: Column, minutes: int = 10, unit: str = "DAY") -> DataFrame:
+def silences(contacts: DataFrame, keys: list[str], as_of: Column, minutes: int = 10, unit: str | None = None) -> DataFrame:
     """Suspensions: a contact followed by more than `minutes` of nothing (or by nothing up to `as_of`)."""
-    after = ordered.following(
-        contacts, keys, ["date", "seq"], ordered.time_slice(F.col("date"), unit), "date", "next_contact"
-    )
+    rows, at = ordered.sliced(contacts, keys, ["date", "seq"], ordered.time_slice(F.col("date"), unit) if unit else None)
+    after = ordered.following(rows, keys, ["date", "seq"], at, "date", "next_contact")
     limit = minutes * 60 * 1_000_000
     gap = timing.micros_between(F.col("date"), F.coalesce("next_contact", as_of))
     return after.where(gap > limit).select(
@@ -62,14 +59,14 @@ def silences(contacts: DataFrame, keys: list[str], as_of: Column, minutes: int =
     )
 
 
-def error_streaks(polls: DataFrame, keys: list[str], kind: str, limit: int, slice_size: int = 1_000_000) -> DataFrame:
+def error_streaks(polls: DataFrame, keys: list[str], kind: str, limit: int, slice_size: int | None = None) -> DataFrame:
     """Polls with the count of `kind` errors since the last success, and whether it passed the limit.
 
     `polls`: keys, seq, outcome (`ok` or an error kind). A success resets the count.
     """
-    sl = ordered.number_slice(F.col("seq"), slice_size)
+    rows, sl = ordered.sliced(polls, keys, ["seq"], ordered.number_slice(F.col("seq"), slice_size) if slice_size else None)
     counted = ordered.running_sum(
-        polls.withColumn("_err", (F.col("outcome") == kind).cast("int")), keys, ["seq"], sl, "_err", "_total"
+        rows.withColumn("_err", (F.col("outcome") == kind).cast("int")), keys, ["seq"], sl, "_err", "_total"
     ).withColumn("_at_ok", F.when(F.col("outcome") == "ok", F.col("_total")))
     since = ordered.last_known(counted, keys, ["seq"], sl, "_at_ok", "_base")
     errors = F.col("_total") - F.coalesce("_base", F.lit(0))

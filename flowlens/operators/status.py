@@ -52,11 +52,10 @@ def timeline(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def changes(events: DataFrame, keys: list[str], unit: str = "DAY") -> DataFrame:
+def changes(events: DataFrame, keys: list[str], unit: str | None = None) -> DataFrame:
     """Events whose status differs from the one before in the same run, flagged when they notify."""
-    before = ordered.previous(
-        events, keys, ["date", "seq"], ordered.time_slice(F.col("date"), unit), "status", "previous"
-    )
+    rows, at = ordered.sliced(events, keys, ["date", "seq"], ordered.time_slice(F.col("date"), unit) if unit else None)
+    before = ordered.previous(rows, keys, ["date", "seq"], at, "status", "previous").drop(ordered.MADE)
     return before.where(~F.col("status").eqNullSafe(F.col("previous"))).withColumn(
         "notifies", st.notifies(F.col("status"))
     )

@@ -372,7 +372,7 @@ def split_delta(base: DataFrame, delta: DataFrame, keys) -> DataFrame:
 
 def capture_changes(
     base: DataFrame, delta: DataFrame, keys: list[str], seq: str, compare: list[str] | None = None,
-    slice_size: int = 1_000_000,
+    slice_size: int | None = None,
 ) -> DataFrame:
     """Arriving job rows with `change`: unseen insert, differing update, same skip.
 
@@ -381,10 +381,8 @@ def capture_changes(
     """
     fields = compare or ["status"]
     state = F.struct(*[F.col(c) for c in fields])
-    tagged = ordered.previous(
-        delta.withColumn("_state", state), keys, [seq], ordered.number_slice(F.col(seq), slice_size),
-        "_state", "_before",
-    )
+    rows, at = ordered.sliced(delta, keys, [seq], ordered.number_slice(F.col(seq), slice_size) if slice_size else None)
+    tagged = ordered.previous(rows.withColumn("_state", state), keys, [seq], at, "_state", "_before")
     stored = base.select(*keys, state.alias("_stored"))
     joined = tagged.join(stored, keys, "left").withColumn("_before", F.coalesce("_before", "_stored"))
     change = (

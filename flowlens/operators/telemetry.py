@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import status as st
 from flowlens.functions import timing
 from flowlens.operators import ordered
-from flowlens.operators.lineage import cut
+from flowlens.operators.lineage import cut, release
 
 # Texts and names the engines write.
 STATUS_LINE = r"^INFO \[(.*)\] (.+)$"
@@ -315,13 +315,12 @@ def severity(line: Column) -> Column:
     )
 
 
-def error_lines(lines: DataFrame, slice_size: int = 1_000_000) -> DataFrame:
+def error_lines(lines: DataFrame, slice_size: int | None = None) -> DataFrame:
     """Lines from an error line up to the next warning or info line."""
     sev = severity(F.col("line"))
-    marked = lines.withColumn("_sev", F.when(sev != "other", sev))
-    known = ordered.last_known(
-        marked, ["run_id"], ["line_no"], ordered.number_slice(F.col("line_no"), slice_size), "_sev", "_state"
-    )
+    rows, at = ordered.sliced(lines, ["run_id"], ["line_no"], ordered.number_slice(F.col("line_no"), slice_size) if slice_size else None)
+    marked = rows.withColumn("_sev", F.when(sev != "other", sev))
+    known = ordered.last_known(marked, ["run_id"], ["line_no"], at, "_sev", "_state")
     return known.where("_state = 'error'").select(*lines.columns)
 
 
@@ -355,7 +354,7 @@ def step_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def step_scopes(lines: DataFrame, slice_size: int = 1_000_000) -> DataFrame:
+def step_scopes(lines: DataFrame, slice_size: int | None = None) -> DataFrame:
     """Step events of logs with their nested workflow scope: run_id, line_no, id, parent, name, status.
 
     A workflow start pushes its name, a workflow completion pops the last one (and is an event of its
@@ -364,19 +363,21 @@ def step_scopes(lines: DataFrame, slice_size: int = 1_000_000) -> DataFrame:
     scope texts are found by pointer doubling over the pushes - log(depth) joins.
     """
     key, order = ["run_id"], ["line_no"]
-    cut_at = ordered.number_slice(F.col("line_no"), slice_size)
     wf, done = F.col("component") == "workflow", F.col("action") == "completed success"
     named = F.coalesce(F.col("step"), F.lit("")) != ""
     push = wf & (F.col("action") == "start") & named
     hits = step_lines(lines).where(F.col("component").isin("workflow", "step")).where(done | (F.col("action") == "start"))
-    moved = hits.select(
+    moved = cut(hits.select(
         "run_id", "line_no", "step", F.when(done, "completed").otherwise("running").alias("status"),
         push.alias("push"), (named & ~(wf & ~done)).alias("emits"),
         F.when(push, 1).when(wf & done, -1).otherwise(0).alias("_d"),
-    )
-    summed = ordered.running_sum(moved, key, order, cut_at, "_d", "_s")
+    ))
+    given = ordered.number_slice(F.col("line_no"), slice_size) if slice_size else None
+    rows, at = ordered.sliced(moved, key, order, given)
+    summed = ordered.running_sum(rows, key, order, at, "_d", "_s")
     depth = (F.col("_s") - F.least(F.lit(0), F.col("_m"))).cast("int")
-    levelled = cut(ordered.running_min(summed, key, order, cut_at, "_s", "_m").withColumn("depth", depth).drop("_d", "_s", "_m"))
+    levelled = cut(ordered.running_min(summed, key, order, at, "_s", "_m").withColumn("depth", depth).drop("_d", "_s", "_m", ordered.MADE))
+    release(moved)
 
     pushes = levelled.where("push")
     givers = pushes.select("run_id", F.col("depth").alias("level"), "line_no", F.col("line_no").alias("_push"))
@@ -384,7 +385,8 @@ def step_scopes(lines: DataFrame, slice_size: int = 1_000_000) -> DataFrame:
         "run_id", F.when(F.col("push"), F.col("depth") - 1).otherwise(F.col("depth")).alias("level"), "line_no",
         F.lit(None).cast("bigint").alias("_push"),
     ).where("level > 0")
-    known = ordered.last_known(givers.unionByName(seekers), ["run_id", "level"], order, cut_at, "_push", "_at")
+    asked, at = ordered.sliced(givers.unionByName(seekers), ["run_id", "level"], order, given)
+    known = ordered.last_known(asked, ["run_id", "level"], order, at, "_push", "_at")
     above = known.where("_push is null").select("run_id", "line_no", F.col("_at").alias("up"))
 
     scopes = cut(pushes.join(above, ["run_id", "line_no"], "left").select("run_id", "line_no", "up", F.col("step").alias("scope")))
@@ -403,9 +405,13 @@ def step_scopes(lines: DataFrame, slice_size: int = 1_000_000) -> DataFrame:
 
 
 def tail(lines: DataFrame, n: int) -> DataFrame:
-    """Last n lines per log. Spark keeps at most n candidates per log before the shuffle."""
+    """Last n lines per log. Spark keeps at most n candidates per log before the shuffle; beyond its limit slices do."""
     from pyspark.sql import Window
 
+    if n > int(lines.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        rows, at = ordered.slices(lines, ["run_id"], ["line_no"])
+        if at is not None:
+            return ordered.last_rows(rows, ["run_id"], ["line_no"], at, n).select(*lines.columns)
     w = Window.partitionBy("run_id").orderBy(F.desc("line_no"))
     return lines.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
