@@ -10,9 +10,28 @@ def distinct_contigs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "contig").distinct()
 
 
+#: Registers of a contig sketch, as a power of two. The relative standard error is 1.04 / sqrt(2 ** 14), 0.8 %.
+SKETCH_LOG = 14
+
+
+def contig_sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One distinct-count sketch per key: of at most 16 KiB, exact while few, and kept to be united later without the rows."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg("contig", SKETCH_LOG).alias("sketch"), F.count("contig").alias("intervals"))
+
+
+def unite_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches united per coarser key; a contig that several files name counts once. Combines map-side."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("intervals").alias("intervals"))
+
+
 def contig_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Approximate distinct contigs per key."""
-    return rows.groupBy(*keys).agg(F.approx_count_distinct("contig").alias("contigs"))
+    """Approximate distinct contigs per key, null contigs left out; see SKETCH_LOG for the error."""
+    return estimate(contig_sketches(rows, keys))
+
+
+def estimate(sketches: DataFrame) -> DataFrame:
+    """Sketches as estimated numbers of contigs."""
+    return sketches.withColumn("contigs", F.hll_sketch_estimate("sketch")).drop("sketch")
 
 
 def missing_contigs(intervals: DataFrame, references: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from flowlens.functions import status as st
 from flowlens.functions import timing
 from flowlens.operators import ordered
 from flowlens.operators.lineage import cut
+from flowlens.schema import FINAL_STATUSES
 
 
 def health_checks(observed: DataFrame, slice_size: int | None = None) -> DataFrame:
@@ -71,3 +72,20 @@ def error_streaks(polls: DataFrame, keys: list[str], kind: str, limit: int, slic
     since = ordered.last_known(counted, keys, ["seq"], sl, "_at_ok", "_base")
     errors = F.col("_total") - F.coalesce("_base", F.lit(0))
     return since.select(*polls.columns, errors.cast("bigint").alias("errors")).withColumn("failed", F.col("errors") > limit)
+
+
+def live_board(polls: DataFrame, order_by: list[str], max_skips: int = 20) -> DataFrame:
+    """The polls of each run that are worth showing: batch twin of the live board's stream.
+
+    `polls`: run_id, last_updated, status, and columns that order a run's polls. A poll is due when the run is new, its
+    update time advanced, it is finished, or it was finished and came back; in between, an unchanged run is due each
+    time more than `max_skips` polls were skipped. `last_updated` is not null and does not fall along a run's polls.
+    """
+    key = ["run_id"]
+    rows, at = ordered.slices(polls, key, order_by)
+    stood = F.struct("last_updated", F.coalesce(F.col("status").isin(FINAL_STATUSES), F.lit(False)).alias("done"))
+    seen = ordered.previous(rows.withColumn("_now", stood), key, order_by, at, "_now", "_before")
+    forced = F.col("_before").isNull() | (F.col("last_updated") > F.col("_before.last_updated")) | F.col("_now.done") | F.col("_before.done")
+    placed = ordered.position(seen, key, order_by, at, "_pos").withColumn("_anchor", F.when(forced, F.col("_pos")))
+    since = ordered.last_known(placed, key, order_by, at, "_anchor", "_from")
+    return since.where((F.col("_pos") - F.col("_from")) % (max_skips + 2) == 0).select(*polls.columns)

@@ -138,6 +138,50 @@ def _(t):
     return out.withColumn("items", F.array_join("items", ","))
 
 
+CHILDREN = {
+    "inputs": "select cast(l_orderkey as {s}) run_id, concat('p', l_partkey % 5, '=', max(l_suppkey)) item from {l} group by l_orderkey, l_partkey % 5",
+    "outputs": "select cast(l_orderkey as {s}) run_id, concat('o', l_linenumber, ':/out/', min(l_partkey), '.bam') item from {l} where l_linestatus = 'F' group by l_orderkey, l_linenumber",
+    "labels": "select distinct cast(l_orderkey as {s}) run_id, concat('L', l_suppkey % 4) item from {l} where l_returnflag = 'A'",
+}
+RUN_ERRORS = "select cast(o_custkey as {s}) submission_id, cast(o_orderkey as {s}) run_id, 'error' as key, concat('lost ', o_orderkey) as value from {o} where o_totalprice < 20000"
+
+
+@query("c1_assemble_children", "submissions runs kv", f"""with k as (select submission_id, key, value from v_kv union all
+      select submission_id, key, value from ({RUN_ERRORS.format(s='varchar', o='orders')})),
+  o as (select submission_id, max(value) filter (key = 'name') as name, max(value) filter (key = 'status') status, max(value) filter (key = 'error') error from k group by 1),
+  h as (select s.id submission_id, s.author, s.engine, s.output_dir, o.name, o.status, o.error, r.id run_id, r.status run_status, r.name run_name
+    from v_submissions s left join o on o.submission_id = s.id left join v_runs r on r.submission_id = s.id),
+  c as (select section, r.submission_id, run_id, item from ({' union all '.join(f"select '{n}' section, run_id, item from ({q.format(s='varchar', l='lineitem')})" for n, q in CHILDREN.items())})
+    join v_runs r on r.id = run_id),
+  p as (select section, submission_id, run_id, ceil(count(*) / 20) parts from c group by 1, 2, 3),
+  g as (select submission_id, run_id, section, ('0x' || substr(md5(item), 1, 8))::bigint % cast(parts as bigint) part, cast(parts as bigint) parts, count(*) n,
+     string_agg(item, ',' order by item) items from c join p using (section, submission_id, run_id) group by all)
+  select * from h left join g using (submission_id, run_id)""")
+def _(t):
+    errors = t.spark.sql(RUN_ERRORS.format(s="string", o="{o}"), o=t.orders)
+    head = report.header(t.submissions, t.runs, t.kv.unionByName(errors))
+    owner = t.runs.select("submission_id", F.col("id").alias("run_id"))
+    children = {}
+    for name, sql in CHILDREN.items():
+        rows = t.spark.sql(sql.format(s="string", l="{l}"), l=t.lineitem).join(owner, "run_id")
+        children[name] = (rows, F.col("item"), F.col("item"))
+    return report.assemble(head, children, size=20).withColumn("items", F.array_join("items", ","))
+
+
+POLLS = "select run_id, seq, date, status, cast(date_trunc('week', date) as {t}) last_updated from {r}"
+
+
+@query("s5_live_board", "runstatus", f"""with recursive p as (select *, row_number() over (partition by run_id order by date, seq) rn from ({POLLS.format(r='v_runstatus', t='timestamp')})),
+  b as (select run_id, rn, true due, last_updated shown, 0 skips, status in ('completed', 'failed') done from p where rn = 1
+    union all select p.run_id, p.rn, d.due, case when d.due then p.last_updated else b.shown end, case when d.due then 0 else b.skips + 1 end, p.status in ('completed', 'failed')
+      from b join p on p.run_id = b.run_id and p.rn = b.rn + 1,
+      lateral (select b.done or p.last_updated > b.shown or b.skips > 1 or p.status in ('completed', 'failed') due) d)
+  select run_id, seq, status, last_updated from b join p using (run_id, rn) where due""")
+def _(t):
+    polls = t.spark.sql(POLLS.format(r="{r}", t="timestamp_ntz"), r=t.runstatus)
+    return health.live_board(polls, ["date", "seq"], max_skips=1).select("run_id", "seq", "status", "last_updated")
+
+
 @query("d18_settle_jobs", "raw_jobs runs", """select j.run_id, j.id, j.l_partkey, j.l_suppkey,
     case when j.status <> 'completed' and r.status <> 'completed' then r.status else j.status end status
   from v_raw_jobs j left join v_runs r on r.id = j.run_id""")

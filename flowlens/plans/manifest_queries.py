@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import paths, values
 from flowlens.operators import containers, contigs, files, manifest as mf, outputs, store
+from flowlens.operators.lineage import cut, new_path
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import query
-from flowlens.sources import inventory as inv
+from flowlens.sources import documents, inventory as inv
 
 ORDER = "layer, l_partkey, l_suppkey, l_shipdate"
 
@@ -350,6 +351,75 @@ def _(t):
     return contigs.distinct_contigs(t.contigs, ["input"])
 
 
+_FILES = "select {o} {t}(l_orderkey) input, concat('w', l_suppkey % 10) workflow, concat('chr', l_partkey) contig from {l}"
+
+
+@query("d19_contig_profile", "", f"""with f as ({_FILES.format(o='', t='', l='lineitem')})
+  select workflow, count(distinct contig) contigs, count(contig) intervals, true as within from f group by 1""")
+def _(t):
+    """The exact counts, and whether those of sketches kept per file and then united are within four standard errors."""
+    files = t.spark.sql(_FILES.format(o="", t="", l="{l}"), l=t.lineitem)
+    kept = cut(contigs.contig_sketches(files, ["workflow", "input"]))
+    guess = contigs.estimate(contigs.unite_sketches(kept, ["workflow"])).withColumnRenamed("contigs", "guess")
+    exact = contigs.distinct_contigs(files, ["workflow"]).groupBy("workflow").agg(F.count("contig").alias("contigs"))
+    near = F.abs(F.col("guess") - F.col("contigs")) <= F.greatest(F.lit(1), 4 * 1.04 / 2 ** (contigs.SKETCH_LOG / 2) * F.col("contigs"))
+    return exact.join(guess, "workflow").select("workflow", "contigs", "intervals", near.alias("within"))
+
+
+_WANTED = """select distinct path from {p} union select distinct regexp_replace(path, '/[^/]*$', '') from {p}
+  union select concat(path, '.bak') from {p} where size % 2 = 0"""
+
+
+@query("a13_inventory", "paths", f"""with w as ({_WANTED.format(p='v_paths')}), f as (select path, max(size) size from v_paths group by 1),
+    u as (select path, unnest(range(1, len(string_split(path, '/')))) i from f),
+    d as (select distinct array_to_string(string_split(path, '/')[1:i], '/') path from u)
+  select w.path, case when f.path is not null then 'file' when d.path is not null then 'folder' end kind, f.size
+  from w left join f using (path) left join d using (path)""")
+def _(t):
+    found = t.paths.groupBy("path").agg(F.max("size").alias("size"))
+    wanted = t.spark.sql(_WANTED.format(p="{p}"), p=t.paths)
+    return inv.look_up(wanted, found).select("path", "kind", "size")
+
+
+@query("u1_modifier_chain", "manifest", f"""select manifest_id, name, concat('/in/', value) as value from (
+    select manifest_id, name, arg_max(value, l) as value from (
+      select manifest_id, name, arg_max(value, row({ORDER})) as value, 0 l from v_manifest group by 1, 2
+      union all select cast(o_orderkey as varchar), concat('p', o_orderkey % 7), o_orderpriority, 1 from orders where o_orderstatus = 'P')
+    group by 1, 2) where name <> 'p0'""")
+def _(t):
+    required = t.orders.where("o_orderstatus = 'P'").selectExpr(
+        "cast(o_orderkey as string) manifest_id", "concat('p', o_orderkey % 7) name", "o_orderpriority value")
+    return mf.pipeline(t.manifest, [
+        lambda m: mf.cascade(m, ORDER.split(", ")), lambda m: mf.require_on_top(m, required),
+        lambda m: m.where("name <> 'p0'"), lambda m: m.withColumn("value", F.concat(F.lit("/in/"), "value")),
+    ])
+
+
+_LAYERS = """select s_suppkey, 0 layer, to_json(named_struct('name', s_name, 'nation', s_nationkey)) text from {s}
+  union all select s_suppkey, 1, if(s_suppkey % 7 = 0, concat('{{"name": ', s_name), to_json(named_struct('nation', -s_nationkey, 'extra', array(s_suppkey)))) from {s}
+    where s_suppkey % 3 <> 0"""
+
+
+@query("a7_layered_inputs", "", """with l as (select cast(s_suppkey as varchar) manifest_id, s_suppkey k, s_name, s_nationkey n from supplier)
+  select manifest_id, 0 layer, 'name' as name, to_json(s_name)::varchar as value, cast(null as varchar) reason from l
+  union all select manifest_id, 0, 'nation', n::varchar, null from l
+  union all select manifest_id, 1, 'nation', (-n)::varchar, null from l where k % 3 <> 0 and k % 7 <> 0
+  union all select manifest_id, 1, 'extra', concat('[', k, ']'), null from l where k % 3 <> 0 and k % 7 <> 0
+  union all select manifest_id, 1, null, null, case when k % 3 = 0 then 'missing' else 'not a JSON object' end from l where k % 3 = 0 or k % 7 = 0""")
+def _(t):
+    """Two files for each supplier, written and read in one scan; of a third the second is missing, of others malformed."""
+    root = new_path(t.spark, "layers")
+    texts = t.spark.sql(_LAYERS, s=t.supplier)
+    texts.repartition("s_suppkey").write.partitionBy("s_suppkey", "layer").text(root)
+    there = inv.read_inventory(t.spark, root).select(
+        F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).alias("manifest_id"),
+        F.regexp_extract("path", "layer=([0-9]+)", 1).cast("int").alias("layer"), F.col("path").alias("file"))
+    named = t.supplier.selectExpr("cast(s_suppkey as string) manifest_id", "explode(array(0, 1)) layer")
+    files = named.join(there, ["manifest_id", "layer"], "left").withColumn("file", F.coalesce("file", F.concat(F.lit(root + "/"), "manifest_id")))
+    rows, bad = documents.read_manifests(t.spark, files, root)
+    return rows.withColumn("value", F.to_json("value")).unionByName(bad.drop("file"), allowMissingColumns=True)
+
+
 # --- containers --------------------------------------------------------------------------------
 
 IMAGE = """case l_partkey % 8 when 0 then concat('tool', l_partkey % 50) when 1 then concat('tool', l_partkey % 50, ':', l_suppkey % 5) when 2 then concat('lib/tool', l_partkey % 50, ':1.', l_suppkey % 5)

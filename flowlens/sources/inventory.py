@@ -27,6 +27,17 @@ def folders(inventory: DataFrame) -> DataFrame:
     return inventory.select(F.explode(ups).alias("path")).where("path <> ''").distinct()
 
 
+def look_up(wanted: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The `wanted` paths with `kind` (file, folder, or null where nothing is there) and the file's other columns.
+
+    A folder is there while a file lies anywhere below it, and has neither size nor date. One join for all paths.
+    """
+    both = inventory.withColumn("kind", F.lit("file")).unionByName(
+        folders(inventory).join(inventory, "path", "left_anti").withColumn("kind", F.lit("folder")), allowMissingColumns=True
+    )
+    return wanted.join(both, "path", "left")
+
+
 def profile(files: DataFrame, path: str = "path") -> DataFrame:
     """Files per URI scheme and extension."""
     clean = paths.strip_file_prefix(F.col(path))

@@ -216,3 +216,30 @@ def test_live_board_writes_only_what_changed(spark, tmp_path):
         each(spark.createDataFrame(rows_, schema), epoch)
     shown = {(r.epoch, r.run_id) for r in spark.read.option("basePath", out).schema(schema + ", epoch int").parquet(out).collect()}
     assert shown == {(0, "a"), (0, "b"), (1, "b"), (2, "a"), (23, "b")}
+
+
+def test_live_board_equals_its_twin(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    schema = "run_id string, last_updated timestamp, status string"
+    polls = []
+    for epoch in range(12):
+        polls.append([(f"r{i}", at + dt.timedelta(hours=epoch // (2 + 4 * i)), "completed" if (i, epoch) in ((1, 5), (2, 11)) else "running")
+                      for i in range(3) if (epoch * 7 + i) % 5 or i == 2])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    class Stream:
+        """Stands for a stream: gives the function of a micro-batch back."""
+        writeStream = property(lambda self: self)
+        option = trigger = lambda self, *_, **__: self
+
+        def foreachBatch(self, fn):
+            self.start = lambda: fn
+            return self
+
+    each = streams.live_board(Stream(), out, state, max_skips=2)("unused")
+    for epoch, rows_ in enumerate(polls):
+        each(spark.createDataFrame(rows_, schema), epoch)
+    got = spark.read.option("basePath", out).schema(schema + ", epoch int").parquet(out).select("epoch", "run_id", "last_updated", "status")
+    every = spark.createDataFrame([(e, *r) for e, p in enumerate(polls) for r in p], "epoch int, " + schema)
+    want = health.live_board(every, ["epoch"], max_skips=2)
+    assert rows(got) == rows(want) and len(rows(want)) < every.count()

@@ -249,3 +249,22 @@ def test_scatter_gather_by_hand(spark):
     want = {k: h(",".join(h(h_)[:0] + h(v) for h_, v in [(None, v) for v in range(3 * k, min(3 * k + 3, 7))])) for k in range(3)}
     got = {r.n: r.hash for r in outputs.scatter_gather(spark.range(7).selectExpr("id n", "id value"), 3, 1).collect()}
     assert got == want
+
+
+def test_contig_sketches_unite_without_the_rows(spark):
+    rows = spark.sql("select concat('w', id % 2) workflow, concat('f', id % 10) input, concat('c', id % 40000) contig from range(200000)")
+    kept = contigs.contig_sketches(rows, ["workflow", "input"])
+    assert kept.agg(F.max(F.length("sketch"))).first()[0] < 17_000
+    got = {r.workflow: (r.contigs, r.intervals) for r in contigs.estimate(contigs.unite_sketches(kept, ["workflow"])).collect()}
+    direct = {r.workflow: r.contigs for r in contigs.contig_profile(rows, ["workflow"]).collect()}
+    assert all(abs(n - 20_000) <= 0.0325 * 20_000 and i == 100_000 for n, i in got.values()) and set(got) == {"w0", "w1"}
+    assert all(abs(direct[w] - got[w][0]) <= 0.0325 * 20_000 for w in got)
+    few = spark.sql("select 'a' input, if(id % 3 = 0, null, concat('c', id % 7)) contig from range(50)")
+    assert [tuple(r) for r in contigs.contig_profile(few, ["input"]).select("contigs", "intervals").collect()] == [(7, 33)]
+
+
+def test_inventory_look_up(spark):
+    found = spark.sql("select * from values ('/a/b/c.txt', 3), ('/a/b', 9), ('/d.txt', 0) as (path, size)")
+    wanted = spark.sql("select explode(array('/a', '/a/b', '/a/b/c.txt', '/a/b/c', '/d.txt', null)) path")
+    got = {r.path: (r.kind, r.size) for r in inventory.look_up(wanted, found).collect()}
+    assert got == {"/a": ("folder", None), "/a/b": ("file", 9), "/a/b/c.txt": ("file", 3), "/a/b/c": (None, None), "/d.txt": ("file", 0), None: (None, None)}
