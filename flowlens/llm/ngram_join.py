@@ -314,8 +314,11 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
     return links
 
 
-def _first_pairs(members: DataFrame, part: int, whole: int) -> DataFrame:
-    """(a, b): each column's hub with every other of its rows that the bounds leave a chance; a is the hub."""
+def _first_pairs(members: DataFrame, facts: DataFrame, part: int, whole: int) -> DataFrame:
+    """(a, b): each column's hub with every other of its rows that the bounds leave a chance; a is the hub.
+
+    The pairs are made distinct first, and then meet the parities of their hubs in `facts`.
+    """
     low = F.col("hub_size") <= F.col("size")
     sides = {
         "sx": F.least("size", "hub_size"), "sy": F.greatest("size", "hub_size"), "ax": F.when(low, F.col("hub_at")).otherwise(F.col("at")),
@@ -325,7 +328,11 @@ def _first_pairs(members: DataFrame, part: int, whole: int) -> DataFrame:
         f"sy <= cast(sx as long) * {whole} div {part} and ax < sx - (2L * {part} * sx + {part + whole - 1}) div {part + whole} + 1"
         " and size - lead >= need and least(at, hub_at) + least(size - at, hub_size - hub_at) >= need"
     )
-    return near.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    slack = (F.col("size").cast("long") + F.col("hub_size") - 2 * F.col("need")).alias("slack")
+    once = near.select(F.col("hub").alias("a"), F.col("doc").alias("b"), "open", slack, *PARITIES).dropDuplicates(["a", "b"])
+    hubs = facts.select(F.col("doc").alias("a"), F.col("open").alias("hub_open"), *[F.col(p).alias(f"hub_{p}") for p in PARITIES])
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITIES), F.lit(0))
+    return once.join(hubs, "a").where((differ <= F.col("slack")) | (F.col("open") + F.col("hub_open") > 0)).select("a", "b")
 
 
 def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) -> DataFrame:
@@ -380,9 +387,11 @@ def ngram_join(
     about = own.unionByName(shared).groupBy("doc").agg(
         F.min("at").alias("lead"), (F.sum("sets") > 1).cast("int").alias("open"), *[F.max(p).alias(p) for p in PARITIES]
     )
-    placed = cut(members.join(about.where("lead is not null"), "doc"))
+    facts = cut(about.where("lead is not null"))
+    placed = cut(members.join(facts, "doc"))
     release(members)
-    tried = cut(_first_pairs(placed, part, whole))
+    tried = cut(_first_pairs(placed, facts, part, whole))
+    release(facts)
     alike = _completed(rows, tried, n, part, whole, hub_rows)
     joined = components(alike)
     apart = placed.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
