@@ -14,6 +14,8 @@ decreases along that order; key columns are not null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,18 +235,26 @@ def lists(
     """Group rows into sorted arrays of about `size` items.
 
     A group is as many rows (`part` 0, 1, ...) as it needs, so no array holds a whole hot group and
-    nothing is left out. How many it needs is counted by (keys, salt) and reaches the rows by that
-    key, and the rows are dealt by (keys, part): no task joins or gathers a whole group. Columns: keys, part, parts, n, then one array per item,
-    ordered by the item structs.
+    nothing is left out. Only groups of more than `size` rows need telling how many: that reaches their rows
+    by (keys, salt), and the rows are dealt by (keys, part), so no task joins or gathers a whole group, and where
+    there is no such group the items are shuffled once. Columns: keys, part, parts, n, then one array per item,
+    ordered by the item structs. Rows with a null key belong to no group.
     """
     payload = F.struct(*[c.alias(n) for n, c in items.items()])
-    salted = df.select(*keys, payload.alias("_item"), hash_part(identity, F.lit(1 << 32)).alias("_hash")).withColumn("_salt", F.pmod(F.col("_hash"), F.lit(SALTS)))
-    # At most SALTS rows a group: a window over them is bounded whatever the group holds.
-    counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    sized = counts.select(*keys, "_salt", F.ceil(F.sum("_n").over(Window.partitionBy(*keys)) / size).alias("parts"))
-    packed = (
-        salted.join(sized, [*keys, "_salt"]).withColumn("part", F.pmod(F.col("_hash"), F.col("parts")))
-        .repartition(*keys, "part").groupBy(*keys, "part", "parts")
-        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_item")).alias("_items"))
-    )
+    whole = df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    gather = [F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_item")).alias("_items")]
+    counts = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    large = cut(counts.select(*keys, F.ceil(F.col("_n") / size).alias("parts")))
+    if large.isEmpty():
+        packed = whole.select(*keys, payload.alias("_item")).repartition(*keys).groupBy(*keys).agg(*gather)
+        packed = packed.withColumn("part", F.lit(0).cast("bigint")).withColumn("parts", F.lit(1).cast("bigint"))
+    else:
+        salted = whole.select(*keys, payload.alias("_item"), hash_part(identity, F.lit(1 << 32)).alias("_hash")).withColumn("_salt", F.pmod(F.col("_hash"), F.lit(SALTS)))
+        # At most SALTS rows a group meet its number of parts, whatever the group holds.
+        sized = cut(salted.select(*keys, "_salt").distinct().join(large, keys))
+        dealt = salted.join(sized, [*keys, "_salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+        packed = (
+            dealt.withColumn("part", F.pmod(F.col("_hash"), F.col("parts")))
+            .repartition(*keys, "part").groupBy(*keys, "part", "parts").agg(*gather)
+        )
     return packed.select(*keys, "part", "parts", "n", *[F.col(f"_items.{n}").alias(n) for n in items])
