@@ -49,15 +49,22 @@ class Tables:
 
     @cached_property
     def _attempts(self) -> DataFrame:
-        """Line items with the repeat number of each (order, line), counted slice by slice."""
+        """Line items with the repeat number of each (order, line).
+
+        Where no order holds much of the table they are dealt by order, so that numbering and the join
+        with the orders share one shuffle; otherwise they are counted slice by slice.
+        """
         order = [
             "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
             "l_tax", "l_returnflag", "l_linestatus",
         ]
-        return ordered.position(
-            self.read("lineitem"), ["l_orderkey", "l_linenumber"], order,
-            ordered.time_slice(F.col("l_shipdate"), "MONTH"), "attempt",
-        )
+        lines, month = self.read("lineitem"), ordered.time_slice(F.col("l_shipdate"), "MONTH")
+        keys = ["l_orderkey", "l_linenumber"]
+        if ordered.slices(lines, ["l_orderkey"], order[:3])[1] is not None:
+            return ordered.position(lines, keys, order, month, "attempt")
+        # A line without a number is no key; such rows are counted by month, as slices leave them.
+        lines = lines.repartition("l_orderkey").withColumn("_month", F.when(F.col("l_linenumber").isNull(), month))
+        return ordered.position(lines, [*keys, "_month"], order, None, "attempt")
 
     @cached_property
     def jobs(self) -> DataFrame:

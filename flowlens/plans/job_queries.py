@@ -8,6 +8,7 @@ from flowlens.functions import status as st
 from flowlens.functions import timing, values
 from flowlens.operators import health, jobs as jb
 from flowlens.operators import ordered, report, status as sta
+from flowlens.operators.lineage import cut
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import query
 
@@ -197,10 +198,11 @@ TREE_SQL = """tree as (select submission_id, run_id, id, 0 depth, id path from v
 @query("e3_report_order", "jobs", f"""with recursive {TREE_SQL.replace("id path from", "id path, [row(0, start is null, start, id)] k from").replace("j.id) from", "j.id), list_append(t.k, row(coalesce(j.shard, 0), j.start is null, j.start, j.id)) from")}
   select submission_id, run_id, id, depth, path, row_number() over (partition by submission_id, run_id order by k) place from tree""")
 def _(t):
-    tree = jb.report_order(t.stored_jobs).select(
-        "submission_id", "run_id", "id", "depth", F.array_join("path.id", "/").alias("path"), F.col("path").alias("k"))
-    at = ordered.position(
-        tree, ["submission_id", "run_id"], ["k"], F.slice("k", 1, 2), "place")
+    # Cut once: slices read it more than once.
+    tree = cut(jb.report_order(t.stored_jobs).select(
+        "submission_id", "run_id", "id", "depth", F.array_join("path.id", "/").alias("path"), F.col("path").alias("k")))
+    rows, slice_by = ordered.slices(tree, ["submission_id", "run_id"], ["k"])
+    at = ordered.position(rows, ["submission_id", "run_id"], ["k"], slice_by, "place")
     return at.select("submission_id", "run_id", "id", "depth", "path", F.col("place").cast("bigint").alias("place"))
 
 

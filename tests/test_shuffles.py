@@ -26,3 +26,16 @@ def test_small_groups_are_shuffled_once_and_large_ones_dealt(spark):
     assert {p for k, _, p in got if k == "big"} == {4} and {p for k, _, p in got if k != "big"} == {1}
     assert all(v == sorted(v) and n == len(v) for n, v in got.values())
     assert sorted(x for (k, _, _), (_, v) in got.items() if k == "big" for x in v) == sorted(str(i) for i in range(40))
+
+
+def test_attempts_meet_orders_in_one_shuffle(spark, tmp_path):
+    day = "timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(cast(id as int) * 20)"
+    spark.range(8).selectExpr(
+        "id div 4 l_orderkey", "cast(id % 2 as int) l_linenumber", "id l_partkey", "id l_suppkey", "id * 1.0 l_extendedprice",
+        "1.0 l_quantity", "0.0 l_discount", "0.0 l_tax", "'N' l_returnflag", "'O' l_linestatus", f"{day} l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2).selectExpr("id o_orderkey", "id o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    jobs = Tables(spark, str(tmp_path)).jobs
+    assert len(re.findall(r"hashpartitioning\(l_orderkey", plan(jobs))) == 1
+    got = sorted((r.run_id, r.name, r.attempt) for r in jobs.collect())
+    assert got == [(str(o), f"step{n}", a) for o in (0, 1) for n in (0, 1) for a in (1, 2)]
