@@ -117,10 +117,15 @@ def collisions(plan: DataFrame, keys: list[str]) -> DataFrame:
 
 def plan_logs(jobs: DataFrame, inventory: DataFrame, log_dir: Column) -> DataFrame:
     """Log copies of jobs: `{job}[shard-n]_{stdout,stderr,script}` for the files that exist."""
-    base = F.concat(F.col("id"), F.coalesce(F.concat(F.lit("shard-"), F.col("shard").cast("string")), F.lit("")))
-    rows = jobs.withColumn("_base", base).unpivot(["submission_id", "run_id", "id", "_base"], ["stdout", "stderr", "script"], "kind", "source")
+    kinds = ["stdout", "stderr", "script"]
+    # Three rows a job meet the inventory: they carry numbers, and texts are made of those that are there.
+    each = F.posexplode(F.array(*kinds)).alias("_kind", "source")
+    rows = jobs.select("submission_id", "run_id", "id", "shard", each).withColumn("_kind", F.col("_kind").cast("byte"))
     present = rows.where("source is not null").join(inventory.select(F.col("path").alias("source")), "source", "left_semi")
-    return present.withColumn("target", F.concat(log_dir, F.lit("/"), "_base", F.lit("_"), "kind")).drop("_base")
+    base = F.concat(F.col("id"), F.coalesce(F.concat(F.lit("shard-"), F.col("shard").cast("string")), F.lit("")))
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), F.col("_kind").cast("int"))
+    named = present.select("source", "submission_id", "run_id", "id", base.alias("_base"), kind.alias("kind"))
+    return named.withColumn("target", F.concat(log_dir, F.lit("/"), "_base", F.lit("_"), "kind")).drop("_base")
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -39,3 +39,15 @@ def test_attempts_meet_orders_in_one_shuffle(spark, tmp_path):
     assert len(re.findall(r"hashpartitioning\(l_orderkey", plan(jobs))) == 1
     got = sorted((r.run_id, r.name, r.attempt) for r in jobs.collect())
     assert got == [(str(o), f"step{n}", a) for o in (0, 1) for n in (0, 1) for a in (1, 2)]
+
+
+def test_logs_meet_the_inventory_without_texts_made_of_them(spark):
+    jobs = spark.createDataFrame(
+        [("s", "r", "j", 2, "/a", None, "/c"), ("s", "r", "k", None, "/d", "/e", "/f")],
+        "submission_id string, run_id string, id string, shard int, stdout string, stderr string, script string")
+    there = spark.createDataFrame([("/a",), ("/c",), ("/e",), ("/e",)], "path string")
+    planned = outputs.plan_logs(jobs, there, F.lit("/logs"))
+    tree = plan(planned)
+    assert tree.index("shard-") < tree.index("Join")
+    assert sorted((r.id, r.kind, r.source, r.target) for r in planned.collect()) == [
+        ("j", "script", "/c", "/logs/jshard-2_script"), ("j", "stdout", "/a", "/logs/jshard-2_stdout"), ("k", "stderr", "/e", "/logs/k_stderr")]
