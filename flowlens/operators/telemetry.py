@@ -144,7 +144,7 @@ def job_rows(docs: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
         found = rows if found is None else found.unionByName(rows)
         level = calls.where("_sub is not null").select(*keys, F.col("id").alias("_above"), F.col("_sub").alias("_calls"))
     inner = found.where("above is not null").groupBy(*keys, F.col("above").alias("id")).agg(F.min("start").alias("_first"))
-    jobs = found.join(inner, [*keys, "id"], "left").withColumn("start", F.coalesce("start", "_first", as_of)).drop("_first")
+    jobs = cut(found.join(inner, [*keys, "id"], "left").withColumn("start", F.coalesce("start", "_first", as_of)).drop("_first"))
     shards = jobs.where("shard is not null")
     parents = shards.groupBy(*keys, F.col("parent").alias("id")).agg(
         F.any_value("above").alias("parent"), F.any_value("name").alias("name"), F.min("start").alias("start"),
