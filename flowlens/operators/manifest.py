@@ -136,11 +136,13 @@ def fan_out(inputs: DataFrame, group: str, fields: list[str]) -> DataFrame:
 def place_batch_outputs(groups: DataFrame, outputs: DataFrame) -> DataFrame:
     """One output per group: `{group}_{output}`, under the raw group value and the declared folders.
 
-    `groups`: manifest_id, workflow, value. `outputs`: workflow, name, folders. Joined per workflow.
+    `groups`: manifest_id, workflow, value. `outputs`: workflow, name, folders. Joined per workflow. What
+    depends on one side alone is computed before the join, which multiplies.
     """
-    return groups.join(outputs, "workflow").select(
-        ID, F.concat(values.identifier(F.col("value")), F.lit("_"), "name").alias("output_id"),
-        F.col("name").alias("output_name"), F.concat(F.array("value"), F.coalesce("folders", F.array().cast("array<string>"))).alias("folders"),
+    named = groups.select(ID, "workflow", F.array("value").alias("_top"), F.concat(values.identifier(F.col("value")), F.lit("_")).alias("_prefix"))
+    declared = outputs.select("workflow", "name", F.coalesce("folders", F.array().cast("array<string>")).alias("_below"))
+    return named.join(declared, "workflow").select(
+        ID, F.concat("_prefix", "name").alias("output_id"), F.col("name").alias("output_name"), F.concat("_top", "_below").alias("folders"),
     )
 
 

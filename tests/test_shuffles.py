@@ -41,6 +41,15 @@ def test_attempts_meet_orders_in_one_shuffle(spark, tmp_path):
     assert got == [(str(o), f"step{n}", a) for o in (0, 1) for n in (0, 1) for a in (1, 2)]
 
 
+def test_batch_names_are_made_before_the_join(spark):
+    groups = spark.createDataFrame([("m", "w", "a-1")], "manifest_id string, workflow string, value string")
+    outs = spark.createDataFrame([("w", "o", ["x"]), ("w", "p", None)], "workflow string, name string, folders array<string>")
+    placed = mf.place_batch_outputs(groups, outs)
+    tree = plan(placed)
+    assert tree.index("Join") < tree.index("[^A-Za-z0-9_]")
+    assert sorted(map(tuple, placed.collect())) == [("m", "a_1_o", "o", ["a-1", "x"]), ("m", "a_1_p", "p", ["a-1"])]
+
+
 def test_logs_meet_the_inventory_without_texts_made_of_them(spark):
     jobs = spark.createDataFrame(
         [("s", "r", "j", 2, "/a", None, "/c"), ("s", "r", "k", None, "/d", "/e", "/f")],
