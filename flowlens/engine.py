@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Folders of many files are listed by this many tasks at most, not by one a folder.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 
 

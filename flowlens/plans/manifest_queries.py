@@ -400,6 +400,10 @@ _LAYERS = """select s_suppkey, 0 layer, to_json(named_struct('name', s_name, 'na
     where s_suppkey % 3 <> 0"""
 
 
+#: Suppliers whose files one task writes.
+LAYER_FILES = 250
+
+
 @query("a7_layered_inputs", "", """with l as (select cast(s_suppkey as varchar) manifest_id, s_suppkey k, s_name, s_nationkey n from supplier)
   select manifest_id, 0 layer, 'name' as name, to_json(s_name)::varchar as value, cast(null as varchar) reason from l
   union all select manifest_id, 0, 'nation', n::varchar, null from l
@@ -410,12 +414,15 @@ def _(t):
     """Two files for each supplier, written and read in one scan; of a third the second is missing, of others malformed."""
     root = new_path(t.spark, "layers")
     texts = t.spark.sql(_LAYERS, s=t.supplier)
-    texts.repartition("s_suppkey").write.partitionBy("s_suppkey", "layer").text(root)
+    # The number of tasks follows the files: left to AQE, texts this small all go to one. Tasks move their own files into place.
+    tasks = max(1, -(-t.supplier.count() // LAYER_FILES))
+    writer = texts.repartition(tasks, "s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("s_suppkey", "layer").text(root)
     there = inv.read_inventory(t.spark, root).select(
         F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).alias("manifest_id"),
         F.regexp_extract("path", "layer=([0-9]+)", 1).cast("int").alias("layer"), F.col("path").alias("file"))
     named = t.supplier.selectExpr("cast(s_suppkey as string) manifest_id", "explode(array(0, 1)) layer")
-    files = named.join(there, ["manifest_id", "layer"], "left").withColumn("file", F.coalesce("file", F.concat(F.lit(root + "/"), "manifest_id")))
+    files = cut(named.join(there, ["manifest_id", "layer"], "left").withColumn("file", F.coalesce("file", F.concat(F.lit(root + "/"), "manifest_id"))))
     rows, bad = documents.read_manifests(t.spark, files, root)
     return rows.withColumn("value", F.to_json("value")).unionByName(bad.drop("file"), allowMissingColumns=True)
 

@@ -60,13 +60,13 @@ def read_manifests(spark: SparkSession, files: DataFrame, root: str | list[str])
     `files`: manifest_id, layer, file (a path as `root` lists it). One scan reads everything below
     `root`, however many files there are, and meets `files` by the path of each file; a file may serve many
     manifests. Rejected are files that are not one JSON object, and files that do not exist. An empty object
-    gives no rows.
+    gives no rows. What was read is cut once, so that rows and rejects do not open every file again.
     """
     found = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
         _plain(F.col("_metadata.file_path")).alias("_path"), values.parse_json(F.col("value")).alias("doc"), F.lit(True).alias("_found")
     )
     met = files.select("manifest_id", "layer", "file", _plain(F.col("file")).alias("_path")).join(found, "_path", "left")
-    met = met.withColumn("_ok", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False)))
+    met = cut(met.drop("_path").withColumn("_ok", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))))
     rows = met.where("_ok").select("manifest_id", "layer", "doc").lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
     reason = F.when(F.col("_found").isNull(), "missing").otherwise("not a JSON object")
     return (

@@ -41,6 +41,17 @@ def test_attempts_meet_orders_in_one_shuffle(spark, tmp_path):
     assert got == [(str(o), f"step{n}", a) for o in (0, 1) for n in (0, 1) for a in (1, 2)]
 
 
+def test_layer_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest_queries, "LAYER_FILES", 2)
+    spark.range(12).selectExpr("id s_suppkey", "concat('s', id) s_name", "id % 5 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    written = []
+    monkeypatch.setattr(manifest_queries, "new_path", lambda s, kind: written.append(f"{tmp_path}/{kind}") or written[-1])
+    rows = QUERIES["a7_layered_inputs"](spark, str(tmp_path)).collect()
+    assert len(rows) == 12 * 2 + 7 * 2 + 5 and sum(r.reason == "missing" for r in rows) == 4
+    files = [p.name for p in (tmp_path / "layers").rglob("part-*") if not p.name.endswith(".crc")]
+    assert len(files) == 20 and len({f[:10] for f in files}) > 1
+
+
 def test_batch_names_are_made_before_the_join(spark):
     groups = spark.createDataFrame([("m", "w", "a-1")], "manifest_id string, workflow string, value string")
     outs = spark.createDataFrame([("w", "o", ["x"]), ("w", "p", None)], "workflow string, name string, folders array<string>")
