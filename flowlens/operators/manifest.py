@@ -133,15 +133,21 @@ def fan_out(inputs: DataFrame, group: str, fields: list[str]) -> DataFrame:
     return fanned.unionByName(shared).unionByName(listed)
 
 
+#: Pieces of one workflow's groups in their join with its outputs.
+SALTS = 16
+
+
 def place_batch_outputs(groups: DataFrame, outputs: DataFrame) -> DataFrame:
     """One output per group: `{group}_{output}`, under the raw group value and the declared folders.
 
     `groups`: manifest_id, workflow, value. `outputs`: workflow, name, folders. Joined per workflow. What
-    depends on one side alone is computed before the join, which multiplies.
+    depends on one side alone is computed before the join, which multiplies. Groups are few bytes that become many
+    rows, so they are dealt by (workflow, salt) to a number of tasks that AQE does not lower.
     """
-    named = groups.select(ID, "workflow", F.array("value").alias("_top"), F.concat(values.identifier(F.col("value")), F.lit("_")).alias("_prefix"))
-    declared = outputs.select("workflow", "name", F.coalesce("folders", F.array().cast("array<string>")).alias("_below"))
-    return named.join(declared, "workflow").select(
+    width = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = groups.select(ID, "workflow", F.pmod(F.xxhash64(ID, "value"), F.lit(SALTS)).cast("int").alias("_salt"), F.array("value").alias("_top"), F.concat(values.identifier(F.col("value")), F.lit("_")).alias("_prefix"))
+    declared = outputs.select("workflow", "name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.coalesce("folders", F.array().cast("array<string>")).alias("_below"))
+    return named.repartition(width, "workflow", "_salt").join(declared, ["workflow", "_salt"]).select(
         ID, F.concat("_prefix", "name").alias("output_id"), F.col("name").alias("output_name"), F.concat("_top", "_below").alias("folders"),
     )
 

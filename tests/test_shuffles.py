@@ -58,6 +58,7 @@ def test_batch_names_are_made_before_the_join(spark):
     placed = mf.place_batch_outputs(groups, outs)
     tree = plan(placed)
     assert tree.index("Join") < tree.index("[^A-Za-z0-9_]")
+    assert "REPARTITION_BY_NUM" in tree  # AQE joins no partitions here
     assert sorted(map(tuple, placed.collect())) == [("m", "a_1_o", "o", ["a-1", "x"]), ("m", "a_1_p", "p", ["a-1"])]
 
 
