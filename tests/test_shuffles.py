@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import manifest as mf
 from flowlens.operators import ordered, outputs
+from flowlens.operators import telemetry as tel
 from flowlens.plans import manifest_queries
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import QUERIES
@@ -72,3 +73,11 @@ def test_logs_meet_the_inventory_without_texts_made_of_them(spark):
     assert tree.index("shard-") < tree.index("Join")
     assert sorted((r.id, r.kind, r.source, r.target) for r in planned.collect()) == [
         ("j", "script", "/c", "/logs/jshard-2_script"), ("j", "stdout", "/a", "/logs/jshard-2_stdout"), ("k", "stderr", "/e", "/logs/k_stderr")]
+
+
+def test_job_rows_are_not_derived_again_by_their_readers(spark):
+    text = '{"calls": {"wf.a": [{"shardIndex": 0, "attempt": 1, "executionStatus": "Done", "start": "1998-03-01T00:00:00Z"}]}}'
+    docs = spark.createDataFrame([("r", text)], "run_id string, text string").selectExpr("run_id", "parse_json(text) doc")
+    rows = tel.job_rows(docs, ["run_id"], F.expr("timestamp'2000-01-01 00:00:00'"))
+    assert "Join" not in plan(rows)
+    assert sorted((r.id, r.parent) for r in rows.collect()) == [("a", None), ("a_shard-0", "a")]
