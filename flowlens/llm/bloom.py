@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +24,24 @@ MAX_WORDS = 1 << 22
 _BASE, _SPREAD = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 
 
+def laid(column: pa.BinaryArray) -> memoryview:
+    """The bytes of a column's strings, end to end, in place; there is no null among them."""
+    _, offsets, body = column.buffers()
+    if not len(column) or body is None:
+        return memoryview(b"")
+    low, high = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]]
+    return memoryview(body)[low:high]
+
+
 class Stretches:
     """Hashes of any stretch of byte strings that are laid end to end."""
 
-    def __init__(self, values: list[bytes]):
-        self.raw = np.frombuffer(b"".join(values), np.uint8)
-        self.size = np.array([len(v) for v in values], np.int64)
+    def __init__(self, values: list[bytes] | pa.BinaryArray):
+        if isinstance(values, pa.BinaryArray):
+            self.raw, self.size = np.frombuffer(laid(values), np.uint8), pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            self.raw = np.frombuffer(b"".join(values), np.uint8)
+            self.size = np.array([len(v) for v in values], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
         powers, back = np.full(len(self.raw), _BASE, np.uint64), np.full(len(self.raw) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
         powers[:1] = back[:1] = 1

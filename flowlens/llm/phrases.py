@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import bloom
-from flowlens.llm.bloom import Stretches, chain, contains, encoded
+from flowlens.llm.bloom import Stretches, chain, contains, encoded, laid
 from flowlens.llm.shared import join_hot, width
 from flowlens.operators.lineage import cut, release
 
@@ -74,8 +74,8 @@ class Chunk:
         self.words, self.word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         by_text = pa.array(langs, pa.binary()).dictionary_encode()
         self.langs, self.lang = by_text.dictionary, by_text.indices.to_numpy().astype(np.int64)[text]
-        self.word_hash = Stretches(encoded(self.words)).whole()
-        self.lang_hash = Stretches(encoded(self.langs)).whole()
+        self.word_hash = Stretches(self.words).whole()
+        self.lang_hash = Stretches(self.langs).whole()
 
     def hashes(self, n: int) -> list[np.ndarray]:
         """Hash of the phrase of 1 to `n` words from each word on (of no meaning where it leaves the piece)."""
@@ -116,7 +116,7 @@ def key_hashes(n: int):
 def _pack(lang: pa.Array, phrase: pa.Array, level: np.ndarray, count: np.ndarray) -> bytes:
     """Entries as bytes: their number and size, then, compressed, counts, lengths, numbers of words and the strings."""
     sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.uint32).tobytes() for x in (lang, phrase)]
-    body = b"".join([count.astype(np.int64).tobytes(), *sizes, level.astype(np.uint8).tobytes(), *(b"".join(x.to_pylist()) for x in (lang, phrase))])
+    body = b"".join([count.astype(np.int64).tobytes(), *sizes, level.astype(np.uint8).tobytes(), *(laid(x) for x in (lang, phrase))])
     return np.array([len(lang), len(body)], np.int64).tobytes() + pa.compress(body, "zstd", asbytes=True)
 
 

@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,17 @@ def test_phrases(spark, prose, how):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
+def test_strings_are_taken_where_they_lie():
+    words = pa.array([b"", b"ab", b"", "é".encode(), b"c" * 300], pa.binary())
+    for a in range(len(words) + 1):
+        for b in range(a, len(words) + 1):
+            part = words.slice(a, b - a)
+            assert bytes(bloom.laid(part)) == b"".join(part.to_pylist())
+            assert bloom.Stretches(part).whole().tolist() == bloom.Stretches(part.to_pylist()).whole().tolist()
+    rows = phrases._unpack(phrases._pack(words.slice(1, 3), words.slice(2, 3), np.arange(3), np.array([5, 6, 7])))
+    assert rows.to_pydict() == {"lang": [b"ab", b"", "é".encode()], "phrase": [b"", "é".encode(), b"c" * 300], "words": [0, 1, 2], "count": [5, 6, 7]}
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.phrases(frame(spark, [])).count() == 0
     assert phrases.phrases(frame(spark, [(1, None, None), (2, "a b", "en")])).count() == 0
