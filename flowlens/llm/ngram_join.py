@@ -317,7 +317,7 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
 def _first_pairs(members: DataFrame, facts: DataFrame, part: int, whole: int) -> DataFrame:
     """(a, b): each column's hub with every other of its rows that the bounds leave a chance; a is the hub.
 
-    The pairs are made distinct first, and then meet the parities of their hubs in `facts`.
+    The pairs are made distinct first, without what is known of their rows, and then meet it in `facts`.
     """
     low = F.col("hub_size") <= F.col("size")
     sides = {
@@ -326,13 +326,14 @@ def _first_pairs(members: DataFrame, facts: DataFrame, part: int, whole: int) ->
     }
     near = members.where("hub <> doc").withColumns(sides).where(
         f"sy <= cast(sx as long) * {whole} div {part} and ax < sx - (2L * {part} * sx + {part + whole - 1}) div {part + whole} + 1"
-        " and size - lead >= need and least(at, hub_at) + least(size - at, hub_size - hub_at) >= need"
+        " and least(at, hub_at) + least(size - at, hub_size - hub_at) >= need"
     )
-    slack = (F.col("size").cast("long") + F.col("hub_size") - 2 * F.col("need")).alias("slack")
-    once = near.select(F.col("hub").alias("a"), F.col("doc").alias("b"), "open", slack, *PARITIES).dropDuplicates(["a", "b"])
-    hubs = facts.select(F.col("doc").alias("a"), F.col("open").alias("hub_open"), *[F.col(p).alias(f"hub_{p}") for p in PARITIES])
-    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITIES), F.lit(0))
-    return once.join(hubs, "a").where((differ <= F.col("slack")) | (F.col("open") + F.col("hub_open") > 0)).select("a", "b")
+    once = near.select(F.col("hub").alias("a"), F.col("doc").alias("b"), "size", "hub_size", "need").distinct()
+    of = {side: facts.select(F.col("doc").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lead", "open", *PARITIES)]) for side in ("a", "b")}
+    met = once.join(of["b"], "b").where("size - b_lead >= need").join(of["a"], "a").where("hub_size - a_lead >= need")
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
+    slack = F.col("size").cast("long") + F.col("hub_size") - 2 * F.col("need")
+    return met.where((differ <= slack) | (F.col("a_open") + F.col("b_open") > 0)).select("a", "b").distinct()
 
 
 def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) -> DataFrame:
@@ -388,13 +389,12 @@ def ngram_join(
         F.min("at").alias("lead"), (F.sum("sets") > 1).cast("int").alias("open"), *[F.max(p).alias(p) for p in PARITIES]
     )
     facts = cut(about.where("lead is not null"))
-    placed = cut(members.join(facts, "doc"))
-    release(members)
-    tried = cut(_first_pairs(placed, facts, part, whole))
-    release(facts)
+    tried = cut(_first_pairs(members, facts, part, whole))
     alike = _completed(rows, tried, n, part, whole, hub_rows)
     joined = components(alike)
-    apart = placed.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    # What is known of a row meets its members once, when its label is known too.
+    nodes = facts.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    apart = members.join(nodes, "doc")
     summed = _multiplied(apart, part, whole, column_rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_ = cut(summed.where("n >= least").select("a", "b").join(known, ["a", "b"], "left_anti"))
@@ -404,7 +404,7 @@ def ngram_join(
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
     found = components(alike.unionByName(rest).unionByName(copies))
-    release(placed, tried, open_, alike, joined, rest, classes)
+    release(members, facts, tried, open_, alike, joined, rest, classes)
     return texts.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

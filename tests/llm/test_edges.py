@@ -108,6 +108,21 @@ def test_ngram_parities_bound_what_two_sets_do_not_share():
             assert differ <= len(np.setxor1d(s, t)) and differ % 2 == (len(s) + len(t)) % 2
 
 
+def test_ngram_first_pairs_meet_what_is_known_of_their_rows_last(spark):
+    """Members carry neither parities nor first positions; a pair that several columns have is one pair."""
+    members = spark.createDataFrame(
+        [(g, d, 20, 0, 4, 1, 20, 0) for g in (7, 8) for d in (1, 2, 3, 4)] + [(9, 5, 20, 0, 2, 1, 40, 0), (9, 1, 40, 0, 2, 1, 40, 0)],
+        "gram long, doc long, size int, at int, n long, hub long, hub_size int, hub_at int",
+    )
+    none, far = (0, 0, 0, 0), (255, 0, 0, 0)  # 8 bits apart, where 2 are allowed
+    facts = spark.createDataFrame(
+        [(1, 0, 0, *none), (2, 0, 0, *none), (3, 0, 0, *far), (4, 0, 1, *far), (5, 0, 0, *none)], "doc long, lead int, open int, p0 long, p1 long, p2 long, p3 long"
+    )
+    assert sorted(map(tuple, ngram_join._first_pairs(members, facts, 85, 100).collect())) == [(1, 2), (1, 4)]
+    late = facts.withColumn("lead", F.when(F.col("doc") == 2, 2).otherwise(0))
+    assert sorted(map(tuple, ngram_join._first_pairs(members, late, 85, 100).collect())) == [(1, 4)]
+
+
 @pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "hub_rows": 1}, {"column_rows": 3, "hub_rows": 2}])
 def test_ngram_join(spark, texts, kw):
     def shingles(t):
