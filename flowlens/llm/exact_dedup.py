@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.shared import width
 from flowlens.operators.lineage import cut, release
 
 BLOCK_BYTES = 4096
@@ -74,7 +73,8 @@ def name_by_sort(df: DataFrame, keys: list[str], carry: list[str]) -> tuple[Data
     """
     spark = df.sparkSession
     order = [*keys, "rid", "idx"]
-    ordered = df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
+    # Without a number, so that AQE may join small neighbours: a level with few rows writes few files.
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     types = dict(df.dtypes)
     schema = ", ".join(
         [f"{c} {types[c]}" for c in carry] + ["part int", "rank long"] + [f"edge_{k} {types[k]}" for k in keys]

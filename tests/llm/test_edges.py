@@ -61,6 +61,19 @@ def test_exact_dedup(spark, texts):
     assert collections.Counter(r.text_sha256 for r in out if r.kept) == collections.Counter(list(by_sha))
 
 
+def test_small_levels_of_names_write_few_files(spark):
+    wide = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pairs = spark.range(1000).selectExpr("id rid", "0 idx", "id % 100 + 5 a", "id % 2 b")
+        named, written = exact_dedup.name_by_sort(pairs, ["a", "b"], ["rid", "idx"])
+        assert len(written.inputFiles()) <= 8
+        names = {r.rid: r.name for r in named.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wide)
+    assert names == {i: i % 100 + 1 for i in range(1000)}
+
+
 def test_substring_dedup(spark, texts):
     rows = [(i if i is not None else 1 << 62, words(t)) for i, t in texts]
     first = {}
