@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import ordered
-from flowlens.operators.lineage import cut, release
+from flowlens.operators.lineage import cut, release, remove
 from flowlens.schema import PROGRESS_KEYS, TableSpec, split_ddl
 
 BUCKET = "_bucket"
@@ -52,7 +52,8 @@ def fold(rows: DataFrame, keys) -> DataFrame:
             return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(f"{c}.seq", F.to_json(f"{c}.value"))))
         return F.max(c)
 
-    return rows.groupBy(*keys).agg(*[latest(c).alias(c) for c in rows.columns if c not in keys])
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[latest(c).alias(c) for c in rest]) if rest else rows.select(*keys).distinct()
 
 
 def settled(rows: DataFrame, keys) -> DataFrame:
@@ -125,27 +126,59 @@ def _scope_col(spec: TableSpec) -> str:
 
 
 def _typed(df: DataFrame, spec: TableSpec, seq: str | None, version: int) -> DataFrame:
-    """Registers in the table's columns; without `seq` a row counts as written at the table's next version."""
+    """Registers in those of the table's columns that `df` has; without `seq` a row counts as written at the table's next version."""
     kinds = _kinds(spec)
     extra = [F.col(seq).alias("_seq")] if seq else [F.lit(version).alias("_seq")]
-    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in spec.columns]
+    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in spec.columns if c in df.columns or c in spec.keys]
     return registers(df.select(*cols, *extra), spec.keys, "_seq")
 
 
-def _write_folder(rows: DataFrame, root: str, spec: TableSpec, kind: str, n_rows: int, bucket_rows: int, file_rows: int) -> dict:
-    """Write folded registers into a new folder and describe it.
+def _write_folder(rows: DataFrame, root: str, spec: TableSpec, kind: str, n_rows: int, bucket_rows: int, file_rows: int, folded: bool = True) -> dict:
+    """Write registers into a new folder and describe it.
 
     Rows are placed by ranges of (bucket, key): a hot submission spreads over as many files as its rows
     ask for, and buckets with few rows share a task. A base has a folder per bucket; a delta, which
-    is small, keeps the bucket as a column, sorted, so that it is pruned by its statistics.
+    is small, keeps the bucket as a column, sorted, so that it is pruned by its statistics. Rows that are
+    not folded yet are folded where they are placed, without another shuffle; no key may be hot in them,
+    and `n_rows` counts them before.
     """
     buckets = max(1, min(MAX_BUCKETS, -(-n_rows // bucket_rows)))
     name = f"{kind}-{uuid.uuid4().hex}"
-    placed = rows.withColumn(BUCKET, bucket_of(F.col(_scope_col(spec)), buckets))
     by = [BUCKET, *spec.keys]
-    writer = placed.repartitionByRange(max(1, -(-n_rows // file_rows)), *by).sortWithinPartitions(*by).write
+    placed = rows.withColumn(BUCKET, bucket_of(F.col(_scope_col(spec)), buckets)).repartitionByRange(max(1, -(-n_rows // file_rows)), *by)
+    writer = (placed if folded else fold(placed, by)).sortWithinPartitions(*by).write
     (writer.partitionBy(BUCKET) if kind == "base" else writer).parquet(f"{_path(root, spec)}/{name}")
-    return {"name": name, "kind": kind, "buckets": buckets, "rows": n_rows}
+    return _described(rows, root, spec, name, kind, buckets, n_rows if folded else None)
+
+
+def _write_delta(rows: DataFrame, root: str, spec: TableSpec, base: dict, file_rows: int) -> dict:
+    """Fold registers into a new delta and describe it.
+
+    Its files are what the fold's shuffle leaves, so rows are shuffled once; each is sorted by bucket, so that it is
+    pruned by its statistics. Deltas hold DELTA_PART of the base's rows at most before they are folded
+    into it, and have that part of its buckets.
+    """
+    buckets = max(1, int(base["buckets"] * DELTA_PART))
+    name = f"delta-{uuid.uuid4().hex}"
+    by = [BUCKET, *spec.keys]
+    placed = fold(rows, spec.keys).withColumn(BUCKET, bucket_of(F.col(_scope_col(spec)), buckets)).sortWithinPartitions(*by)
+    placed.write.option("maxRecordsPerFile", file_rows).parquet(f"{_path(root, spec)}/{name}")
+    return _described(rows, root, spec, name, "delta", buckets)
+
+
+def _described(rows: DataFrame, root: str, spec: TableSpec, name: str, kind: str, buckets: int, n_rows: int | None = None) -> dict:
+    """What the layout record says of a folder; rows that were not counted are told by its files' footers."""
+    folder = {"name": name, "kind": kind, "buckets": buckets, "columns": rows.columns}
+    if n_rows is None:
+        n_rows = _stored(rows.sparkSession, root, spec, folder).count()
+    return folder | {"rows": n_rows}
+
+
+def _stored(spark: SparkSession, root: str, spec: TableSpec, folder: dict) -> DataFrame:
+    """Registers of one folder with their bucket; columns that its files do not hold are null."""
+    kinds = _kinds(spec)
+    ddl = ", ".join([*(f"{c} {kinds[c]}" if c in spec.keys else f"{c} struct<seq: bigint, value: {kinds[c]}>" for c in spec.columns), f"{BUCKET} int"])
+    return spark.read.schema(ddl).parquet(f"{_path(root, spec)}/{folder['name']}")
 
 
 def _folder(spark: SparkSession, root: str, spec: TableSpec, folder: dict) -> DataFrame:
@@ -154,9 +187,7 @@ def _folder(spark: SparkSession, root: str, spec: TableSpec, folder: dict) -> Da
     Its filter holds for every row. With `submission_id = 'x'` beside it, Catalyst puts the constant
     into it and folds the hash, and what is left is a filter on the bucket: SQL prunes by itself.
     """
-    path, kinds = f"{_path(root, spec)}/{folder['name']}", _kinds(spec)
-    ddl = ", ".join([*(f"{c} {kinds[c]}" if c in spec.keys else f"{c} struct<seq: bigint, value: {kinds[c]}>" for c in spec.columns), f"{BUCKET} int"])
-    rows = spark.read.schema(ddl).parquet(path)
+    rows = _stored(spark, root, spec, folder)
     return rows.where(F.col(BUCKET) == bucket_of(F.col(_scope_col(spec)), folder["buckets"])).drop(BUCKET)
 
 
@@ -197,16 +228,20 @@ def append(
     field stays, whatever the order in which deltas arrive; without it the delta counts as newest. A table
     takes either kind, not both. Adding a delta again changes nothing.
     """
-    rows = None
+    added = None
     for _ in range(10):
         now = layout(spark, root, spec)
-        if rows is None or seq is None:
-            rows = cut(fold(_typed(delta, spec, seq, now["version"] + 1), spec.keys))
-            n_rows = rows.count()
-            if not n_rows and now["folders"]:
-                return
-            added = _write_folder(rows, root, spec, "delta" if now["folders"] else "base", n_rows, bucket_rows, file_rows)
-            release(rows)
+        if added is None or seq is None:
+            typed = _typed(delta, spec, seq, now["version"] + 1)
+            if now["folders"]:
+                added = _write_delta(typed, root, spec, now["folders"][0], file_rows)
+                if not added["rows"]:
+                    remove(spark, f"{_path(root, spec)}/{added['name']}")
+                    return
+            else:
+                rows = cut(fold(typed, spec.keys))
+                added = _write_folder(rows, root, spec, "base", rows.count(), bucket_rows, file_rows)
+                release(rows)
         if _commit(spark, root, spec, now["version"] + 1, [*now["folders"], added]):
             return
     raise RuntimeError(f"other writers keep changing {spec.name}")
@@ -223,9 +258,10 @@ def compact(
     chosen = old if whole else old[1:]
     if len(chosen) < 2:
         return
-    rows = cut(read_registers(spark, root, spec, chosen))
-    folded = _write_folder(rows, root, spec, "base" if whole else "delta", rows.count(), bucket_rows, file_rows)
-    release(rows)
+    # Each folder holds a key once, so no key is hot and one shuffle both places and folds.
+    held = {c for f in chosen for c in f.get("columns", spec.columns)}
+    rows = reduce(DataFrame.unionByName, [_folder(spark, root, spec, f) for f in chosen]).select(*[c for c in spec.columns if c in held])
+    folded = _write_folder(rows, root, spec, "base" if whole else "delta", sum(f["rows"] for f in chosen), bucket_rows, file_rows, folded=False)
     gone = {f["name"] for f in chosen}
     for _ in range(10):
         now = layout(spark, root, spec)

@@ -8,7 +8,7 @@ from flowlens.engine import Engine
 from flowlens.functions import paths, status as st, timing, values
 from flowlens.operators import jobs as jb
 from flowlens.operators import ordered, status as sta, store
-from flowlens.operators.lineage import new_path
+from flowlens.operators.lineage import cut, new_path, release
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import query
 from flowlens.schema import SPECS
@@ -318,12 +318,13 @@ def _(t):
     """Batches arrive out of order, one twice, with compactions in between; the table is the same."""
     root, spec = new_path(t.spark, "store"), SPECS["jobs"]
     status = F.when(F.col("shard") != 2, F.col("status")).alias("status")
-    rows = t.raw_jobs.select("id", "submission_id", "run_id", "name", status, "start", "finish", F.col("l_partkey").alias("seq"), (F.col("l_suppkey") % 3).alias("part"))
+    rows = cut(t.raw_jobs.select("id", "submission_id", "run_id", "name", status, "start", "finish", F.col("l_partkey").alias("seq"), (F.col("l_suppkey") % 3).alias("part")))
     batch = [rows.where(F.col("part") == k).drop("part") for k in range(3)]
     store.write(batch[2], root, spec, seq="seq")
     for k in (0, 1, 0):
         store.append(t.spark, root, spec, batch[k], seq="seq")
         store.compact(t.spark, root, spec, whole=k == 1)
+    release(rows)
     out = store.read(t.spark, root, spec).select("id", "submission_id", "run_id", "name", "status", "start", "finish")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from flowlens.operators import manifest as mf
-from flowlens.operators import ordered, outputs
+from flowlens.operators import ordered, outputs, store
 from flowlens.operators import telemetry as tel
 from flowlens.plans import manifest_queries
 from flowlens.plans.adapter import Tables
@@ -81,3 +81,15 @@ def test_job_rows_are_not_derived_again_by_their_readers(spark):
     rows = tel.job_rows(docs, ["run_id"], F.expr("timestamp'2000-01-01 00:00:00'"))
     assert "Join" not in plan(rows)
     assert sorted((r.id, r.parent) for r in rows.collect()) == [("a", None), ("a_shard-0", "a")]
+
+
+def test_rounds_of_a_store_join_their_rows_once(spark, small_dir, monkeypatch):
+    plans, append = [], store.append
+
+    def seen(spark, root, spec, delta, **kw):
+        plans.append(delta._jdf.queryExecution().optimizedPlan().toString())
+        append(spark, root, spec, delta, **kw)
+
+    monkeypatch.setattr(store, "append", seen)
+    QUERIES["f1_stored_rounds"](spark, small_dir)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)

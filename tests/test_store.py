@@ -142,6 +142,28 @@ def test_store_keeps_variants_and_a_hot_submission_spreads(spark, tmp_path):
     assert len(files) >= 8  # one bucket, written by ten tasks
 
 
+def test_deltas_and_compactions_write_their_rows_once(spark, tmp_path, monkeypatch):
+    spec, root, ddl = SPECS["jobs"], str(tmp_path), "id string, submission_id string, run_id string, status string, seq long"
+    store.write(spark.createDataFrame([(f"j{k}", f"s{k % 5}", None, "queued", 1) for k in range(40)], ddl), root, spec, seq="seq", bucket_rows=4)
+    cuts = []
+    monkeypatch.setattr(store, "cut", lambda df: cuts.append(df) or df)
+    delta = [("j1", "s1", None, "running", 3), ("j1", "s1", None, "failed", 2), ("j1", "s1", None, None, 9), ("new", None, None, "queued", 0)]
+    for part in (delta, delta[:1], []):
+        store.append(spark, root, spec, spark.createDataFrame(part, ddl), seq="seq")
+    keys = spark.createDataFrame([("only", "keys", "here", 5)] * 2, "id string, submission_id string, run_id string, seq long")
+    store.append(spark, root, spec, keys, seq="seq")
+    assert [f["rows"] for f in store.layout(spark, root, spec)["folders"]] == [40, 2, 1, 1]
+    want = sorted([(f"j{k}", f"s{k % 5}", None, "running" if k == 1 else "queued") for k in range(40)] + [("new", None, None, "queued"), ("only", "keys", "here", None)], key=repr)
+    for whole, n in ((None, [40, 2, 1, 1]), (False, [40, 3]), (True, [42])):
+        if whole is not None:
+            store.compact(spark, root, spec, whole, bucket_rows=4)
+        assert [f["rows"] for f in store.layout(spark, root, spec)["folders"]] == n
+        table = store.read(spark, root, spec)
+        assert table.columns == list(spec.columns) and rows(table.select("id", "submission_id", "run_id", "status")) == want
+        assert store.read(spark, root, spec, scope="s1").count() == 8
+    assert not cuts
+
+
 def test_two_writers_do_not_lose_each_other(spark, tmp_path):
     spec, root, ddl = SPECS["jobs"], str(tmp_path), "id string, submission_id string, run_id string, status string, container string, seq long"
     store.append(spark, root, spec, spark.createDataFrame([("a", "s", "r", "queued", None, 1)], ddl), seq="seq")
