@@ -11,13 +11,19 @@ overlap that takes. The product is formed only where these bounds leave a chance
    overlap of each pair of its rows whose sizes, positions and parities in both rows leave a chance.
    Partial overlaps are added up by pair, and pairs below what their sizes ask for are discarded.
    (Parities: each n-gram flips one of 256 bits of its row. Bits in which two rows differ are at most
-   the n-grams that one of them has alone, and sizes bound those of a pair that qualifies.)
+   the n-grams that one of them has alone, and sizes bound those of a pair that qualifies.
+   Reach: of two rows one's columns end first, in the order of columns, and what no other row sent of
+   those the other row does not have; the rest of that row bounds the overlap. In the product, rows
+   with fewer columns left than a pair's sizes ask for form no pair.)
 3. The overlap of each pair that is left is completed once, over its two whole rows.
 
 Rows of one component need no more links, so this is done twice. At first each column pairs its rows
 with one hub alone, which joins what is alike at a cost that is linear in the column; then only pairs
-are formed whose rows are still apart. A column with very many rows is cut into tiles. The
-texts that the second step asks for are compressed and sent once a pair, next to one for each hub.
+are formed whose rows are still apart. All pairs of hubs are settled by then, so the product leaves
+hubs out, and columns of two rows. Columns are dealt to it by hub, as those that a group of versions
+shares have few hubs; so most partial overlaps of a pair are added up where they arise. A column
+with very many rows is cut into tiles. The texts that a step asks for are told by a Bloom filter of
+their ids, compressed and sent once a pair, next to one for each hub.
 
 Documents with the same n-grams are one row of the matrix (a class), so copies cost nothing. The
 frequent columns are found from repeats inside each task's batches; they only steer the order, and
@@ -34,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm import bloom
 from flowlens.llm.components import components
 from flowlens.llm.shared import width
 from flowlens.llm.words import Words, chunks, mix
@@ -41,6 +48,9 @@ from flowlens.operators.lineage import cut, release
 
 N, PART, WHOLE = 4, 85, 100
 FREQUENT, COLUMN_ROWS, HUB_ROWS = 1 << 20, 4096, 256
+#: A hub's columns of more rows than this are dealt to several tasks.
+DEALT_ROWS = 64
+NO_BOUND = (1 << 31) - 1
 #: Entries of A that a block of columns holds, and pairs that it forms at a time.
 BLOCK_ROWS, PAIRS = 1 << 18, 1 << 19
 PARITIES = ["p0", "p1", "p2", "p3"]
@@ -187,7 +197,8 @@ def column_pairs(rows: dict[str, np.ndarray], part: int, whole: int) -> Iterator
 
     `rows` is sorted by column (gram, i, j), in it by doc. `at` is the column's position in a row, `lead`
     the row's first position that any other row shares. About PAIRS pairs are formed at a time. Rows
-    with the same label are joined already. Parities are optional, and bound nothing for rows that are `open`.
+    with the same label are joined already. Parities are optional, and bound nothing for rows that are `open`;
+    so is `held`, the number of columns here that the row has.
     """
     n = len(rows["doc"])
     new = np.ones(n, bool)
@@ -218,14 +229,17 @@ def column_pairs(rows: dict[str, np.ndarray], part: int, whole: int) -> Iterator
             can = (differ <= sx + sy - 2 * need) | (rows["open"][x] + rows["open"][y] > 0)
             x, y, sx, sy, need = x[can], y[can], sx[can], sy[can], need[can]
         # Behind the prefix that ends first (in the order of columns) only that row's rest adds to the overlap.
-        rest = np.maximum(_ceil(part * sx, whole), _ceil(part * sy, whole)) - 1
+        least = need - (np.maximum(_ceil(part * sx, whole), _ceil(part * sy, whole)) - 1)
+        if "held" in rows:
+            can = np.minimum(rows["held"][x], rows["held"][y]) >= least
+            x, y, least = x[can], y[can], least[can]
         a, b = rows["doc"][x], rows["doc"][y]
-        yield np.minimum(a, b), np.maximum(a, b), need - rest
+        yield np.minimum(a, b), np.maximum(a, b), least
 
 
 def _multiply(part: int, whole: int):
     """Partial overlaps of the pairs of a block of columns: a, b, n, least (what the sum of n must reach)."""
-    names = ["gram", "i", "j", "side", "doc", "size", "at", "lead", "label", "open", *PARITIES]
+    names = ["gram", "i", "j", "side", "doc", "size", "at", "lead", "label", "open", "held", *PARITIES]
 
     def summed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         columns = dict(zip(names, rows, strict=True))
@@ -289,11 +303,23 @@ def _overlap(own: np.ndarray, other: np.ndarray) -> int:
     return int((other[at] == own).sum())
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bodies = _bodies(batch)
-        packed = [pa.compress(b, "zstd", asbytes=True) for b in bodies]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())], names=["doc", "packed", "bytes"])
+def _ids(column: str):
+    """Keys of a batch's ids for a Bloom filter; none of them is null."""
+    return lambda batch: mix(batch.column(column).to_numpy().view(np.uint64))
+
+
+def _pack(wanted):
+    """Compressed texts of the rows whose id the filter may hold."""
+    keys = _ids("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(bloom.contains(wanted.value, keys(batch))))
+            bodies = _bodies(batch)
+            packed = [pa.compress(b, "zstd", asbytes=True) for b in bodies]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())], names=["doc", "packed", "bytes"])
+
+    return run
 
 
 def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int, hub_rows: int) -> DataFrame:
@@ -301,10 +327,12 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
     spark = rows.sparkSession
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("parts"))
     dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
-    texts = rows.where("doc_id is not null").mapInArrow(_pack, "doc long, packed binary, bytes long")
     sides = dealt.select("a", "part", F.col("b").alias("doc"), F.lit(1).alias("place")).unionByName(
         dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc"), F.lit(0).alias("place"))
     )
+    # The join asks for each id exactly; the filter only keeps texts of other ids from being sent.
+    wanted = spark.sparkContext.broadcast(bloom.build(sides.select("doc"), _ids("doc")))
+    texts = rows.where("doc_id is not null").mapInArrow(_pack(wanted), "doc long, packed binary, bytes long")
     met = (
         sides.join(texts, "doc").select("a", "part", "place", "doc", "packed", "bytes")
         .repartition(width(spark), "a", "part").sortWithinPartitions("a", "part", "place")
@@ -317,23 +345,27 @@ def _completed(rows: DataFrame, pairs: DataFrame, n: int, part: int, whole: int,
 def _first_pairs(members: DataFrame, facts: DataFrame, part: int, whole: int) -> DataFrame:
     """(a, b): each column's hub with every other of its rows that the bounds leave a chance; a is the hub.
 
-    The pairs are made distinct first, without what is known of their rows, and then meet it in `facts`.
+    The pairs are made distinct first, without what is known of their rows, and then meet it in `facts`
+    (`reach` is optional). A pair that is not returned and has a hub in one of its columns cannot qualify.
     """
-    low = F.col("hub_size") <= F.col("size")
     sides = {
-        "sx": F.least("size", "hub_size"), "sy": F.greatest("size", "hub_size"), "ax": F.when(low, F.col("hub_at")).otherwise(F.col("at")),
+        "sx": F.least("size", "hub_size"), "sy": F.greatest("size", "hub_size"),
         "need": F.expr(f"({part} * (cast(size as long) + hub_size) + {part + whole - 1}) div {part + whole}"),
     }
     near = members.where("hub <> doc").withColumns(sides).where(
-        f"sy <= cast(sx as long) * {whole} div {part} and ax < sx - (2L * {part} * sx + {part + whole - 1}) div {part + whole} + 1"
+        f"sy <= cast(sx as long) * {whole} div {part}"
         " and least(at, hub_at) + least(size - at, hub_size - hub_at) >= need"
     )
     once = near.select(F.col("hub").alias("a"), F.col("doc").alias("b"), "size", "hub_size", "need").distinct()
-    of = {side: facts.select(F.col("doc").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lead", "open", *PARITIES)]) for side in ("a", "b")}
-    met = once.join(of["b"], "b").where("size - b_lead >= need").join(of["a"], "a").where("hub_size - a_lead >= need")
+    if "reach" not in facts.columns:
+        facts = facts.withColumn("reach", F.lit(NO_BOUND))
+    of = {side: facts.select(F.col("doc").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lead", "open", "reach", *PARITIES)]) for side in ("a", "b")}
+    met = once.join(of["b"], "b").where("size - b_lead >= need").join(of["a"], "a").where("hub_size - a_lead >= need and greatest(a_reach, b_reach) >= need")
     differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
     slack = F.col("size").cast("long") + F.col("hub_size") - 2 * F.col("need")
-    return met.where((differ <= slack) | (F.col("a_open") + F.col("b_open") > 0)).select("a", "b").distinct()
+    near = met.where((differ <= slack) | (F.col("a_open") + F.col("b_open") > 0))
+    # Two rows may be each other's hub; one of them is enough.
+    return near.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a")).select("a", F.expr("low + high - a").alias("b"))
 
 
 def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) -> DataFrame:
@@ -341,9 +373,10 @@ def _multiplied(members: DataFrame, part: int, whole: int, column_rows: int) ->
     tiled = (
         members.withColumn("k", F.ceil(F.col("n") / column_rows).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "size", "at", "lead", "label", "open", *PARITIES)
+        .withColumn("salt", F.pmod(F.xxhash64("gram"), F.ceil(F.col("n") / DEALT_ROWS)))
+        .select("hub", "salt", "gram", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "size", "at", "lead", "label", "open", "held", *PARITIES)
     )
-    dealt = tiled.repartition(width(members.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j", "doc")
+    dealt = tiled.repartition(width(members.sparkSession), "hub", "salt", "i", "j").sortWithinPartitions("hub", "gram", "i", "j", "doc").drop("hub", "salt")
     return dealt.mapInArrow(_multiply(part, whole), "a long, b long, n long, least long")
 
 
@@ -382,20 +415,25 @@ def ngram_join(
         postings.repartition(width(spark), "gram").sortWithinPartitions("gram", "same", "doc")
         .mapInArrow(_shared, "gram long, doc long, size int, at int, n long, hub long, hub_size int, hub_at int")
     )
-    # An id with several texts has several sets, so parities do not bound its pairs.
-    own = texts.where("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.lit(None).cast("int").alias("at"), F.lit(1).alias("sets"), *PARITIES)
-    shared = members.groupBy("doc").agg(F.min("at").alias("at")).withColumns({"sets": F.lit(0), **{p: F.lit(None).cast("long") for p in PARITIES}})
+    # An id with several texts has several sets, so neither parities nor reach bound its pairs.
+    own = texts.where("digest is not null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("reach"), F.lit(1).alias("sets"), *PARITIES)
+    reach = F.ceil(part * F.max("size") / whole) - 1 + F.count(F.lit(1))
+    shared = members.groupBy("doc").agg(F.min("at").alias("at"), reach.cast("int").alias("reach")).withColumns({"sets": F.lit(0), **{p: F.lit(None).cast("long") for p in PARITIES}})
     about = own.unionByName(shared).groupBy("doc").agg(
-        F.min("at").alias("lead"), (F.sum("sets") > 1).cast("int").alias("open"), *[F.max(p).alias(p) for p in PARITIES]
+        F.min("at").alias("lead"), (F.sum("sets") > 1).cast("int").alias("open"),
+        F.when(F.sum("sets") > 1, F.lit(NO_BOUND)).otherwise(F.max("reach")).alias("reach"), *[F.max(p).alias(p) for p in PARITIES]
     )
     facts = cut(about.where("lead is not null"))
     tried = cut(_first_pairs(members, facts, part, whole))
     alike = _completed(rows, tried, n, part, whole, hub_rows)
     joined = components(alike)
+    # Pairs of hubs are settled: a pair that is not has both its rows in all columns it shares without them.
+    left = members.where("n > 2 and not (doc = hub and size = hub_size and at = hub_at)")
+    held = left.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("held"))
     # What is known of a row meets its members once, when its label is known too.
-    nodes = facts.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    apart = members.join(nodes, "doc")
-    summed = _multiplied(apart, part, whole, column_rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    nodes = facts.drop("reach").join(held, "doc").withColumn("held", F.when(F.col("open") > 0, F.lit(NO_BOUND)).otherwise(F.col("held")))
+    nodes = nodes.join(joined.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    summed = _multiplied(left.join(nodes, "doc"), part, whole, column_rows).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_ = cut(summed.where("n >= least").select("a", "b").join(known, ["a", "b"], "left_anti"))
     rest = _completed(rows, open_, n, part, whole, hub_rows)

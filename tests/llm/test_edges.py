@@ -136,6 +136,48 @@ def test_ngram_first_pairs_meet_what_is_known_of_their_rows_last(spark):
     assert sorted(map(tuple, ngram_join._first_pairs(members, late, 85, 100).collect())) == [(1, 4)]
 
 
+def test_ngram_first_pairs_settle_each_pair_of_a_hub(spark):
+    """A column that stands late in the smaller row counts too, a pair of two hubs comes once, and reach bounds it."""
+    members = spark.createDataFrame(
+        [(7, 1, 100, 14, 2, 1, 100, 14), (7, 2, 100, 14, 2, 1, 100, 14), (8, 1, 100, 3, 2, 2, 100, 3), (8, 2, 100, 3, 2, 2, 100, 3), (9, 3, 100, 13, 2, 3, 100, 13), (9, 4, 100, 13, 2, 3, 100, 13)],
+        "gram long, doc long, size int, at int, n long, hub long, hub_size int, hub_at int",
+    )
+    facts = spark.createDataFrame([(d, 0, 0, r, 0, 0, 0, 0) for d, r in ((1, 86), (2, 92), (3, 91), (4, 91))], "doc long, lead int, open int, reach int, p0 long, p1 long, p2 long, p3 long")
+    assert sorted(map(tuple, ngram_join._first_pairs(members, facts, 85, 100).collect())) == [(1, 2)]
+    assert sorted(map(tuple, ngram_join._first_pairs(members, facts.drop("reach"), 85, 100).collect())) == [(1, 2), (3, 4)]
+
+
+def _versions(n_groups, n):
+    """Groups of texts of 240 words, each text with other words of its group's text changed: not alike, but they share much."""
+    rng = random.Random(8)
+    out = []
+    for g in range(n_groups):
+        base = [f"g{g}w{k}" for k in range(240)]
+        for v in range(n):
+            text = list(base)
+            for k in rng.sample(range(0, 240, 6), 9):
+                text[k] = f"v{v}k{k}g{g}"
+            out.append((len(out), " ".join(text)))
+    return out
+
+
+def test_ngram_product_forms_no_pair_twice_and_fetches_only_texts_of_pairs(spark, monkeypatch):
+    """Pairs of hubs are not formed again, and a text of no pair is not packed."""
+    made, packed = [], []
+    multiplied, pack = ngram_join._multiplied, ngram_join._pack
+    monkeypatch.setattr(ngram_join, "_multiplied", lambda members, *a: made.append((members, ngram_join.cut(multiplied(members, *a)))) or made[-1][1])
+    monkeypatch.setattr(ngram_join, "_pack", lambda wanted: packed.append(wanted.value) or pack(wanted))
+    monkeypatch.setattr(ngram_join, "release", lambda *tables: None)
+    rows = _versions(3, 12) + [(900 + k, " ".join(f"alone{k}w{i}" for i in range(60))) for k in range(40)]
+    ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    (members, pairs), = made
+    assert members.where("n <= 2 or doc = hub").count() == 0
+    n = pairs.count()
+    assert n <= 2 * pairs.select("a", "b").distinct().count()
+    alone = np.arange(900, 940, dtype=np.int64).view(np.uint64)
+    assert len(packed) == 2 and all(ngram_join.bloom.contains(words, ngram_join.mix(alone)).sum() <= 1 for words in packed)
+
+
 @pytest.mark.parametrize("kw", [{}, {"column_rows": 1, "hub_rows": 1}, {"column_rows": 3, "hub_rows": 2}])
 def test_ngram_join(spark, texts, kw):
     def shingles(t):
