@@ -401,7 +401,7 @@ _LAYERS = """select s_suppkey, 0 layer, to_json(named_struct('name', s_name, 'na
 
 
 #: Suppliers whose files one task writes.
-LAYER_FILES = 250
+LAYER_FILES = 1000
 
 
 @query("a7_layered_inputs", "", """with l as (select cast(s_suppkey as varchar) manifest_id, s_suppkey k, s_name, s_nationkey n from supplier)
@@ -414,10 +414,9 @@ def _(t):
     """Two files for each supplier, written and read in one scan; of a third the second is missing, of others malformed."""
     root = new_path(t.spark, "layers")
     texts = t.spark.sql(_LAYERS, s=t.supplier)
-    # The number of tasks follows the files: left to AQE, texts this small all go to one. Tasks move their own files into place.
+    # The number of tasks follows the files: left to AQE, texts this small all go to one.
     tasks = max(1, -(-t.supplier.count() // LAYER_FILES))
-    writer = texts.repartition(tasks, "s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.partitionBy("s_suppkey", "layer").text(root)
+    documents.write_files(texts.repartition(tasks, "s_suppkey"), root, ["s_suppkey", "layer"])
     there = inv.read_inventory(t.spark, root).select(
         F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).alias("manifest_id"),
         F.regexp_extract("path", "layer=([0-9]+)", 1).cast("int").alias("layer"), F.col("path").alias("file"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import paths, values
 from flowlens.operators.lineage import cut
+from flowlens.sources import inventory as inv
 
 # The fields of a webhook event.
 WEBHOOK_DDL = (
@@ -54,6 +61,65 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def _put(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows = TaskContext.get().partitionId(), 0
+        # Hidden from readers until whole; another attempt of the task has a folder of its own.
+        own, whole = f"{folder}/_{uuid.uuid4().hex}", f"{folder}/task={number}"
+        os.makedirs(own)
+        for batch in batches:
+            rows += batch.num_rows
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                with open(f"{own}/part-{number:05d}-{name}.txt", "ab") as file:
+                    file.write((text or b"") + b"\n")
+        try:
+            os.rename(own, whole)
+        except OSError:
+            if not os.path.isdir(whole):  # else another attempt was first
+                raise
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    return run
+
+
+def write_files(texts: DataFrame, root: str, keys: list[str]) -> None:
+    """A file for each of the `keys` (numbers) of `texts` below the new folder `root`; its path holds `key=value`, its rows are its lines.
+
+    Rows with the same keys must come in one task. Hadoop's own writer starts a process or more (chmod)
+    for each file and folder on a disk, so there the tasks write by themselves, into one folder each.
+    """
+    parent, name = root.rstrip("/").rsplit("/", 1)
+    disk = inv.disk_folder(texts.sparkSession, parent)
+    if disk is None:
+        # Tasks move their own files into place.
+        texts.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).text(root)
+        return
+    os.mkdir(f"{disk}/{name}")
+    named = F.concat_ws(",", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys))
+    rows = texts.select(named.alias("name"), F.col("text").cast("binary").alias("text"))
+    rows.mapInArrow(_put(f"{disk}/{name}"), "rows long").agg(F.sum("rows")).collect()
+
+
+def _texts(spark: SparkSession, root: str | list[str], names: str | None = None) -> DataFrame:
+    """`_path, text` of every file below `root`. On a disk the files are listed and read by tasks of many files.
+
+    Spark's reader lists all files on the driver and takes 32 a task at most; it reads what is not on a disk, and what is compressed.
+    """
+    folder = None if names or not isinstance(root, str) else inv.disk_folder(spark, root)
+    if folder is None:
+        reader = spark.read.option("recursiveFileLookup", "true")
+        reader = reader.option("pathGlobFilter", names) if names else reader
+        return reader.text(root, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("_path"), F.col("value").alias("text"))
+    there, ends, jvm = inv.list_disk(spark, folder), [], spark._jvm.org.apache.hadoop
+    for codec in jvm.io.compress.CompressionCodecFactory.getCodecClasses(spark._jsc.hadoopConfiguration()):
+        ends.append(jvm.util.ReflectionUtils.newInstance(codec, spark._jsc.hadoopConfiguration()).getDefaultExtension())
+    packed = F.exists(F.array(*map(F.lit, ends)), lambda end: F.col("path").endswith(end))
+    found = inv.read_disk(there.where(~packed)).select(F.col("path").alias("_path"), "text")
+    if not there.where(packed).isEmpty():
+        found = found.unionByName(_texts(spark, root, "*{" + ",".join(ends) + "}"))
+    return found.hint("merge")  # Spark knows the size of the list, not that of the texts
+
+
 def read_manifests(spark: SparkSession, files: DataFrame, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Layered inputs of many manifests: rows (manifest_id, layer, name, value) and rejects (manifest_id, layer, file, reason).
 
@@ -62,9 +128,7 @@ def read_manifests(spark: SparkSession, files: DataFrame, root: str | list[str])
     manifests. Rejected are files that are not one JSON object, and files that do not exist. An empty object
     gives no rows. What was read is cut once, so that rows and rejects do not open every file again.
     """
-    found = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
-        _plain(F.col("_metadata.file_path")).alias("_path"), values.parse_json(F.col("value")).alias("doc"), F.lit(True).alias("_found")
-    )
+    found = _texts(spark, root).select("_path", values.parse_json(F.col("text")).alias("doc"), F.lit(True).alias("_found"))
     met = files.select("manifest_id", "layer", "file", _plain(F.col("file")).alias("_path")).join(found, "_path", "left")
     met = cut(met.drop("_path").withColumn("_ok", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))))
     rows = met.where("_ok").select("manifest_id", "layer", "doc").lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))

@@ -12,6 +12,7 @@ from flowlens.operators import telemetry as tel
 from flowlens.plans import manifest_queries
 from flowlens.plans.adapter import Tables
 from flowlens.plans.registry import QUERIES
+from flowlens.sources import inventory
 
 
 def plan(df) -> str:
@@ -53,6 +54,29 @@ def test_layer_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(files) == 20 and len({f[:10] for f in files}) > 1
 
 
+def test_layer_files_are_listed_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    # 200 files: a folder and a checksum file for each would show below, as would readers that take 32 files a task.
+    spark.range(1, 121).selectExpr("id s_suppkey", "concat('s', id) s_name", "cast(id % 5 as int) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    written = []
+    monkeypatch.setattr(manifest_queries, "new_path", lambda s, kind: written.append(f"{tmp_path}/{kind}") or written[-1])
+    rows = QUERIES["a7_layered_inputs"](spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * 120 + 2 * 68 + 52 and sum(r.reason == "missing" for r in rows) == 40
+    below = [*(tmp_path / "layers").rglob("*")]
+    assert sum(p.is_file() for p in below) == 200 and sum(p.is_dir() for p in below) == 1
+    assert len(inventory.read_inventory(spark, written[0]).inputFiles()) < 200
+    files = inventory.read_disk(inventory.list_disk(spark, written[0]))
+    assert files.rdd.getNumPartitions() <= 8 and files.count() == 200
+
+
+def test_layers_are_the_same_with_and_without_a_disk(spark, tmp_path, monkeypatch):
+    keys = "case when id < 12 then id when id < 15 then 4 when id = 15 then -8 end"
+    spark.range(18).selectExpr(f"{keys} s_suppkey", "case when id <> 7 then concat('s', id div 13) end s_name", "id % 5 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    run = lambda: sorted(map(str, QUERIES["a7_layered_inputs"](spark, str(tmp_path)).collect()))
+    on_disk = run()
+    monkeypatch.setattr(inventory, "disk_folder", lambda *_: None)
+    assert on_disk == run() and sum("not a JSON object" in r for r in on_disk) == 9
+
+
 def test_batch_names_are_made_before_the_join(spark):
     groups = spark.createDataFrame([("m", "w", "a-1")], "manifest_id string, workflow string, value string")
     outs = spark.createDataFrame([("w", "o", ["x"]), ("w", "p", None)], "workflow string, name string, folders array<string>")

@@ -104,6 +104,30 @@ def test_layers_of_many_manifests_in_one_scan(spark, tmp_path):
         documents.read_layers(spark, [str(tmp_path / "none.json"), str(tmp_path / "cut.json")])
 
 
+def test_files_on_a_disk_are_those_that_spark_lists(spark, tmp_path, monkeypatch):
+    odd = ["a.json", "_hid.json", ".dot.json", "_k=1/x.json", "_h/x.json", ".d/x.json", "_metadata", "_metadata_x/y.json", "c._COPYING_", "1/2/3/4/d.json", "sub/_s.json", "sub/\u00e9 b.json"]
+    for name in odd + [f"many/{k}/m.json" for k in range(70)]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text('{"x": 1}')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "void").mkdir()
+    (tmp_path / "bad.json").write_bytes(b'{"x": \xff')
+    (tmp_path / "packed.json.gz").write_bytes(gzip.compress(b'{"z": 1}'))
+    (tmp_path / "link").symlink_to(tmp_path / "1")
+    (tmp_path / "dead.json").symlink_to(tmp_path / "none")
+    found = inventory.read_inventory(spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # listed once
+    there = sorted(map(tuple, found.collect()))
+    plan = spark.createDataFrame([(str(k), 0, path) for k, (path, *_) in enumerate(there) if " " not in path] + [("e", 0, f"{tmp_path}/empty.json")], "manifest_id string, layer int, file string")
+    read = lambda: [sorted(map(str, x)) for x in (r.collect() for r in (lambda rows, bad: (rows.selectExpr("manifest_id", "name", "to_json(value) v"), bad))(*documents.read_manifests(spark, plan, str(tmp_path))))]
+    rows = read()
+    names = [p.removeprefix(f"{tmp_path}/") for p, *_ in there]
+    assert len(names) == 78 and "packed.json.gz" in names and "link/2/3/4/d.json" in names and "empty.json" not in names
+    assert len(rows[0]) == 76 and len(rows[1]) == 2
+    monkeypatch.setattr(inventory, "disk_folder", lambda *_: None)
+    assert there == sorted(map(tuple, inventory.read_inventory(spark, str(tmp_path)).collect())) and rows == read()
+
+
 def test_one_document_per_submission_is_saved(spark, tmp_path):
     docs = spark.createDataFrame([("a", '{"n": 2}'), ("a", '{"n": 1}'), ("b", '{"n": 3}'), ("c", '{"n": 4}')], "submission_id string, js string").select("submission_id", F.parse_json("js").alias("doc"))
     progress = spark.createDataFrame([("c", "savedMetadata"), ("b", "other")], "submission_id string, key string")
